@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe
+from orrery.llm import bpe, toxicity
 from orrery.llm.common import read_table
 
 
@@ -15,9 +15,14 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(docs, "doc_id", "text"), "doc_id"), "doc_id")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.flag(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_byte_bpe": op6_byte_bpe,
+        "op9_toxicity": op9_toxicity,
     }
 
 
