@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe, toxicity
+from orrery.llm import bpe, mixing, toxicity
 from orrery.llm.common import read_table
 
 
@@ -19,10 +19,16 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.flag(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = mixing.schedule(read_table(spark, sf_dir, "documents").select("doc_id", "source"))
+    return placed.select("doc_id", "source", "mix_block", "mix_phase", "mix_slot", "mix_place")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_byte_bpe": op6_byte_bpe,
         "op9_toxicity": op9_toxicity,
+        "op10_mixing": op10_mixing,
     }
 
 
