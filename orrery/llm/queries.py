@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe, mixing, toxicity
+from orrery.llm import bpe, mixing, quality, toxicity
 from orrery.llm.common import read_table
 
 
@@ -24,8 +24,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "source", "mix_block", "mix_phase", "mix_slot", "mix_place")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_quality": op3_quality,
         "op6_byte_bpe": op6_byte_bpe,
         "op9_toxicity": op9_toxicity,
         "op10_mixing": op10_mixing,
