@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import bpe, mixing, quality, toxicity
+from orrery.llm import bpe, jaccard, mixing, quality, toxicity
 from orrery.llm.common import read_table
 
 
@@ -28,10 +28,15 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_quality": op3_quality,
         "op6_byte_bpe": op6_byte_bpe,
+        "op8_jaccard_join": op8_jaccard_join,
         "op9_toxicity": op9_toxicity,
         "op10_mixing": op10_mixing,
     }
