@@ -245,8 +245,11 @@ def best_cut(p: np.ndarray, toxic: np.ndarray) -> float:
     return float((p[at] + p[at + 1]) / 2) if at + 1 < len(p) else float(p[at])
 
 
-def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``severity`` (expected grade), ``p_toxic``, ``grade`` (likeliest) and ``is_toxic``."""
+def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """``id_col``, ``severity`` (expected grade), ``p_toxic``, ``grade`` (likeliest) and ``is_toxic``.
+
+    The columns named in ``carry`` come along in the struct ``carried``.
+    """
     ship_code(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     key = id(sent)
@@ -269,18 +272,20 @@ def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str
             at_least = np.concatenate([np.ones((len(eta), 1)), exceed, np.zeros((len(eta), 1))], 1)
             grade = (at_least[:, :-1] - at_least[:, 1:]).argmax(1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(severity), pa.array(exceed[:, 0]), pa.array(grade.astype(np.int32)), pa.array(exceed[:, 0] >= own.cut)],
-                ["id", "severity", "p_toxic", "grade", "is_toxic"],
+                [batch.column(0), pa.array(severity), pa.array(exceed[:, 0]), pa.array(grade.astype(np.int32)), pa.array(exceed[:, 0] >= own.cut), *batch.columns[2:]],
+                ["id", "severity", "p_toxic", "grade", "is_toxic", *more],
             )
 
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    more = ["carried"] if carry else []
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
     if not model.fitted:
         return source.select(
-            F.col("id").alias(id_col), F.lit(0.0).alias("severity"), F.lit(0.0).alias("p_toxic"), F.lit(0).alias("grade"), F.lit(False).alias("is_toxic")
+            F.col("id").alias(id_col), F.lit(0.0).alias("severity"), F.lit(0.0).alias("p_toxic"), F.lit(0).alias("grade"), F.lit(False).alias("is_toxic"), *more
         )
-    kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(run, f"id {kind}, severity double, p_toxic double, grade int, is_toxic boolean").withColumnRenamed("id", id_col)
+    kinds = dict(source.dtypes)
+    schema = f"id {kinds['id']}, severity double, p_toxic double, grade int, is_toxic boolean" + (f", carried {kinds['carried']}" if carry else "")
+    return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def flag(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score(docs, train(docs, labels))
+def flag(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    return score(docs, train(docs, labels), carry=carry)
