@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import ann, bpe, jaccard, mixing, quality, topk, toxicity
+from orrery.llm import ann, bpe, jaccard, mixing, quality, topk, toxicity, warc
 from orrery.llm.common import read_table
 
 
@@ -36,6 +36,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read_table(spark, sf_dir, "pages")).drop("intact")
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read_table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_quality": op3_quality,
         "op4_exact_top": op4_exact_top,
         "op6_byte_bpe": op6_byte_bpe,
+        "op7_warc": op7_warc,
         "op8_jaccard_join": op8_jaccard_join,
         "op9_toxicity": op9_toxicity,
         "op10_mixing": op10_mixing,
@@ -80,6 +85,18 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+OP7_SQL = """
+WITH rows AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+large AS (
+  SELECT digest, max(page_id) AS keeper FROM rows WHERE n >= 1000 GROUP BY digest HAVING count(*) > 1)
+SELECT r.page_id, CAST(r.n AS BIGINT) AS payload_bytes, r.digest AS payload_digest,
+  CASE WHEN k.keeper IS NOT NULL AND r.page_id IS DISTINCT FROM k.keeper THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN k.keeper IS NOT NULL AND r.page_id IS DISTINCT FROM k.keeper THEN k.keeper END AS refers_to
+FROM rows r LEFT JOIN large k USING (digest)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Only what SQL expresses; the others are tested against brute force."""
-    return {"op2_nearest": OP2_SQL, "op4_exact_top": OP4_SQL}
+    return {"op2_nearest": OP2_SQL, "op4_exact_top": OP4_SQL, "op7_warc": OP7_SQL}
