@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import ann, bpe, jaccard, mixing, quality, topk, toxicity, warc
+from orrery.llm import ann, bpe, html_extract, jaccard, mixing, quality, topk, toxicity, warc
 from orrery.llm.common import read_table
 
 
@@ -24,6 +24,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "source", "mix_block", "mix_phase", "mix_slot", "mix_place")
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(read_table(spark, sf_dir, "pages"))
+
+
 def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read_table(spark, sf_dir, "embeddings"), ann.every_nth(20), k=20)
 
@@ -46,6 +50,7 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_main_text": op1_main_text,
         "op2_nearest": op2_nearest,
         "op3_quality": op3_quality,
         "op4_exact_top": op4_exact_top,
