@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import ann, bpe, html_extract, jaccard, mixing, quality, topk, toxicity, warc
+from orrery.llm import ann, bpe, html_extract, jaccard, licences, mixing, quality, topk, toxicity, warc
 from orrery.llm.common import read_table
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences(read_table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return bpe.digests(bpe.decode(bpe.encode(docs, "doc_id", "text"), "doc_id"), "doc_id")
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_nearest": op2_nearest,
         "op3_quality": op3_quality,
         "op4_exact_top": op4_exact_top,
+        "op5_licences": op5_licences,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_warc": op7_warc,
         "op8_jaccard_join": op8_jaccard_join,
