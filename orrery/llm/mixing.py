@@ -167,11 +167,13 @@ def schedule(
     rows = json.dumps([{"known": s is not None, "name": s or "", "shards": shards[s], "runs": runs} for s, runs in table.items()])
     kind = "array<struct<known:boolean,name:string,shards:long,runs:array<struct<phase:int,first_slot:long,period:long,first_block:long,blocks:long,slots:array<int>>>>>"
     # One row a source, whose runs hold at most MAX_SOURCES periods of slots in all: small whatever the input.
-    sources = F.broadcast(spark.range(1).select(F.inline(F.from_json(F.lit(rows), kind))))
+    sources = spark.range(1).select(F.inline(F.from_json(F.lit(rows), kind)))
 
     name = F.col(source_col).cast("string")
     keyed = docs.withColumn("mix_source", F.struct(name.isNotNull().alias("known"), F.coalesce(name, F.lit("")).alias("name")))
-    keyed = keyed.join(sources, (F.col("mix_source.known") == F.col("known")) & (F.col("mix_source.name") == F.col("name")))
+    same = (F.col("mix_source.known") == F.col("known")) & (F.col("mix_source.name") == F.col("name"))
+    # The runs join only after the shuffles, so that rows don't carry them.
+    keyed = keyed.join(F.broadcast(sources.select("known", "name", "shards")), same).drop("known", "name")
     order = [F.col(id_col), *[F.xxhash64(F.col(c)) for c in columns if c != id_col and "map<" not in dict(docs.dtypes)[c]]]
     keyed = keyed.withColumn("mix_shard", F.pmod(F.xxhash64(*order), F.col("shards")))
     # Where a shard's rows begin within their source.
@@ -182,6 +184,7 @@ def schedule(
     ranked = ranked.join(starts, ["mix_source", "mix_shard"])
     row = F.col("start") + F.col("rank")
     ranked = ranked.withColumn("mix_block", F.floor(row / block_rows).cast("long")).withColumn("mix_row", F.pmod(row, F.lit(block_rows)))
+    ranked = ranked.join(F.broadcast(sources.select("known", "name", "runs")), same)
     run = F.get(F.filter("runs", lambda r: (F.col("mix_block") >= r["first_block"]) & (F.col("mix_block") < r["first_block"] + r["blocks"])), F.lit(0))
     ranked = ranked.withColumn("run", run)
     within = F.col("mix_block") - F.col("run.first_block")
