@@ -65,7 +65,7 @@ def read_edr(spark: SparkSession, path: str) -> DataFrame:
 
 def read_pqr(spark: SparkSession, path: str) -> DataFrame:
     """``line``, ``atom``, ``residue``, ``x``, ``y``, ``z``, ``charge``, ``radius`` of the atoms of a PQR file."""
-    whole = spark.read.option("wholetext", "true").text(path)
+    whole = spark.read.text(path, wholetext=True)
     lines = whole.select(F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
     atoms = lines.filter(F.startswith("value", F.lit("ATOM")) | F.startswith("value", F.lit("HETATM"))).select("line", F.split(F.trim("value"), r"\s+").alias("f")).filter(F.size("f") >= 10)
     if atoms.isEmpty():
@@ -83,7 +83,7 @@ def infer_debye_length(spark: SparkSession, *logs: str) -> float:
     """The Debye length that the first log with one states; logs that aren't there are passed over."""
     for log in logs:
         try:
-            found = spark.read.option("wholetext", "true").text(log).select(first_match(F.col("value"), DEBYE_PATTERNS).alias("v")).filter("v is not null").first()
+            found = spark.read.text(log, wholetext=True).select(first_match(F.col("value"), DEBYE_PATTERNS).alias("v")).filter("v is not null").first()
         except Exception as error:  # a log that isn't there
             if "PATH_NOT_FOUND" not in str(error):
                 raise
@@ -126,7 +126,7 @@ def looks_like_smiles(smiles: Column) -> Column:
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """``path``, ``est``, ``unc`` of job results; what can't be read is null."""
-    text = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("path"), "value")
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
     number = lambda p: F.get_json_object("value", p).try_cast("double")
     return text.select("path", number("$.estimate.magnitude").alias("est"), number("$.uncertainty.magnitude").alias("unc"))
 

@@ -47,7 +47,7 @@ def load_trajectories(spark: SparkSession, paths: list[str], atoms: list[DataFra
 
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
     """(``path``, ``at``, ``value``): a text file's lines in order; a file is one row first."""
-    whole = spark.read.option("wholetext", "true").text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     return whole.select("path", F.posexplode(F.split("text", "\r?\n")).alias("at", "value"))
 
 
