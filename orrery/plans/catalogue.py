@@ -522,9 +522,9 @@ def _overrides(spark, d):
     return nation.join(region, nation["n_nationkey"] == region["r_regionkey"], "left").select(F.col("n_nationkey").alias("res_num"), F.col("r_name").alias("variant"))
 
 
-@query("unmatched_overrides", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("unmatched_overrides", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def _unmatched(spark, d):
-    customers, orders = table(spark, d, "customer"), table(spark, d, "orders")
+    customers, orders = table(spark, d, "customer"), table(spark, d, "orders").filter("o_orderstatus = 'P'")
     return customers.join(orders, customers["c_custkey"] == orders["o_custkey"], "left_anti").select("c_custkey")
 
 
@@ -582,14 +582,14 @@ def _replica_status(spark, d):
     return status.replica_status(parts.withColumn("unc", F.col("est")), jobs, attempts).select("transform", "replica", "status")
 
 
-@query("preempt_antijoin", """WITH m AS (SELECT max(ts) AS now FROM events), p AS (SELECT DISTINCT user_id AS array_job_id, event_type AS task_id FROM events, m WHERE ts >= now - INTERVAL 20 MINUTE),
-q AS (SELECT user_id AS array_job_id, event_type AS task_id FROM events WHERE event_id%2 = 0)
+@query("preempt_antijoin", """WITH m AS (SELECT max(ts) AS now FROM events), p AS (SELECT DISTINCT user_id AS array_job_id, event_type AS task_id FROM events, m WHERE ts >= now - INTERVAL 2000 MINUTE),
+q AS (SELECT user_id AS array_job_id, event_type AS task_id FROM events WHERE value < 20)
 SELECT array_job_id, task_id FROM p WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.array_job_id = p.array_job_id AND q.task_id = p.task_id)""")
 def _preempted(spark, d):
-    events = table(spark, d, "events").select(F.col("user_id").alias("array_job_id"), F.col("event_type").alias("task_id"), "ts", "event_id", F.lit("R").alias("state"), F.lit("w").alias("workdir"))
+    events = table(spark, d, "events").select(F.col("user_id").alias("array_job_id"), F.col("event_type").alias("task_id"), "ts", "value", F.lit("R").alias("state"), F.lit("w").alias("workdir"))
     now = F.lit(events.agg(F.max("ts")).first()[0])
-    queue = events.filter("event_id % 2 = 0")
-    return status.with_preempted(queue, events, now).filter("state = 'REQUEUING'").select("array_job_id", "task_id")
+    queue = events.filter("value < 20")
+    return status.with_preempted(queue, events, now, 2000).filter("state = 'REQUEUING'").select("array_job_id", "task_id")
 
 
 @query("work_enumeration", """WITH b AS (SELECT l_suppkey AS transform, l_linenumber AS replica FROM lineitem WHERE l_quantity < 5 UNION SELECT l_suppkey, CAST(l_tax*100 AS INTEGER) FROM lineitem WHERE l_quantity > 48)
