@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.session import staged
+
 # Fixed value: the gas constant in kJ/mol/K.
 GAS_CONSTANT = 8.314462618e-3
 DEFAULT_TEMPERATURE = 298.15
@@ -56,26 +58,26 @@ def free_energy(
         raise ValueError("ranges must not be empty")
     binned = xy.select(bin_index(F.col("x"), F.lit(x0), F.lit(x1), nx).alias("bx"), bin_index(F.col("y"), F.lit(y0), F.lit(y1), ny).alias("by"))
     counts = binned.dropna().groupBy("bx", "by").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    if not (total.first()[0] or 0):
+    counts = staged(counts, "cell-counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    if not total:
         raise ValueError("no cell was sampled")
     wx, wy = (x1 - x0) / nx, (y1 - y0) / ny
     grid = spark.range(nx * ny).select(F.floor(F.col("id") / ny).cast("int").alias("bx"), (F.col("id") % ny).cast("int").alias("by"))
-    # One row, the number of samples, for each cell.
-    cells = grid.join(counts, ["bx", "by"], "left").crossJoin(F.broadcast(total))
-    cells = cells.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("density", F.col("n") / (F.col("total") * wx * wy))
+    cells = grid.join(counts, ["bx", "by"], "left")
+    cells = cells.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("density", F.col("n") / F.lit(total * wx * wy))
     cells = cells.withColumn("observed", F.col("density") > min_probability)
     rt = GAS_CONSTANT * temperature_k
     raw = F.when(F.col("observed"), -rt * F.ln(F.greatest("density", F.lit(min_probability))))
     cells = cells.withColumn("raw", raw)
-    least = cells.agg(F.min("raw").alias("least"))
-    if least.first()[0] is None:
+    least = cells.agg(F.min("raw")).first()[0]
+    if least is None:
         raise ValueError("no cell is above min_probability")
-    return cells.crossJoin(F.broadcast(least)).select(
+    return cells.select(
         "bx", "by",
         (x0 + F.col("bx") * wx).alias("x_lo"), (x0 + (F.col("bx") + 1) * wx).alias("x_hi"),
         (y0 + F.col("by") * wy).alias("y_lo"), (y0 + (F.col("by") + 1) * wy).alias("y_hi"),
-        "n", "density", "observed", (F.col("raw") - F.col("least")).alias("free_energy"),
+        "n", "density", "observed", (F.col("raw") - F.lit(least)).alias("free_energy"),
     )
 
 

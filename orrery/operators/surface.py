@@ -148,10 +148,9 @@ def dssp(frames: DataFrame, atoms: DataFrame, simplified: bool = True) -> DataFr
 
 def code_frequency(codes: DataFrame, simplified: bool = True) -> DataFrame:
     """``resid``, ``code``, ``frequency``: every residue with every class, H E C or those that occur."""
-    spark = codes.sparkSession
-    classes = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in "HEC"])).alias("code")) if simplified else codes.select("code").distinct()
+    # Eight classes at most.
+    classes = list("HEC") if simplified else sorted(r["code"] for r in codes.select("code").distinct().collect())
     totals = codes.groupBy("resid").agg(F.count("*").alias("total"))
     counts = codes.groupBy("resid", "code").agg(F.count("*").alias("n"))
-    # Eight classes at most for each residue.
-    full = totals.crossJoin(F.broadcast(classes)).join(counts, ["resid", "code"], "left")
+    full = totals.withColumn("code", F.explode(F.array(*[F.lit(x) for x in classes]))).join(counts, ["resid", "code"], "left")
     return full.select("resid", "code", (F.coalesce("n", F.lit(0)) / F.col("total")).alias("frequency"))
