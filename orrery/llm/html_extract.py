@@ -62,6 +62,10 @@ newsletter subscribe subscription signup login search share sharing social
 comment comments commentlist respond reply replies discussion disqus feedback
 skip hidden toolbar tooltip
 """.split())
+# Of these, words that also name a page's layout (a class "with-sidebar"
+# may hold everything), and words by which an article element is none.
+LAYOUT_WORDS = frozenset("sidebar sidebars rail nav navbar navigation menu header masthead topbar footer banner ad ads cookie cookies widget widgets".split())
+NO_ARTICLE_WORDS = frozenset("comment comments reply replies related recommended recommendations promo promoted sponsored ad advert advertisement widget popular teaser".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>?""", re.S)
@@ -73,33 +77,34 @@ _CACHE: dict[str, "Node"] = {}
 
 
 class Node:
-    """An element: label, what it is for the text, children (elements and strings) and its number in the tree."""
+    """An element: label, what it is for the text (``soft``: by a word of the layout), children (elements and strings)."""
 
-    __slots__ = ("tag", "label", "part", "children", "number")
+    __slots__ = ("tag", "label", "part", "soft", "children")
 
-    def __init__(self, tag: str, label: str = "", part: str = ""):
-        self.tag, self.label, self.part, self.children, self.number = tag, label or tag, part, [], -1
+    def __init__(self, tag: str, label: str = "", part: str = "", soft: bool = False):
+        self.tag, self.label, self.part, self.soft, self.children = tag, label or tag, part, soft, []
 
 
 def _open(tag: str, attributes: str) -> Node:
     """The node of a start tag; ``part`` says that it is dropped, or a main part."""
     part = "drop" if tag in DROPPED else tag if tag in ("article", "main", "header") else ""
-    label = tag
+    label, soft = tag, part != "drop"
     if attributes and not attributes.isspace():
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name in ("class", "id"):
                 label += f"{'.' if name == 'class' else '#'}{re.sub('[0-9]+', '', value)}"
-                if tag not in ("html", "body", "article", "main") and not DROPPED_WORDS.isdisjoint(w.lower() for w in _WORDS.findall(value)):
-                    part = "drop"
+                named = {w.lower() for w in _WORDS.findall(value)} & (NO_ARTICLE_WORDS if tag == "article" else DROPPED_WORDS)
+                if named and tag not in ("html", "body", "main"):
+                    part, soft = "drop", soft and named <= LAYOUT_WORDS and tag != "article"
             elif name == "role":
                 role = value.lower()
-                part = "drop" if role in DROPPED_ROLES else role if role in ("main", "article") else part
+                part, soft = ("drop", False) if role in DROPPED_ROLES else (role if role in ("main", "article") and part != "drop" else part, soft)
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-                part = "drop"
+                part, soft = "drop", False
             elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                part = "drop"
-    return Node(tag, label, part)
+                part, soft = "drop", False
+    return Node(tag, label, part, soft)
 
 
 def parse(text: str) -> Node:
@@ -149,6 +154,10 @@ def parse(text: str) -> Node:
                     break
         node = _open(tag, attributes or "")
         stack[-1].children.append(node)
+        if node.part in ("article", "main"):
+            for above in stack:  # what holds an article is no sidebar, whatever its layout is called
+                if above.soft and above.part == "drop":
+                    above.part = ""
         if tag not in VOID and len(stack) < 400:
             stack.append(node)
     return root

@@ -21,6 +21,13 @@ def test_main_and_body():
     assert H.extract("<p>Alone</p><ul><li><a href=x>menu one</a></li></ul><div hidden>no</div>tail") == "Alone tail"
 
 
+def test_layout_words_and_comments():
+    inner = "<article><p>Kept</p></article><div class='comments'><article class='comment'><p>Me too</p></article></div>"
+    assert H.extract(f"<body class='has-sidebar'><div class='page sidebar-right'>{inner}</div><div class='sidebar'>Links</div></body>") == "Kept"
+    assert H.extract("<div><article class='comment'>no</article><article class='post'>yes</article></div>") == "yes"
+    assert H.extract("<div class='cookie-notice'>no</div><div class='story'>yes</div>") == "yes"
+
+
 def test_malformed():
     assert H.extract("<article><p><b>bold<p>next</article><footer>f") == "bold next"
     assert H.extract("a < b <3 &amp; c > d <br/> e <unclosed") .startswith("a < b <3 & c > d")
