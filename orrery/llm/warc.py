@@ -38,6 +38,8 @@ REVISIT_BYTES = 1_000
 RANGE_BYTES = 16 << 20
 #: Bytes that are read at once.
 READ_BYTES = 4 << 20
+#: Repeated payloads that every task is told of, at most.
+SEND_ROWS = 500_000
 #: Longest head of a record.
 HEAD_BYTES = 64 << 10
 
@@ -55,7 +57,9 @@ def with_roles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("bytes", F.octet_length("html").cast("long"))
     large = rows.filter(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
-    return rows.join(large.filter("n > 1").select("digest", "keeper"), "digest", "left")
+    repeated = staged(large.filter("n > 1").select("digest", "keeper"), "warc-repeated")
+    # Up to SEND_ROWS rows of some 60 bytes go to every task; beyond, the join shuffles the pages.
+    return rows.join(F.broadcast(repeated) if repeated.count() <= SEND_ROWS else repeated, "digest", "left")
 
 
 def records(roles: DataFrame) -> DataFrame:
