@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.session import staged
@@ -12,18 +14,17 @@ GAS_CONSTANT = 8.314462618e-3
 DEFAULT_TEMPERATURE = 298.15
 
 
-def bin_index(x: Column, low: Column, high: Column, bins: int) -> Column:
-    """The bin of a value among equal bins; the last one is closed, outside is null.
+def with_bin(df: DataFrame, column: str, low: float, high: float, bins: int, name: str) -> DataFrame:
+    """Adds the bin of a value among equal bins; the last one is closed, outside is null.
 
     The index is corrected against the edges themselves, ``low + k * (high - low) / bins``,
     so that a value on an edge falls into the bin above.
     """
     width = (high - low) / bins
-    guess = F.least(F.greatest(F.floor((x - low) / width), F.lit(0)), F.lit(bins - 1))
-    edge = lambda k: low + k * width
-    down = F.when((guess > 0) & (x < edge(guess)), guess - 1).otherwise(guess)
-    up = F.when((down < bins - 1) & (x >= edge(down + 1)), down + 1).otherwise(down)
-    return F.when(x.between(low, high), up).cast("int")
+    x, k = F.col(column), F.col(name)
+    df = df.withColumn(name, F.when(x.between(low, high), F.least(F.floor((x - low) / width), F.lit(bins - 1)).cast("int")))
+    df = df.withColumn(name, F.when((k > 0) & (x < low + k * width), k - 1).otherwise(k))
+    return df.withColumn(name, F.when((k < bins - 1) & (x >= low + (k + 1) * width), k + 1).otherwise(k))
 
 
 def free_energy(
@@ -53,13 +54,13 @@ def free_energy(
         if low[4] < 2:
             raise ValueError("at least two samples are needed")
         ranges = tuple((a - 0.5, b + 0.5) if a == b else (a, b) for a, b in ((low[0], low[1]), (low[2], low[3])))
-    (x0, x1), (y0, y1) = ranges
+    (x0, x1), (y0, y1) = ((float(a), float(b)) for a, b in ranges)
     if x1 <= x0 or y1 <= y0:
         raise ValueError("ranges must not be empty")
-    binned = xy.select(bin_index(F.col("x"), F.lit(x0), F.lit(x1), nx).alias("bx"), bin_index(F.col("y"), F.lit(y0), F.lit(y1), ny).alias("by"))
-    counts = binned.dropna().groupBy("bx", "by").agg(F.count("*").alias("n"))
+    binned = with_bin(with_bin(xy, "x", x0, x1, nx, "bx"), "y", y0, y1, ny, "by")
+    counts = binned.select("bx", "by").dropna().groupBy("bx", "by").agg(F.count("*").alias("n"))
     counts = staged(counts, "cell-counts")
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    total, largest = counts.agg(F.sum("n"), F.max("n")).first()
     if not total:
         raise ValueError("no cell was sampled")
     wx, wy = (x1 - x0) / nx, (y1 - y0) / ny
@@ -70,14 +71,15 @@ def free_energy(
     rt = GAS_CONSTANT * temperature_k
     raw = F.when(F.col("observed"), -rt * F.ln(F.greatest("density", F.lit(min_probability))))
     cells = cells.withColumn("raw", raw)
-    least = cells.agg(F.min("raw")).first()[0]
-    if least is None:
+    top = largest / (total * wx * wy)
+    if top <= min_probability:
         raise ValueError("no cell is above min_probability")
+    least = -rt * math.log(top)
     return cells.select(
         "bx", "by",
         (x0 + F.col("bx") * wx).alias("x_lo"), (x0 + (F.col("bx") + 1) * wx).alias("x_hi"),
         (y0 + F.col("by") * wy).alias("y_lo"), (y0 + (F.col("by") + 1) * wy).alias("y_hi"),
-        "n", "density", "observed", (F.col("raw") - F.lit(least)).alias("free_energy"),
+        "n", "density", "observed", F.greatest(F.col("raw") - F.lit(least), F.when(F.col("observed"), F.lit(0.0))).alias("free_energy"),
     )
 
 

@@ -220,7 +220,7 @@ def test_bins_on_edges(spark):
     x = np.repeat(np.arange(1, 51), 3).astype(float)
     df = spark.createDataFrame([(float(v),) for v in x], "x double")
     for n in (20, 25, 49, 50):
-        got = df.select(fes.bin_index(F.col("x"), F.lit(1.0), F.lit(50.0), n).alias("b")).groupBy("b").count().collect()
+        got = fes.with_bin(df, "x", 1.0, 50.0, n, "b").groupBy("b").count().collect()
         want = np.histogram(x, n)[0]
         assert {r["b"]: r["count"] for r in got} == {i: c for i, c in enumerate(want) if c}
 
