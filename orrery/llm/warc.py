@@ -188,50 +188,51 @@ def candidates(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -
 
 def verified(found: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """The candidates on the chain from their file's start."""
-    found = staged(found, "warc-candidates")
-    links = found.select("path", "range", "offset", "successor")
+    # Pointers name a file by 64 bits of its path: a path in every row would dwarf them.
+    found = staged(found.withColumn("file", F.xxhash64("path")), "warc-candidates")
+    links = found.select("file", "range", "offset", "successor")
 
     def exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each candidate of a range, where its chain leaves the range."""
         held: dict[tuple, dict[int, int]] = {}
         for batch in batches:
-            for path, part, at, after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault((path, part), {})[at] = after
-        for (path, _), own in held.items():
+            for file, part, at, after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault((file, part), {})[at] = after
+        for (file, _), own in held.items():
             leave: dict[int, int] = {}
             for at in sorted(own, reverse=True):  # successors lie behind
                 leave[at] = leave.get(own[at], own[at])
-            rows = [(path, at, out) for at, out in leave.items()]
+            rows = [(file, at, out) for at, out in leave.items()]
             cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["path", "offset", "leave"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["file", "offset", "leave"])
 
-    jumps = staged(links.repartition("path", "range").mapInArrow(exits, "path string, offset long, leave long"), "warc-exits")
+    jumps = staged(links.repartition("file", "range").mapInArrow(exits, "file long, offset long, leave long"), "warc-exits")
     # Entries: the first record of a file, then where chains leave to, doubling the reach.
-    reached = jumps.filter("offset = 0").select("path", "offset")
-    hop = jumps.select("path", "offset", F.col("leave").alias("to"))
+    reached = jumps.filter("offset = 0").select("file", "offset")
+    hop = jumps.select("file", "offset", F.col("leave").alias("to"))
     while True:
-        onward = reached.join(hop, ["path", "offset"]).join(jumps.select("path", F.col("offset").alias("to")), ["path", "to"], "left_semi").select("path", F.col("to").alias("offset"))
+        onward = reached.join(hop, ["file", "offset"]).join(jumps.select("file", F.col("offset").alias("to")), ["file", "to"], "left_semi").select("file", F.col("to").alias("offset"))
         more = staged(reached.union(onward).distinct(), "warc-reached")
         if more.count() == reached.count():
             break
         reached = more
-        hop = staged(hop.join(hop.select("path", F.col("offset").alias("to"), F.col("to").alias("far")), ["path", "to"]).select("path", "offset", F.col("far").alias("to")).union(hop.join(jumps.select("path", F.col("offset").alias("to")), ["path", "to"], "left_anti").select("path", "offset", "to")), "warc-hops")
-    entries = reached.withColumn("range", F.floor(F.col("offset") / range_bytes)).groupBy("path", "range").agg(F.min("offset").alias("entry"))
+        hop = staged(hop.join(hop.select("file", F.col("offset").alias("to"), F.col("to").alias("far")), ["file", "to"]).select("file", "offset", F.col("far").alias("to")).union(hop.join(jumps.select("file", F.col("offset").alias("to")), ["file", "to"], "left_anti").select("file", "offset", "to")), "warc-hops")
+    entries = reached.withColumn("range", F.floor(F.col("offset") / range_bytes)).groupBy("file", "range").agg(F.min("offset").alias("entry"))
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, tuple[int, dict[int, int]]] = {}
         for batch in batches:
-            for path, part, at, after, entry in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault((path, part), (entry, {}))[1][at] = after
-        for (path, _), (at, own) in held.items():
+            for file, part, at, after, entry in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault((file, part), (entry, {}))[1][at] = after
+        for (file, _), (at, own) in held.items():
             kept = []
             while at in own:
                 kept.append(at)
                 at = own[at]
-            yield pa.RecordBatch.from_arrays([pa.array([path] * len(kept), pa.string()), pa.array(kept, pa.int64())], ["path", "offset"])
+            yield pa.RecordBatch.from_arrays([pa.array([file] * len(kept), pa.int64()), pa.array(kept, pa.int64())], ["file", "offset"])
 
-    dealt = links.join(entries, ["path", "range"]).select("path", "range", "offset", "successor", "entry").repartition("path", "range")
-    return found.join(dealt.mapInArrow(follow, "path string, offset long"), ["path", "offset"], "left_semi")
+    dealt = links.join(entries, ["file", "range"]).select("file", "range", "offset", "successor", "entry").repartition("file", "range")
+    return found.join(dealt.mapInArrow(follow, "file long, offset long"), ["file", "offset"], "left_semi")
 
 
 def read(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
