@@ -178,9 +178,11 @@ def training_set(spark: SparkSession, docs: DataFrame, text_col: str) -> DataFra
     around = F.array(*[F.lit(x) for x in ("this", "file", "text", "and", "data", "is", "see", "here")])
     lead = F.when(chance("passage", 1) < 40, F.slice(around, F.lit(1) + F.pmod(F.col("i"), F.lit(4)), 3)).otherwise(F.array().cast("array<string>"))
     variant = variant.select("family", F.array_join(F.when(F.col("i") == 0, w).otherwise(F.concat(lead, thinned)), " ").alias("passage"), (F.pmod(F.col("i"), F.lit(4)) == 3).alias("held"))
-    corpus = docs.select(F.col(text_col).cast("string").alias("text")).filter("text is not null").orderBy(F.xxhash64("text")).limit(NEGATIVES)
-    corpus = corpus.select(F.lit(UNKNOWN).alias("family"), F.get(sentences(F.get(F.split("text", "\n"), F.lit(0))), F.lit(0)).alias("passage"), (F.pmod(F.xxhash64("text"), F.lit(4)) == 3).alias("held"))
-    corpus = corpus.filter(F.col("passage").isNotNull() & ~has_anchor(F.col("passage")))
+    # Only each text's first sentence, cut to a window, is sorted by hash.
+    first = F.get(sentences(F.get(F.split(F.col(text_col).cast("string"), "\n"), F.lit(0))), F.lit(0))
+    corpus = docs.select(F.lit(UNKNOWN).alias("family"), F.array_join(F.slice(F.split(first, r"\s+"), 1, WINDOW), " ").alias("passage"))
+    corpus = corpus.filter(F.col("passage").isNotNull() & ~has_anchor(F.col("passage"))).withColumn("mark", F.xxhash64("passage")).orderBy("mark", "passage").limit(NEGATIVES)
+    corpus = corpus.select("family", "passage", (F.pmod("mark", F.lit(4)) == 3).alias("held"))
     label = F.array_position(F.array(*[F.lit(x) for x in classes()]), F.col("family")) - 1
     return variant.union(corpus).select(label.cast("double").alias("label"), "passage", "held")
 
