@@ -26,14 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import ship_code, slices_by_chars
+from orrery.llm.common import ship_code, slices_by_chars, worker_cache
 
 #: Characters of text whose words are replayed together.
-SLICE_CHARS = 24_000_000
+SLICE_CHARS = 10_000_000
 #: Words that a worker keeps before it starts a new cache.
-CACHE_WORDS = 800_000
-
-_LOADED: dict[str, "MergeReplay"] = {}
+CACHE_WORDS = 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -241,11 +239,20 @@ def binary_array(parts: list[np.ndarray]) -> pa.Array:
     return wide.cast(pa.binary())
 
 
-def _replayer(key: str, ranks, pattern: str) -> MergeReplay:
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = MergeReplay(ranks.value, pattern)
-    return _LOADED[key]
+def runs_by_chars(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Batches together, up to about ``SLICE_CHARS`` characters; larger ones cut."""
+    run, total = [], 0
+    for batch in batches:
+        for start, stop in slices_by_chars(batch.column(1), SLICE_CHARS):
+            part = batch.slice(start, stop - start)
+            size = part.column(1).nbytes
+            if run and total + size > SLICE_CHARS:
+                yield run
+                run, total = [], 0
+            run.append(part)
+            total += size
+    if run:
+        yield run
 
 
 def default_ranks() -> tuple[str, str]:
@@ -264,15 +271,16 @@ def encode(
     path, default_pattern = default_ranks() if ranks_path is None or pattern is None else (ranks_path, pattern)
     path, pattern = ranks_path or path, pattern or default_pattern
     ranks = spark.sparkContext.broadcast(read_ranks(path))
-    key = f"{path}\0{pattern}"
+    key = ("bpe", path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _replayer(key, ranks, pattern)
-        for batch in batches:
-            for start, stop in slices_by_chars(batch.column(1), SLICE_CHARS):
-                part = batch.slice(start, stop - start)
-                ids = model.encode(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), binary_array(ids)], ["id", "ids"])
+        model = worker_cache(key, lambda: MergeReplay(ranks.value, pattern))
+        for run in runs_by_chars(batches):
+            ids = model.encode([t for batch in run for t in batch.column(1).to_pylist()])
+            at = 0
+            for batch in run:
+                yield pa.RecordBatch.from_arrays([batch.column(0), binary_array(ids[at : at + len(batch)])], ["id", "ids"])
+                at += len(batch)
 
     source = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["id"].dataType.simpleString()
@@ -288,10 +296,10 @@ def decode(
     path, default_pattern = default_ranks() if ranks_path is None or pattern is None else (ranks_path, pattern)
     path, pattern = ranks_path or path, pattern or default_pattern
     ranks = spark.sparkContext.broadcast(read_ranks(path))
-    key = f"{path}\0{pattern}"
+    key = ("bpe", path, pattern)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = _replayer(key, ranks, pattern)
+        model = worker_cache(key, lambda: MergeReplay(ranks.value, pattern))
         for batch in batches:
             data = [model.decode(np.frombuffer(ids or b"", "<u4")) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(

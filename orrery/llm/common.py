@@ -5,21 +5,33 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from orrery.session import scratch_path, scratch_root, ship_code, staged
+from orrery.session import scratch_path, scratch_root, staged
+from orrery.session import ship_code as _ship_code
 
 __all__ = [
     "DOC_COLUMNS", "read_table", "scratch_path", "scratch_root", "ship_code", "staged",
-    "fnv_mix", "hash_strings", "slices_by_chars",
+    "fnv_mix", "slices_by_chars", "worker_cache",
 ]
 
 #: The columns of ``documents``; stages of the pipeline return exactly these.
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+#: Rows of an Arrow batch: whole texts are long, and a batch is held several times over.
+BATCH_ROWS = 2_000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Makes the package importable in workers, and batches small enough for long texts."""
+    _ship_code(spark)
+    now = int(spark.conf.get(_BATCH_SETTING, "10000"))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,13 +45,6 @@ def fnv_mix(x: np.ndarray, seed: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def hash_strings(words: list[str]) -> np.ndarray:
-    """Stable unsigned 64-bit hashes, the same in every process."""
-    from xxhash import xxh3_64_intdigest
-
-    return np.fromiter((xxh3_64_intdigest(w) for w in words), dtype=np.uint64, count=len(words))
-
-
 def slices_by_chars(column: pa.Array | pa.ChunkedArray, limit: int):
     """Split a string column into (start, stop) runs of about ``limit`` characters.
 
@@ -56,5 +61,16 @@ def slices_by_chars(column: pa.Array | pa.ChunkedArray, limit: int):
         yield start, len(sizes)
 
 
-def empty_like(df: DataFrame) -> DataFrame:
-    return df.filter(F.lit(False))
+_KEPT: dict = {}
+
+
+def worker_cache(key, make):
+    """What a Python worker keeps between batches: one thing at a time, the last asked for.
+
+    Workers are used again by later stages; without this, each stage's words would
+    stay in memory beside the next one's.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import fnv_mix, ship_code, slices_by_chars, staged
+from orrery.llm.common import fnv_mix, ship_code, slices_by_chars, staged, worker_cache
 from orrery.llm.graph import components
 
 WORDS = 5
@@ -121,6 +121,7 @@ def _texts(docs: DataFrame) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("sketches", dict)  # what an earlier stage kept goes
         for batch in batches:
             for start, stop in slices_by_chars(batch.column(1), 2_000_000):
                 part = batch.slice(start, stop - start)
@@ -190,11 +191,8 @@ def _bucket_links(members: DataFrame) -> DataFrame:
 
 def candidates(texts: DataFrame, recall: float = RECALL, similarity: float = SIMILARITY) -> DataFrame:
     """Links (``a``, ``b``) that connect the candidate groups of ``texts`` (``key``, ``sketch``)."""
-    spark = texts.sparkSession
-    runs = runs_for(recall, similarity)
-    roots = spark.range(runs).select(F.xxhash64(F.lit("run"), "id").alias("node"))
-    # One row a run: a constant few.
-    nodes = texts.crossJoin(F.broadcast(roots))
+    runs = F.sequence(F.lit(1), F.lit(runs_for(recall, similarity)))
+    nodes = texts.withColumn("node", F.explode(F.transform(runs, lambda i: F.xxhash64(F.lit("run"), i))))
     links = []
     for depth in range(1, DEPTH + 1):
         nodes = staged(_children(nodes), f"nodes{depth}")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import ship_code, slices_by_chars, staged
+from orrery.llm.common import ship_code, slices_by_chars, staged, worker_cache
 
 #: Labelled rows that the model is fitted on, at most.
 MAX_LABELLED = 20_000
@@ -47,7 +47,6 @@ L1 = 2e-3
 RIDGE = 1e-3
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
-_CACHES: dict[int, "Scores"] = {}
 
 
 def token_features(token: str) -> list[str]:
@@ -175,6 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = staged(one_of_copies(text.join(F.broadcast(chosen), "id").select("y", "text")), "toxic-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("features", dict)  # what an earlier stage kept goes
         for batch in batches:
             seen = (Counter(), Counter())
             for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -252,32 +252,32 @@ def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str
     """
     ship_code(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    key = id(sent)
+    key = ("toxicity", id(sent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        if key not in _CACHES:
-            _CACHES.clear()
-            _CACHES[key] = Scores(own.weights)
-        cache = _CACHES[key]
+        cache = worker_cache(key, lambda: Scores(own.weights))
         for batch in batches:
-            if len(cache) > 1_000_000:
+            if len(cache) > 300_000:
                 cache.clear()
             eta = []
-            for start, stop in slices_by_chars(batch.column(1), 8_000_000):
-                for text in batch.column(1).slice(start, stop - start).to_pylist():
+            texts = batch.column(1).field(text_col) if carry else batch.column(1)
+            for start, stop in slices_by_chars(texts, 8_000_000):
+                for text in texts.slice(start, stop - start).to_pylist():
                     eta.append(sum(map(cache.__getitem__, set(text.lower().split()))) if text else 0.0)
             exceed = own.exceed(np.array(eta, float))
             severity = exceed.sum(1)
             at_least = np.concatenate([np.ones((len(eta), 1)), exceed, np.zeros((len(eta), 1))], 1)
             grade = (at_least[:, :-1] - at_least[:, 1:]).argmax(1)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(severity), pa.array(exceed[:, 0]), pa.array(grade.astype(np.int32)), pa.array(exceed[:, 0] >= own.cut), *batch.columns[2:]],
+                [batch.column(0), pa.array(severity), pa.array(exceed[:, 0]), pa.array(grade.astype(np.int32)), pa.array(exceed[:, 0] >= own.cut), *([batch.column(1)] if carry else [])],
                 ["id", "severity", "p_toxic", "grade", "is_toxic", *more],
             )
 
     more = ["carried"] if carry else []
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
+    # The text goes to Python once: as a column, or within what is carried.
+    text = F.struct(*carry).alias("carried") if carry else F.col(text_col).cast("string").alias("text")
+    source = docs.select(F.col(id_col).alias("id"), text)
     if not model.fitted:
         return source.select(
             F.col("id").alias(id_col), F.lit(0.0).alias("severity"), F.lit(0.0).alias("p_toxic"), F.lit(0).alias("grade"), F.lit(False).alias("is_toxic"), *more
