@@ -3,11 +3,10 @@
 Every source is cut into blocks of ``block_rows`` rows. Block ``i`` (from 1) of a
 source with weight ``w`` is released at slot ``floor((i - 1) / w)`` and due by
 slot ``ceil(i / w)``; each slot takes the released block with the earliest
-deadline. In every prefix a source then has less than one block more or less than
-its weight asks for. Weights are rounded to multiples of ``1 / period`` (largest
-remainders), so the schedule repeats every ``period`` slots and one period says
-where every block goes: block ``q * c + j`` of a source with ``c`` blocks a period
-has slot ``q * period + slot(j)``.
+deadline. In every prefix of a phase a source then has less than one block more or
+less than its weight asks for, however long the phase is: releases and deadlines
+are built from the weight itself, as a fraction of ``PRECISION`` (over a thousand
+million slots its rounding adds up to less than a millionth of a block).
 
 A source that has no block left drops out and the weights of the others grow in
 proportion; this starts a new phase, scheduled in the same way. So no row is
@@ -15,9 +14,11 @@ dropped or repeated, and the result says in which phase a row lies. The phases a
 computed from one row per source.
 
 The schedule itself is planned from the weights and one count a source by plain
-arithmetic on the driver (at most ``MAX_SOURCES`` sources, ``period`` slots a
-phase); rows meet it only through a join with one row a source, whose size that
-bounds. Everything that touches rows is a DataFrame operation.
+arithmetic on the driver (at most ``MAX_SOURCES`` sources). It has one number a block,
+which the driver doesn't keep: pieces of ``PIECE_BLOCKS`` go to a table in the shared
+folder, a row for every ``period`` blocks of a source. Rows meet it only through a
+join, by broadcast up to ``SEND_BLOCKS`` blocks. Everything that touches rows is a
+DataFrame operation.
 
 Blocks need not follow the order of the table: rows are dealt by hash into shards
 of a source that fit a task, and a source's blocks are its shards end to end. A
@@ -35,15 +36,22 @@ import heapq
 import json
 import math
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orrery.llm.common import scratch_path
+
 #: Rows of a block.
 BLOCK_ROWS = 16
-#: Slots after which the schedule of a phase repeats (more where there are more sources).
+#: Slots of a run, and blocks of a source that one row of the schedule's table holds.
 PERIOD = 720
+#: Parts of the whole that weights are rounded to.
+PRECISION = 1 << 50
+#: Blocks of the schedule that the driver holds at once, and that are sent to every task, at most.
+PIECE_BLOCKS, SEND_BLOCKS = 200_000, 4_000_000
 #: Sources that one mix may have.
 MAX_SOURCES = 1_000
 #: Rows that a shard of a source holds at most, about, and the shards that a small source is cut into.
@@ -52,7 +60,7 @@ SHARD_ROWS, SMALL_SHARD_ROWS, SMALL_SHARDS = 20_000, 64, 2_048
 
 @dataclass(frozen=True)
 class Run:
-    """The blocks that a source has in one phase."""
+    """The blocks that a source has in at most ``period`` slots of a phase; their slots count from ``first_slot``."""
 
     source: str | None
     phase: int
@@ -79,58 +87,59 @@ def quantise(weights: list[float], period: int) -> list[int]:
     return counts
 
 
-def earliest_deadline_first(counts: list[int]) -> list[int]:
-    """The source of each slot of one period, whose length is the sum of ``counts``.
+def earliest_deadline_first(counts: list[int]) -> Iterator[int]:
+    """The source of each slot of one period, whose length is the sum of ``counts``, slot by slot.
 
     Block ``i`` of source ``s`` is released at ``floor((i - 1) * period / c)`` and
     due by ``ceil(i * period / c)``.
     """
     period = sum(counts)
-    released: list[list[tuple[int, int, int]]] = [[] for _ in range(period)]
-    for s, c in enumerate(counts):
-        for i in range(1, c + 1):
-            released[(i - 1) * period // c].append((-(-i * period // c), s, i))
-    ready: list[tuple[int, int, int]] = []
-    slots = []
+    taken = [0] * len(counts)
+    # A source's next block only: its blocks are due in order.
+    waiting: list[tuple[int, int, int]] = [(0, -(-period // c), s) for s, c in enumerate(counts)]
+    ready: list[tuple[int, int]] = []
     for slot in range(period):
-        for block in released[slot]:
-            heapq.heappush(ready, block)
-        due, s, _ = heapq.heappop(ready)
+        while waiting and waiting[0][0] <= slot:
+            _, due, s = heapq.heappop(waiting)
+            heapq.heappush(ready, (due, s))
+        due, s = heapq.heappop(ready)
         if due <= slot:
             raise AssertionError("a block missed its deadline")
-        slots.append(s)
-    return slots
+        taken[s] += 1
+        i, c = taken[s], counts[s]
+        if i < c:
+            heapq.heappush(waiting, (i * period // c, -(-(i + 1) * period // c), s))
+        yield s
 
 
-def plan(blocks: dict[str | None, int], weights: dict[str | None, float], period: int = PERIOD) -> list[Run]:
-    """Every source's runs of blocks, phase by phase."""
+def plan(blocks: dict[str | None, int], weights: dict[str | None, float], period: int = PERIOD) -> Iterator[Run]:
+    """Every source's runs of blocks, phase by phase and ``period`` slots by ``period`` slots."""
     left = {s: n for s, n in blocks.items() if n > 0}
     if len(left) > MAX_SOURCES:
         raise ValueError(f"{len(left)} sources; group them into at most {MAX_SOURCES}")
     if any(w is not None and (w < 0 or not math.isfinite(w)) for w in weights.values()):
         raise ValueError("weights must be finite and not negative")
     done = dict.fromkeys(left, 0)
-    runs, first, phase = [], 0, 0
+    first, phase = 0, 0
     while left:
         weighted = [s for s in left if (weights.get(s) or 0) > 0]
         active = sorted(weighted or left, key=lambda s: (s is not None, s))
-        length = max(period, 4 * len(active))
-        counts = quantise([weights[s] if weighted else 1.0 for s in active], length)
-        slots: list[list[int]] = [[] for _ in active]
-        for slot, s in enumerate(earliest_deadline_first(counts)):
-            slots[s].append(slot)
-        # The phase ends with the last block of the source that runs out first.
-        end = min((left[s] - 1) // c * length + own[(left[s] - 1) % c] for s, c, own in zip(active, counts, slots, strict=True)) + 1
-        for s, c, own in zip(active, counts, slots, strict=True):
-            taken = end // length * c + sum(1 for slot in own if slot < end % length)
-            if taken:
-                runs.append(Run(s, phase, first, length, done[s], taken, tuple(own)))
-                done[s] += taken
-                left[s] -= taken
-                if not left[s]:
-                    del left[s]
-        first, phase = first + end, phase + 1
-    return runs
+        counts = quantise([weights[s] if weighted else 1.0 for s in active], PRECISION)
+        slots: dict[str | None, list[int]] = {}
+        for slot, index in enumerate(earliest_deadline_first(counts), first):
+            s = active[index]
+            slots.setdefault(s, []).append(slot - first)
+            left[s] -= 1
+            # The phase ends with the last block of the source that runs out first.
+            if not left[s] or slot - first + 1 == period:
+                for r, own in slots.items():
+                    yield Run(r, phase, first, period, done[r], len(own), tuple(own))
+                    done[r] += len(own)
+                first, slots = slot + 1, {}
+            if not left[s]:
+                del left[s]
+                break
+        phase += 1
 
 
 def flattened(sizes: dict[str | None, int], power: float = 0.5) -> dict[str | None, float]:
@@ -138,6 +147,40 @@ def flattened(sizes: dict[str | None, int], power: float = 0.5) -> dict[str | No
     return {s: float(n) ** power for s, n in sizes.items()}
 
 
+def _inlined(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A few rows as a table."""
+    fields = ",".join(":".join(x.split(" ")) for x in schema.split(", "))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>")))
+
+
+def slot_table(spark: SparkSession, runs: Iterator[Run], size: int) -> DataFrame:
+    """(``known``, ``name``, ``chunk``, ``slots``, ``phases``): where ``size`` blocks of a source, from block ``chunk * size``, go."""
+    schema = "known boolean, name string, chunk long, slots array<long>, phases array<int>"
+    path = scratch_path(spark, "mix-slots")
+    open_rows: dict[str | None, dict] = {}
+    full: list[dict] = []
+
+    def put() -> None:
+        _inlined(spark, full, schema).write.mode("append").parquet(path)
+        full.clear()
+
+    for r in runs:
+        for slot in r.slots:
+            row = open_rows.get(r.source)
+            if row is None:
+                row = open_rows[r.source] = {"known": r.source is not None, "name": r.source or "", "chunk": 0, "slots": [], "phases": []}
+            row["slots"].append(r.first_slot + slot)
+            row["phases"].append(r.phase)
+            if len(row["slots"]) == size:
+                full.append(row)
+                open_rows[r.source] = {**row, "chunk": row["chunk"] + 1, "slots": [], "phases": []}
+                if len(full) * size >= PIECE_BLOCKS:
+                    put()
+    full.extend(row for row in open_rows.values() if row["slots"])
+    put()
+    return spark.read.schema(schema).parquet(path)
+
+
 def schedule(
     docs: DataFrame,
     weights: dict[str | None, float] | None = None,
@@ -161,19 +204,14 @@ def schedule(
     shards = {s: max(-(-n // SHARD_ROWS), min(-(-n // SMALL_SHARD_ROWS), SMALL_SHARDS)) for s, n in sizes.items()}
     runs = plan({s: -(-n // block_rows) for s, n in sizes.items()}, flattened(sizes) if weights is None else weights, period)
 
-    table: dict[str | None, list[dict]] = {s: [] for s in sizes}
-    for r in runs:
-        table[r.source].append({"phase": r.phase, "first_slot": r.first_slot, "period": r.period, "first_block": r.first_block, "blocks": r.blocks, "slots": list(r.slots)})
-    rows = json.dumps([{"known": s is not None, "name": s or "", "shards": shards[s], "runs": runs} for s, runs in table.items()])
-    kind = "array<struct<known:boolean,name:string,shards:long,runs:array<struct<phase:int,first_slot:long,period:long,first_block:long,blocks:long,slots:array<int>>>>>"
-    # One row a source, whose runs hold at most MAX_SOURCES periods of slots in all: small whatever the input.
-    sources = spark.range(1).select(F.inline(F.from_json(F.lit(rows), kind)))
+    sources = _inlined(spark, [{"known": s is not None, "name": s or "", "shards": n} for s, n in shards.items()], "known boolean, name string, shards long")
+    slots = slot_table(spark, runs, period)
 
     name = F.col(source_col).cast("string")
     keyed = docs.withColumn("mix_source", F.struct(name.isNotNull().alias("known"), F.coalesce(name, F.lit("")).alias("name")))
     same = (F.col("mix_source.known") == F.col("known")) & (F.col("mix_source.name") == F.col("name"))
-    # The runs join only after the shuffles, so that rows don't carry them.
-    keyed = keyed.join(F.broadcast(sources.select("known", "name", "shards")), same).drop("known", "name")
+    # The slots join only after the shuffles, so that rows don't carry them.
+    keyed = keyed.join(F.broadcast(sources), same).drop("known", "name")
     order = [F.col(id_col), *[F.xxhash64(F.col(c)) for c in columns if c != id_col and "map<" not in dict(docs.dtypes)[c]]]
     keyed = keyed.withColumn("mix_shard", F.pmod(F.xxhash64(*order), F.col("shards")))
     # Where a shard's rows begin within their source.
@@ -184,16 +222,15 @@ def schedule(
     ranked = ranked.join(starts, ["mix_source", "mix_shard"])
     row = F.col("start") + F.col("rank")
     ranked = ranked.withColumn("mix_block", F.floor(row / block_rows).cast("long")).withColumn("mix_row", F.pmod(row, F.lit(block_rows)))
-    ranked = ranked.join(F.broadcast(sources.select("known", "name", "runs")), same)
-    run = F.get(F.filter("runs", lambda r: (F.col("mix_block") >= r["first_block"]) & (F.col("mix_block") < r["first_block"] + r["blocks"])), F.lit(0))
-    ranked = ranked.withColumn("run", run)
-    within = F.col("mix_block") - F.col("run.first_block")
-    c = F.size("run.slots").cast("long")
-    slot = F.col("run.first_slot") + F.floor(within / c) * F.col("run.period") + F.get("run.slots", F.pmod(within, c).cast("int"))
+    ranked = ranked.withColumn("mix_chunk", F.floor(F.col("mix_block") / period).cast("long"))
+    few = sum(-(-n // block_rows) for n in sizes.values()) <= SEND_BLOCKS
+    ranked = ranked.join(F.broadcast(slots) if few else slots, same & (F.col("mix_chunk") == F.col("chunk")))
+    within = F.pmod("mix_block", F.lit(period)).cast("int")
+    slot = F.get("slots", within)
     return ranked.select(
         *[F.col(x) for x in columns],
         "mix_block",
-        F.col("run.phase").alias("mix_phase"),
+        F.get("phases", within).alias("mix_phase"),
         slot.cast("long").alias("mix_slot"),
         (slot * block_rows + F.col("mix_row")).cast("long").alias("mix_place"),
     )

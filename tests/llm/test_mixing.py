@@ -57,6 +57,37 @@ def test_schedule(spark):
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
 
+def test_exact_weights_over_a_long_phase():
+    # One source with a third of the rows, 19 equal others: the rounding of weights must not add up.
+    blocks = {"hot": 30_000, **{f"s{i:02}": 3_158 for i in range(19)}}
+    weights = mixing.flattened(blocks)
+    slots = {}
+    for r in mixing.plan(blocks, weights):
+        if r.phase == 0:
+            slots.update((r.first_slot + at, r.source) for at in r.slots)
+    total, taken = sum(weights.values()), dict.fromkeys(blocks, 0)
+    assert len(slots) > 20_000
+    for t in range(len(slots)):
+        taken[slots[t]] += 1
+        assert all(abs(taken[s] - (t + 1) * w / total) < 1 + 1e-6 for s, w in weights.items())
+
+
+def test_slots_of_the_table(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PIECE_BLOCKS", 20)
+    rows = [(i, "hot" if i % 3 else f"s{i % 7}") for i in range(3_000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    sent = mixing.schedule(df, block_rows=4, period=8).collect()
+    monkeypatch.setattr(mixing, "SEND_BLOCKS", 0)
+    assert sorted(sent) == sorted(mixing.schedule(df, block_rows=4, period=8).collect())
+    sizes = {}
+    for _, s in rows:
+        sizes[s] = sizes.get(s, 0) + 1
+    want = {}
+    for r in mixing.plan({s: -(-n // 4) for s, n in sizes.items()}, mixing.flattened(sizes), 8):
+        want.update({(r.source, r.first_block + i): (r.phase, r.first_slot + at) for i, at in enumerate(r.slots)})
+    assert {(r["source"], r["mix_block"]): (r["mix_phase"], r["mix_slot"]) for r in sent} == want
+
+
 def test_errors(spark):
     df = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"))
     with pytest.raises(ValueError):
