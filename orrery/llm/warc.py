@@ -40,8 +40,8 @@ RANGE_BYTES = 16 << 20
 READ_BYTES = 4 << 20
 #: Repeated payloads that every task is told of, at most.
 SEND_ROWS = 500_000
-#: Longest head of a record.
-HEAD_BYTES = 64 << 10
+#: Bytes of a record's head that are read first; each further piece is as long as all before.
+HEAD_BYTES = 4 << 10
 
 MAGIC = re.compile(rb"(?:^|\n)(?=WARC/1\.[01]\r\n)")
 HEAD_END = b"\r\n\r\n"
@@ -103,6 +103,7 @@ def parse_head(head: bytes) -> dict[str, str] | None:
 def _payload(file, start: int, stop: int, is_http: bool) -> tuple[int, str]:
     """Length and SHA-1 of the payload in a block: what follows an HTTP head, or all of it."""
     digest, size = hashlib.sha1(), 0
+    whole = hashlib.sha1()  # the payload's, if the block turns out to have no HTTP head
     file.seek(start)
     left, waiting = stop - start, is_http
     held = b""
@@ -112,14 +113,37 @@ def _payload(file, start: int, stop: int, is_http: bool) -> tuple[int, str]:
             break
         left -= len(data)
         if waiting:
-            held += data
-            at = held.find(HEAD_END)
-            if at < 0 and left and len(held) < HEAD_BYTES:
+            whole.update(data)
+            seen = held + data
+            at = seen.find(HEAD_END)
+            if at < 0:
+                held = seen[-3:]
                 continue
-            data, waiting = held[at + 4 :] if at >= 0 else held, False
+            data, waiting = seen[at + 4 :], False
         digest.update(data)
         size += len(data)
-    return size, digest.hexdigest()
+    return (stop - start - left, whole.hexdigest()) if waiting else (size, digest.hexdigest())
+
+
+def read_head(file, at: int, size: int) -> bytes | None:
+    """The head of the record at ``at``, of any length, without its end; None if there is none.
+
+    Beyond the first piece it's read on only while its lines look like fields, so
+    that many false candidates in one payload don't each read all of it.
+    """
+    file.seek(at)
+    head, looked = file.read(min(HEAD_BYTES, size - at)), 0
+    while (cut := head.find(HEAD_END, max(0, looked - 3))) < 0:
+        # Complete lines from the last that was looked at; the first is the magic.
+        begin, end = head.rfind(b"\r\n", 0, looked) + 2 if looked else head.find(b"\r\n") + 2, head.rfind(b"\r\n")
+        if end > begin and not all(b":" in line and not MAGIC.search(line + b"\r\n", 1) for line in head[begin:end].split(b"\r\n")):
+            return None
+        looked = len(head)
+        more = file.read(min(looked, size - at - looked))
+        if not more:
+            return None
+        head += more
+    return head[:cut]
 
 
 def scan_range(file, start: int, stop: int, size: int) -> list[tuple]:
@@ -138,16 +162,11 @@ def scan_range(file, start: int, stop: int, size: int) -> list[tuple]:
                 starts.append(at)
         low = high
     for at in starts:
-        file.seek(at)
-        head = file.read(min(4096, size - at))
-        if HEAD_END not in head:
-            file.seek(at)
-            head = file.read(min(HEAD_BYTES, size - at))
-        cut = head.find(HEAD_END)
-        fields = parse_head(head[:cut]) if cut >= 0 else None
+        head = read_head(file, at, size)
+        fields = parse_head(head) if head is not None else None
         if fields is None:
             continue
-        block = at + cut + 4
+        block = at + len(head) + 4
         after = block + int(fields["content-length"])
         if after + 4 > size:
             continue

@@ -1,4 +1,5 @@
 import hashlib
+import io
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,6 +44,47 @@ def test_round_trip(spark, tmp_path, range_bytes):
     assert warc.candidates(spark, path, range_bytes).count() > len(out)
 
 
+def test_long_urls(spark, tmp_path):
+    # A head of any length is read, and the pages behind it; blanks are tripled as they are written.
+    urls = ["http://h/0", "http://h/" + "a" * 100_000, "http://h/" + " b" * 60_000, *(f"http://h/{n}" for n in range(3, 9))]
+    pages = [(i, url, f"<p>{i}</p>") for i, url in enumerate(urls)]
+    path = f"file://{tmp_path}/w"
+    warc.write(spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1), path)
+    for range_bytes in (5000, warc.RANGE_BYTES):
+        got = {r["page_id"]: (r["url"], r["intact"]) for r in warc.read(spark, path, range_bytes).collect()}
+        assert got == {i: (url.replace(" ", "%20"), True) for i, url, _ in pages}
+
+
+def test_heads_in_pieces():
+    read = lambda data: warc.read_head(io.BytesIO(data), 0, len(data))
+    for n in [*range(4040, 4110), *range(8140, 8210), 70_000, 1 << 20]:
+        head = b"WARC/1.1\r\nWARC-Target-URI: " + b"u" * n + b"\r\nContent-Length: 3"
+        assert read(head + b"\r\n\r\nabc\r\n\r\n") == head
+        assert read(head) is None
+    assert read(b"WARC/1.1\r\n" + b"x: y\r\n" * 700 + b"no field\r\n" + b"x: y\r\n" * 9000 + b"\r\n") is None
+
+
+def test_many_false_candidates():
+    class Counted(io.BytesIO):
+        total = 0
+
+        def read(self, n=-1):
+            data = super().read(n)
+            Counted.total += len(data)
+            return data
+
+    fake = b"WARC/1.1\r\nA: b\r\n" * 20_000 + b"\r\n"
+    assert warc.scan_range(Counted(fake), 0, len(fake), len(fake)) == []
+    assert Counted.total < 20_000 * 3 * warc.HEAD_BYTES
+
+
+def test_long_http_head():
+    block = b"HTTP/1.1 200 OK\r\nX: " + b"y" * (5 << 20) + b"\r\n\r\n<p>"
+    assert warc._payload(io.BytesIO(block), 0, len(block), True) == (3, hashlib.sha1(b"<p>").hexdigest())
+    assert warc._payload(io.BytesIO(block), 0, len(block), False) == (len(block), hashlib.sha1(block).hexdigest())
+    assert warc._payload(io.BytesIO(b"no head"), 0, 7, True) == (7, hashlib.sha1(b"no head").hexdigest())
+
+
 def test_files_follow_the_format(spark, tmp_path):
     df = spark.createDataFrame([(1, "http://x/", "<p>é</p>")], "page_id long, url string, html string")
     warc.write(df, f"file://{tmp_path}/w")
