@@ -1,7 +1,8 @@
 """Licence scans: a trained passage classifier whose predictions templates confirm.
 
-DataFrame and SQL operations only. Passages are paragraphs (lines), cut into
-sentences. A multinomial logistic regression with elastic-net penalty over hashed
+DataFrame and SQL operations only. Passages are the sentences of lines and, as notices
+are often hard-wrapped, the sentences of paragraphs (lines up to a blank one) that go
+over more than one line. A multinomial logistic regression with elastic-net penalty over hashed
 word n-grams (one to three words) gives each passage a licence family or the class
 ``unknown``. It is trained on the families' templates under random cuts and swaps,
 against sentences that speak of licences without granting a known one, and a
@@ -11,8 +12,15 @@ probability reaches ``LEAST_PROBABILITY`` and, of all templates, the one most
 contained in the passage (by shingles of three words, at least ``LEAST_CONTAINED``)
 is of the predicted family.
 
-Every template holds one of ``ANCHORS``; a passage without any of them can't be
-confirmed, so only passages with one are classified. This loses nothing.
+A passage without any of ``ANCHORS`` and ``HINTS`` can't hold ``LEAST_CONTAINED`` of a
+template: fewer of its shingles are free of these words (tested). So only passages
+with one are classified: nothing that the classifier and a template could confirm is
+left out.
+
+A sentence over several lines counts once a family, and not if a line in it is
+confirmed for that family by itself. Unknown are sentences of a line that have one of
+``ANCHORS`` or enough of a template and aren't confirmed, unless they lie within a
+sentence that is confirmed only as a whole.
 
 Defined results: one row a document; a null or empty text has no licence; null ids
 stay null; repeated rows give repeated results; an empty table gives an empty
@@ -114,6 +122,11 @@ TEMPLATES = {
 }
 # One of these is in every template (lower case).
 ANCHORS = ["licen", "permission", "redistribution", "public domain", "copyright"]
+# With the anchors of one word, these leave less than LEAST_CONTAINED of any template.
+HINTS = [
+    "released", "granted", "obtaining", "documentation", "binary", "modification", "permitted", "gnu", "published", "mozilla", "subject",
+    "eclipse", "available", "distribute", "modify", "unencumbered", "cc0", "waived", "rights", "4.0", "creative",
+]
 UNKNOWN = "unknown"
 # Sentences about licences that grant none of the above.
 OTHER = [
@@ -155,9 +168,29 @@ def sentences(paragraph: Column) -> Column:
     return F.filter(F.split(paragraph, r"(?<=[.!?;])\s+"), lambda s: F.trim(s) != "")
 
 
-def has_anchor(text: Column) -> Column:
+def has_anchor(text: Column, anchors: list[str] = ANCHORS) -> Column:
     low = F.lower(text)
-    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(a)) for a in ANCHORS])
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(a)) for a in anchors])
+
+
+def may_match(text: Column) -> Column:
+    """Whether a text can hold enough of a template, or speaks of licences."""
+    return has_anchor(text, [*ANCHORS, *HINTS])
+
+
+def passages(block: Column) -> Column:
+    """A paragraph's passages (``line``, ``passage``, ``joined``): sentences of its lines, and those over several lines.
+
+    The latter, in one line, have their number from -1 down for a line.
+    """
+    def found(sentence: Column, line: Column, joined: bool) -> Column:
+        return F.struct(line.cast("int").alias("line"), sentence.alias("passage"), F.lit(joined).alias("joined"))
+
+    lines = F.transform(F.split(block, "\n"), lambda x, i: F.transform(F.filter(sentences(x), may_match), lambda s: found(s, i, False)))
+    across = F.transform(sentences(block), lambda s, i: found(F.trim(F.regexp_replace(s, r"\s*\n\s*", "\n")), -1 - i, True))
+    across = F.filter(across, lambda x: F.contains(F.trim(x["passage"], F.lit(" \n")), F.lit("\n")) & may_match(x["passage"]))
+    across = F.transform(across, lambda x: found(F.translate(x["passage"], "\n", " "), x["line"], True))
+    return F.concat(F.flatten(lines), across)
 
 
 def _rows(spark: SparkSession) -> DataFrame:
@@ -232,34 +265,54 @@ def template_shingles(text: str) -> set[str]:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The classified passages: ``id``, ``mark``, ``paragraph``, ``passage``, ``family``, ``probability``, ``contained``, ``confirmed``."""
+    """The classified passages: ``id``, ``mark``, ``paragraph``, ``line``, ``joined``, ``passage``, ``words``, ``family``, ``probability``, ``contained``, ``confirmed``."""
     model, temperature = train(docs, text_col)
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(has_anchor(F.col("text")))
-    source = source.select("id", F.xxhash64("text").alias("mark"), F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    source = source.filter(has_anchor(F.col("line"))).withColumn("passage", F.explode(sentences(F.col("line")))).filter(has_anchor(F.col("passage"))).drop("line")
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(may_match(F.col("text")))
+    source = source.select("id", F.xxhash64("text").alias("mark"), F.posexplode(F.split("text", r"\n(?:[^\S\n]*\n)+")).alias("paragraph", "block"))
+    source = source.filter(may_match(F.col("block"))).select("id", "mark", "paragraph", F.inline(passages(F.col("block"))))
     pieces = F.split("passage", r"\s+")
     # A sentence of any length, in windows: none is left out.
     windows = F.when(F.size(pieces) <= WINDOW, F.array("passage")).otherwise(
         F.transform(F.sequence(F.lit(1), F.size(pieces), F.lit(WINDOW // 2)), lambda i: F.array_join(F.slice(pieces, i, WINDOW), " "))
     )
-    source = source.withColumn("passage", F.explode(windows)).filter(has_anchor(F.col("passage")))
+    source = source.withColumn("passage", F.explode(windows)).filter(may_match(F.col("passage")))
+    # What neither speaks of licences on a line nor holds enough of a template counts for nothing.
+    source = source.withColumn("near", contained(words(F.col("passage"))))
+    source = source.filter((~F.col("joined") & has_anchor(F.col("passage"))) | (F.col("near.share") >= LEAST_CONTAINED))
     raw = model.transform(featured(source)).withColumn("p", softmax(vector_to_array("rawPrediction"), temperature))
     best = F.array_max(F.transform("p", lambda x, i: F.struct(x.alias("p"), (-i).alias("i"))))
-    raw = raw.withColumn("best", best).withColumn("near", contained(F.col("words")))
+    raw = raw.withColumn("best", best)
     family = F.get(F.array(*[F.lit(x) for x in classes()]), -F.col("best.i"))
     confirmed = (family != UNKNOWN) & (F.col("best.p") >= LEAST_PROBABILITY) & (F.col("near.share") >= LEAST_CONTAINED) & (F.col("near.family") == family)
-    return raw.select("id", "mark", "paragraph", "passage", family.alias("family"), F.col("best.p").alias("probability"), F.col("near.share").alias("contained"), confirmed.alias("confirmed"))
+    return raw.select("id", "mark", "paragraph", "line", "joined", "passage", "words", family.alias("family"), F.col("best.p").alias("probability"), F.col("near.share").alias("contained"), confirmed.alias("confirmed"))
+
+
+def per_paragraph(found: DataFrame) -> DataFrame:
+    """(``id``, ``mark``, ``paragraph``, ``families``, ``n_confirmed``, ``n_unknown``, ``probability``) of classified passages."""
+    yes, joined = F.col("confirmed"), F.col("joined")
+    found = found.withColumn("key", F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" ")))
+    sets = found.groupBy("id", "mark", "paragraph").agg(
+        F.collect_set(F.when(yes & ~joined, F.struct("line", "passage", "family", "key"))).alias("own"),
+        F.collect_set(F.when(yes & joined, F.struct("line", "family", "key"))).alias("across"),
+        F.collect_set(F.when(~yes & ~joined, F.struct("line", "passage", "key"))).alias("other"),
+        F.collect_set(F.when(yes, F.col("family"))).alias("families"),
+        F.max(F.when(yes, F.col("probability"))).alias("probability"),
+    )
+    name = lambda x: F.struct(x["line"].alias("line"), x["family"].alias("family"))
+    in_line = F.filter("across", lambda b: F.exists("own", lambda a: (a["family"] == b["family"]) & F.contains(b["key"], a["key"])))
+    sets = sets.withColumn("whole", F.array_except(F.transform("across", name), F.transform(in_line, name)))
+    sets = sets.withColumn("across", F.filter("across", lambda b: F.array_contains("whole", name(b))))
+    unknown = F.filter("other", lambda u: ~F.exists("across", lambda b: F.contains(b["key"], u["key"])))
+    return sets.select("id", "mark", "paragraph", "families", (F.size("own") + F.size("whole")).alias("n_confirmed"), F.size(unknown).alias("n_unknown"), "probability")
 
 
 def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: ``id_col``, ``families`` (sorted, by commas), ``n_confirmed``, ``n_unknown``, ``probability`` (the highest confirmed)."""
-    found = scan(docs, id_col, text_col)
-    yes = F.col("confirmed")
-    per_doc = found.groupBy("id", "mark").agg(
-        F.array_join(F.sort_array(F.collect_set(F.when(yes, F.col("family")))), ",").alias("families"),
-        F.count_distinct(F.when(yes, F.struct("paragraph", "passage"))).alias("n_confirmed"),
-        F.count_distinct(F.when(~yes, F.struct("paragraph", "passage"))).alias("n_unknown"),
-        F.max(F.when(yes, F.col("probability"))).alias("probability"),
+    per_doc = per_paragraph(scan(docs, id_col, text_col)).groupBy("id", "mark").agg(
+        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("families")))), ",").alias("families"),
+        F.sum("n_confirmed").alias("n_confirmed"),
+        F.sum("n_unknown").alias("n_unknown"),
+        F.max("probability").alias("probability"),
     )
     # Only ids and marks of the documents are dealt to meet the few found.
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("mark"))

@@ -1,3 +1,5 @@
+import textwrap
+
 from pyspark.sql import functions as F
 
 from orrery.llm import licences as L
@@ -43,6 +45,46 @@ def test_every_template_has_an_anchor():
             assert any(a in text.lower() for a in L.ANCHORS) and len(L.template_shingles(text)) > 0
 
 
+def test_too_little_of_a_template_without_anchors_and_hints():
+    single = [a for a in [*L.ANCHORS, *L.HINTS] if " " not in a]
+    for texts in L.TEMPLATES.values():
+        for text in texts:
+            shingles = L.template_shingles(text)
+            assert sum(not any(a in x for a in single) for x in shingles) < L.LEAST_CONTAINED * len(shingles)
+
+
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+LGPL = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+
+
+def test_wrapped_notices(spark):
+    rows, want = [], []
+
+    def add(text, families, n):
+        rows.append((len(rows), text))
+        want.append((families, n))
+
+    for family, notice in (("BSD", BSD), ("ISC", ISC), ("LGPL", LGPL)):
+        for width in (30, 50, 66, 72, 78):
+            for mark in ("", " * ", "# "):
+                add("Some prose before the notice.\n\n" + "\n".join(mark + x for x in textwrap.wrap(notice, width)) + "\n\nSome prose behind.", family, 1)
+        add(notice, family, 1)
+    # Not wrapped over a blank line; a part without an anchor; lines that hold a notice each; a notice in a longer sentence.
+    add("Redistribution and use in source and\n\nbinary forms, with or without modification", "", 0)
+    part = "hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    add(part, "MIT", 1)
+    add(part.replace("obtaining ", "obtaining\n"), "MIT", 1)
+    add("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: Apache-2.0\n", "Apache-2.0,MIT", 2)
+    add("These words come first\nReleased under the MIT License.\nAnd these last", "MIT", 1)
+    add("one line of prose without a full stop\n" * 12 + "\n".join(textwrap.wrap(BSD, 60)), "BSD", 1)
+    out = {r["doc_id"]: r for r in L.licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wrong = [(rows[i][1], out[i], w) for i, w in enumerate(want) if (out[i]["families"], out[i]["n_confirmed"]) != w]
+    assert not wrong
+    # Lines of a notice that is confirmed as a whole are not unknown.
+    assert all(out[i]["n_unknown"] == 0 for i in range(16))
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert L.licences(df).count() == 0
