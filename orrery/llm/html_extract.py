@@ -1,7 +1,9 @@
 """Main text of web pages by wrapper induction.
 
-Every host has a reference page. The DOM trees of its other pages are aligned with
-the reference tree by simple tree matching: nodes match if their labels and their
+Every layout of a host has a reference page, its smallest id; a layout is told by the
+upper containers of a page. Layouts with too few different pages for a vote go by the
+reference of the host's most common layout. The DOM trees of the other pages are
+aligned with the reference tree by simple tree matching: nodes match if their labels and their
 ancestors do, and sibling lists are aligned by dynamic programming for the largest
 number of matched nodes (runs of equally labelled siblings count as one node, so a
 list of any length is one slot). Each page votes for every matched node that has
@@ -14,7 +16,7 @@ whole body, without the template, without parts whose tag, role or class says th
 they are navigation, header, footer, sidebar, notice, advert, form or reader
 comments, and, outside an article, without blocks that are mostly links.
 
-Votes are summed by host and node before they are shuffled; references are sent to
+Votes are summed by host, layout and node before they are shuffled; references are sent to
 the tasks if they have at most ``SEND_BYTES``, else joined. So a host with a third
 of all pages needs no task of its own.
 
@@ -25,6 +27,7 @@ results; an empty table gives an empty table; other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections import Counter
@@ -66,6 +69,8 @@ skip hidden toolbar tooltip
 # may hold everything), and words by which an article element is none.
 LAYOUT_WORDS = frozenset("sidebar sidebars rail nav navbar navigation menu header masthead topbar footer banner ad ads cookie cookies widget widgets".split())
 NO_ARTICLE_WORDS = frozenset("comment comments reply replies related recommended recommendations promo promoted sponsored ad advert advertisement widget popular teaser".split())
+# Elements that make a page's layout, and how many levels of them count.
+LAYOUT_TAGS, LAYOUT_LEVELS = frozenset("div section article main header table center".split()), 2
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>?""", re.S)
@@ -302,6 +307,26 @@ def folded(text: str) -> Slot:
     return root
 
 
+def layout(text: str | None) -> int:
+    """A hash of the paths of a page's upper containers; a lone one that holds all others is no level."""
+    paths: set[str] = set()
+
+    def walk(nodes: list[Node], path: str, level: int) -> None:
+        below: dict[str, list[Node]] = {}
+        for node in nodes:
+            for key, own in runs(node):
+                if own[0].tag in LAYOUT_TAGS or own[0].tag in ("html", "body"):
+                    below.setdefault(key, []).extend(own)
+        lone = len(below) == 1 and all(len(own) == 1 for own in below.values())
+        for key, own in below.items():
+            paths.add(f"{path}/{key}")
+            if lone or level < LAYOUT_LEVELS:
+                walk(own, f"{path}/{key}", level + (not lone))
+
+    walk([parse(text or "")], "", 1)
+    return int.from_bytes(hashlib.blake2b("\n".join(sorted(paths)).encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
 def reference(text: str) -> tuple[Slot, str]:
     """A reference's folded tree and whole text, kept for the pages to come."""
     if text not in _CACHE:
@@ -401,17 +426,53 @@ def host_of(url: str) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col(url).cast("string"), F.lit("")), _HOST, 1))
 
 
+def with_layout(pages: DataFrame) -> DataFrame:
+    """Adds ``layout`` to pages (``id``, ``url``, ``html``, ``host``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = pa.array([layout(page) for page in batch.column("html").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], [*batch.schema.names, "layout"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pages.schema)
+    return pages.mapInArrow(run, f"{fields}, layout long")
+
+
+def chosen(some: DataFrame) -> DataFrame:
+    """(``host``, ``layout``, ``own``, ``main``, ``reference``): references of layouts that can vote, and of each host's most common."""
+    mark = F.xxhash64("html").alias("mark")
+    marks = staged(some.select("host", "layout", "id", mark), "layouts")
+    first = F.min(F.struct(F.col("id").isNull(), "id", "mark"))["mark"].alias("mark")
+    # Copies of the reference don't vote.
+    groups = marks.groupBy("host", "layout").agg(F.count_distinct("mark").alias("n"), first).withColumn("own", F.col("n") > LEAST_VOTES)
+    groups = staged(groups, "layout-sizes")
+    main = groups.groupBy("host").agg(F.max(F.struct("n", "layout"))["layout"].alias("layout"), F.lit(True).alias("main"))
+    picks = groups.join(main, ["host", "layout"], "left").withColumn("main", F.coalesce("main", F.lit(False))).filter("own or main")
+    picks = staged(picks.select("host", "layout", "mark", "own", "main"), "layout-picks")
+    texts = some.select("host", mark, "html").join(picks, ["host", "mark"])
+    return staged(texts.groupBy("host", "layout", "own", "main").agg(F.min("html").alias("reference")), "references")
+
+
+def placed(pages: DataFrame, references: DataFrame) -> DataFrame:
+    """The pages with ``ref``: the row of ``references`` that they go by."""
+    ref = F.struct(*[c for c in references.columns if c not in ("host", "own", "main")])
+    own = _sent(references.filter("own")).select("host", "layout", ref.alias("own_ref"))
+    main = _sent(references.filter("main")).select("host", ref.alias("main_ref"))
+    both = pages.join(own, ["host", "layout"], "left").join(main, "host", "left")
+    return both.withColumn("ref", F.coalesce("own_ref", "main_ref")).drop("own_ref", "main_ref")
+
+
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(``host``, ``reference``, ``constant``) of pages (``id``, ``host``, ``html``)."""
+    """(``host``, ``layout``, ``own``, ``main``, ``reference``, ``constant``) of pages (``id``, ``url``, ``html``, ``host``) with their ``layout``."""
     some = pages.filter("html is not null and html <> ''")
-    references = staged(some.groupBy("host").agg(F.min_by("html", F.struct(F.col("id").isNull(), "id", F.xxhash64("html"))).alias("reference")), "references")
+    references = chosen(some)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[str, int], list[int]] = {}
+        seen: dict[tuple[str, int, int], list[int]] = {}
         for batch in batches:
-            for host, page, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for host, key, page, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for node, same in votes(page, text):
-                    tally = seen.setdefault((host, node), [0, 0])
+                    tally = seen.setdefault((host, key, node), [0, 0])
                     tally[0] += 1
                     tally[1] += same
             if len(seen) > 100_000:
@@ -419,19 +480,19 @@ def wrappers(pages: DataFrame) -> DataFrame:
                 seen = {}
         yield _tally(seen)
 
-    sums = some.join(_sent(references), "host").select("host", "html", "reference").mapInArrow(count, "host string, node int, n long, same long")
-    sums = sums.groupBy("host", "node").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
+    sums = placed(some, references).select("host", "ref.layout", "html", "ref.reference").mapInArrow(count, "host string, layout long, node int, n long, same long")
+    sums = sums.groupBy("host", "layout", "node").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
     constant = sums.filter((F.col("n") >= LEAST_VOTES) & (F.col("same") >= CONSTANT_SHARE * F.col("n")))
-    # As many nodes a host as its reference has.
-    constant = constant.groupBy("host").agg(F.sort_array(F.collect_list("node")).alias("constant"))
-    return staged(references.join(constant, "host", "left"), "wrappers")
+    # As many nodes a layout as its reference has.
+    constant = constant.groupBy("host", "layout").agg(F.sort_array(F.collect_list("node")).alias("constant"))
+    return staged(references.join(constant, ["host", "layout"], "left").select("host", "layout", "own", "main", "reference", "constant"), "wrappers")
 
 
-def _tally(seen: dict[tuple[str, int], list[int]]) -> pa.RecordBatch:
+def _tally(seen: dict[tuple[str, int, int], list[int]]) -> pa.RecordBatch:
     keys = list(seen)
     return pa.RecordBatch.from_arrays(
-        [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([seen[k][0] for k in keys], pa.int64()), pa.array([seen[k][1] for k in keys], pa.int64())],
-        ["host", "node", "n", "same"],
+        [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.int32()), pa.array([seen[k][0] for k in keys], pa.int64()), pa.array([seen[k][1] for k in keys], pa.int64())],
+        ["host", "layout", "node", "n", "same"],
     )
 
 
@@ -445,7 +506,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """``id_col``, ``url``, ``text`` and ``n_chars`` of every page."""
     ship_code(pages.sparkSession)
     source = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", host_of("url"))
-    joined = source.join(_sent(wrappers(source.select("id", "host", "html"))), "host", "left").select("id", "url", "html", "reference", "constant")
+    source = with_layout(source)
+    joined = placed(source, wrappers(source)).select("id", "url", "html", "ref.reference", "ref.constant")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

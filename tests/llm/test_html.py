@@ -82,3 +82,35 @@ def test_copies_are_no_template(spark):
     rows = [(i, "http://c.example/", page(body)) for i in range(20)]
     got = {r["text"] for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert len(got) == 1 and "The whole article, which was copied often." in got.pop()
+
+
+def plain(i, told):
+    return f"<html><body><div><h2>Title {i}</h2><p>Text number {i} of this page.</p></div><div class='x'>{told}</div></body></html>"
+
+
+def test_first_page_is_a_stub(spark):
+    told = "Read our magazine, now with pictures"
+    rows = [(0, "http://s.example/", "<html><body><p>Moved</p></body></html>")] + [(i, "http://s.example/", plain(i, told)) for i in range(1, 21)]
+    got = {r["page_id"]: r["text"] for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == "Moved"
+    assert all(got[i] == f"Title {i} Text number {i} of this page." for i in range(2, 21))
+
+
+def test_two_layouts(spark):
+    def other(i):
+        return f"<html><body><div class='shop'><p>Goods of number {i}</p></div><section class='y'>Parcels leave every day</section></body></html>"
+
+    told = "Read our magazine, now with pictures"
+    rows = [(i, "http://t.example/", plain(i, told) if i % 3 else other(i)) for i in range(60)]
+    # Too few of a third for a vote: they go by the most common one.
+    rows += [(100 + i, "http://t.example/", plain(100 + i, told).replace("<body>", f"<body><section class='{'abc'[i]}'>Note {i}</section>")) for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(4, 60):
+        assert got[i] == (f"Title {i} Text number {i} of this page." if i % 3 else f"Goods of number {i}")
+    assert all(got[100 + i] == f"Note {i} Title {100 + i} Text number {100 + i} of this page." for i in range(3))
+
+
+def test_layout():
+    a = "<html><body><div class='page'><div class='a1'><p>x</p></div><div class='b'><ul><li>y</ul></div></div></body></html>"
+    assert H.layout(a) == H.layout(a.replace("<p>x</p>", "<h2>z</h2><p>x<p>y").replace("a1", "a27"))
+    assert H.layout(a) != H.layout(a.replace("'b'", "'c'")) and H.layout(None) == H.layout("")
