@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm.common import ship_code, slices_by_chars, worker_cache
+from orrery.llm.common import release, ship_code, slices_by_bytes, slices_by_chars, worker_cache
 
 #: Characters of text whose words are replayed together.
-SLICE_CHARS = 10_000_000
+SLICE_CHARS = 3_000_000
+#: Bytes of ids that are decoded together; the tokens of a vocabulary are some four bytes, so the same as SLICE_CHARS.
+DECODE_BYTES = 12_000_000
 #: Words that a worker keeps before it starts a new cache.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -60,7 +62,7 @@ class MergeReplay:
         self.plain = re.compile(PLAIN_PATTERN) if pattern == PUBLIC_PATTERN else None
         self.not_plain = re.compile(f"[^{PLAIN}]")
         self.vocabulary = {rank: token for token, rank in ranks.items()}
-        self.base = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.base = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         # Any split of a token into two tokens may be merged into it.
         keys, made, careful = [], [], set()
         for token, rank in ranks.items():
@@ -71,7 +73,7 @@ class MergeReplay:
                     made.append(rank)
                     careful.update(x for x in (left, right) if x > rank)
         order = np.argsort(np.array(keys, np.int64))
-        self.keys, self.made = np.array(keys, np.int64)[order], np.array(made, np.int64)[order]
+        self.keys, self.made = np.array(keys, np.int64)[order], np.array(made, np.int32)[order]
         #: Ranks whose merge can make a pair of a lower rank; these go one to a word at a time.
         self.careful = careful
         size = max(self.vocabulary) + 1
@@ -82,10 +84,10 @@ class MergeReplay:
         self.forget()
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left << 20 | right
+        key = left.astype(np.int64) << 20 | right
         at = np.searchsorted(self.keys, key)
         at[at == len(self.keys)] = 0
-        return np.where(self.keys[at] == key, self.made[at], -1)
+        return np.where(self.keys[at] == key, self.made[at], np.int32(-1))
 
     def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All words merged together in rank order: the ids, end to end, and each word's number of ids."""
@@ -94,13 +96,14 @@ class MergeReplay:
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         symbol = self.base[np.frombuffer(b"".join(words), np.uint8)]
         n, stops = len(symbol), np.cumsum(sizes)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        # 32 bits a position: a call has the new words of one run, or of one text, whose bytes Arrow counts in 32 bits too.
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         after[stops - 1] = -1
         before[stops - sizes] = -1
         alive = np.ones(n, bool)
-        word_of = np.repeat(np.arange(len(words)), sizes)
-        rank_at = np.full(n, -1, np.int64)
-        inner = np.flatnonzero(after >= 0)
+        word_of = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        rank_at = np.full(n, -1, np.int32)
+        inner = np.flatnonzero(after >= 0).astype(np.int32)
         rank_at[inner] = self.pair_ranks(symbol[inner], symbol[inner + 1])
         index: dict[int, list[np.ndarray]] = {}
         queue: list[int] = []
@@ -212,6 +215,7 @@ class MergeReplay:
         """The ids of each text, unsigned 32-bit."""
         if len(self.number) > CACHE_WORDS:
             self.forget()
+            release()
         numbers = [self.numbers(t) for t in texts]
         self.learn()
         return [spread(self.flat, self.start[n], self.count[n]) for n in numbers]
@@ -301,10 +305,10 @@ def decode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = worker_cache(key, lambda: MergeReplay(ranks.value, pattern))
         for batch in batches:
-            data = [model.decode(np.frombuffer(ids or b"", "<u4")) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), binary_array(data)], ["id", "ids", "decoded"]
-            )
+            for start, stop in slices_by_bytes(batch.column(1), DECODE_BYTES):
+                part = batch.slice(start, stop - start)
+                data = [model.decode(np.frombuffer(ids or b"", "<u4")) for ids in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), binary_array(data)], ["id", "ids", "decoded"])
 
     source = df.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     kind = source.schema["id"].dataType.simpleString()

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import uuid
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from orrery.session import scratch_path, scratch_root, staged
@@ -11,14 +15,14 @@ from orrery.session import ship_code as _ship_code
 
 __all__ = [
     "DOC_COLUMNS", "read_table", "scratch_path", "scratch_root", "ship_code", "staged",
-    "fnv_mix", "slices_by_chars", "worker_cache",
+    "fnv_mix", "release", "slices_by_bytes", "slices_by_chars", "unique_key", "worker_cache",
 ]
 
 #: The columns of ``documents``; stages of the pipeline return exactly these.
 DOC_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 #: Rows of an Arrow batch: whole texts are long, and a batch is held several times over.
-BATCH_ROWS = 2_000
+BATCH_ROWS = 1_000
 _BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -45,12 +49,20 @@ def fnv_mix(x: np.ndarray, seed: int) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def slices_by_chars(column: pa.Array | pa.ChunkedArray, limit: int):
+def slices_by_chars(column: pa.Array, limit: int):
     """Split a string column into (start, stop) runs of about ``limit`` characters.
 
     A text longer than the limit gets a run of its own, whole.
     """
-    sizes = column.to_pandas().map(lambda t: len(t) if t else 0).tolist()
+    yield from _slices(pc.fill_null(pc.utf8_length(column), 0).to_pylist(), limit)
+
+
+def slices_by_bytes(column: pa.Array, limit: int):
+    """The same for the bytes of a binary column."""
+    yield from _slices(pc.fill_null(pc.binary_length(column), 0).to_pylist(), limit)
+
+
+def _slices(sizes: list[int], limit: int):
     start, total = 0, 0
     for i, n in enumerate(sizes):
         if total and total + n > limit:
@@ -72,5 +84,20 @@ def worker_cache(key, make):
     """
     if key not in _KEPT:
         _KEPT.clear()
+        release()
         _KEPT[key] = make()
     return _KEPT[key]
+
+
+def unique_key(name: str) -> tuple[str, str]:
+    """A key of ``worker_cache`` that no other model shares, whatever driver and worker were used for before."""
+    return name, uuid.uuid4().hex
+
+
+def release() -> None:
+    """Gives the memory that a worker has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only glibc has it
+        pass
