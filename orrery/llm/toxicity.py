@@ -1,11 +1,15 @@
 """Toxicity severity by cumulative-link ordinal regression.
 
 ``P(grade <= k) = sigmoid(theta_k - w.x)`` with one weight vector for all
-thresholds ``theta_1 < theta_2 < ...``. The features are sparse: each distinct
+thresholds ``theta_1 < theta_2 < ...``; weights and thresholds are those of greatest
+(penalised) likelihood of the grades. The features are sparse: each distinct
 whitespace-separated token of a document gives its word and its first four and
 five letters. Labels are binary, so the grades of toxic documents are the thirds
 of their share of tokens that carry a marker (a feature the labels tie strongly
-to toxicity); grade 0 is not toxic. The result is the expected grade.
+to toxicity); grade 0 is not toxic: only this grade is known from the labels, the
+others order the toxic ones by the model's own features. The result is the expected
+grade. A document is toxic if P(grade > 0) reaches a cut, the best by F1 over labelled
+rows that are left out of the fit, a fold at a time.
 
 The model is fitted on a documented, bounded sample of labelled rows (the
 ``MAX_LABELLED`` smallest hashes of the id, copies thinned out); every document is
@@ -29,12 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.common import ship_code, slices_by_chars, staged, worker_cache
+from orrery.llm.common import ship_code, slices_by_chars, staged, unique_key, worker_cache
 
 #: Labelled rows that the model is fitted on, at most.
 MAX_LABELLED = 20_000
-#: Features that enter the regression, at most: the most telling by chi-square.
-MAX_FEATURES = 4_096
 #: Documents a feature must occur in to enter.
 MIN_DOCS = 3
 #: Chi-square that a feature must reach: below it, chance would bring in many.
@@ -42,6 +44,10 @@ MIN_CHI = 25.0
 #: Odds ratio from which a feature marks a token as toxic.
 MARKER_ODDS = 8.0
 GRADES = 3
+#: Words that a worker keeps, and characters of text that it holds at once.
+CACHE_WORDS, SLICE_CHARS = 150_000, 3_000_000
+#: Folds of the labelled rows by which the cut is chosen.
+FOLDS = 3
 #: Penalties: an absolute one that chooses features, a small square one for the final weights.
 L1 = 2e-3
 RIDGE = 1e-3
@@ -74,7 +80,7 @@ class Ordinal:
 
     def exceed(self, eta: np.ndarray) -> np.ndarray:
         """P(grade > k), a column for each threshold."""
-        return 1 / (1 + np.exp(np.clip(self.theta[None, :] - eta[:, None], -60, 60)))
+        return _sigmoid(eta[:, None] - self.theta[None, :])
 
 
 class Scores(dict):
@@ -89,40 +95,80 @@ class Scores(dict):
         return score
 
 
-def _minimise(x, above, weight, n_features, l1, ridge, steps, start=None):
-    """Accelerated proximal gradient on the summed threshold losses."""
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+
+
+def loss_and_slopes(eta: np.ndarray, theta: np.ndarray, grade: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Minus the weighted log-likelihood of the grades, and its slopes by ``eta`` and by ``theta``.
+
+    ``P(grade = k) = sigmoid(theta_k - eta) - sigmoid(theta_(k-1) - eta)``, where the
+    thresholds of grade 0 and of the highest grade are open at one side.
+    """
+    n, k = len(eta), len(theta)
+    at = np.arange(n)
+    below, upto = np.zeros((n, k + 2)), np.zeros((n, k + 2))  # sigmoid and its slope at -inf, each threshold, inf
+    below[:, 1:-1] = _sigmoid(theta[None, :] - eta[:, None])
+    below[:, -1] = 1.0
+    upto[:, 1:-1] = below[:, 1:-1] * (1 - below[:, 1:-1])
+    high, low = below[at, grade + 1], below[at, grade]
+    p = np.maximum(high - low, 1e-300)
+    slope_theta = np.zeros(k + 2)
+    np.add.at(slope_theta, grade + 1, -weight * upto[at, grade + 1] / p)
+    np.add.at(slope_theta, grade, weight * upto[at, grade] / p)
+    return float(-(weight * np.log(p)).sum()), weight * (1 - high - low), slope_theta[1:-1]
+
+
+def _minimise(x, grade, weight, n_features, l1, ridge, steps, start=None):
+    """Accelerated proximal gradient with backtracking; thresholds are the first one and the logs of the gaps."""
     rows, cols, vals = x
-    n = len(above)
-    probe = np.ones(n_features) / max(1.0, n_features) ** 0.5
-    size = 1.0
-    for _ in range(12):  # the largest curvature, by power iteration
-        probe = np.bincount(cols, vals * (weight * np.bincount(rows, vals * probe[cols], n))[rows], n_features)
-        size = max(float(np.linalg.norm(probe)), 1e-12)
-        probe = probe / size
-    rate = 1.0 / (0.25 * GRADES * (size + 1.0) + ridge)
+    n = len(grade)
+
+    def thresholds(z):
+        return z[0] + np.concatenate([[0.0], np.cumsum(np.exp(z[1:]))])
+
+    def smooth(w, z):
+        theta = thresholds(z)
+        eta = np.bincount(rows, vals * w[cols], n)
+        value, by_eta, by_theta = loss_and_slopes(eta, theta, grade, weight)
+        by_z = np.cumsum(by_theta[::-1])[::-1]  # a gap moves all thresholds behind it
+        by_z = np.concatenate([by_z[:1], by_z[1:] * np.exp(z[1:])]) + 1e-3 * z
+        return value + 0.5 * ridge * float(w @ w) + 0.5e-3 * float(z @ z), np.bincount(cols, vals * by_eta[rows], n_features) + ridge * w, by_z
+
     w = np.zeros(n_features) if start is None else start[0].copy()
-    theta = np.arange(1.0, GRADES + 1) if start is None else start[1].copy()
-    y_w, y_theta, t = w.copy(), theta.copy(), 1.0
+    z = np.zeros(GRADES) if start is None else np.concatenate([start[1][:1], np.log(np.diff(start[1]))])
+    y_w, y_z, t, rate = w, z, 1.0, 1.0
+    best = smooth(w, z)[0] + l1 * np.abs(w).sum()
+    still = 0
     for _ in range(steps):
-        eta = np.bincount(rows, vals * y_w[cols], n)
-        exceed = 1 / (1 + np.exp(np.clip(y_theta[None, :] - eta[:, None], -60, 60)))
-        error = (exceed - above) * weight[:, None]
-        g_w = np.bincount(cols, vals * error.sum(1)[rows], n_features) + ridge * y_w
-        new_w = y_w - rate * g_w
-        new_w = np.sign(new_w) * np.maximum(np.abs(new_w) - rate * l1, 0)
-        new_theta = np.maximum.accumulate(y_theta + rate * error.sum(0) - rate * 1e-3 * y_theta)
+        value, g_w, g_z = smooth(y_w, y_z)
+        while True:
+            new_w = y_w - rate * g_w
+            new_w = np.sign(new_w) * np.maximum(np.abs(new_w) - rate * l1, 0)
+            new_z = np.clip(y_z - rate * g_z, -30, 30)
+            d_w, d_z = new_w - y_w, new_z - y_z
+            reached = smooth(new_w, new_z)[0]
+            if reached <= value + g_w @ d_w + g_z @ d_z + (d_w @ d_w + d_z @ d_z) / (2 * rate) + 1e-12 or rate < 1e-9:
+                break
+            rate *= 0.5
+        now = reached + l1 * np.abs(new_w).sum()
+        if now > best and t > 1:  # the momentum led uphill: start it anew
+            y_w, y_z, t = w, z, 1.0
+            continue
+        still = still + 1 if best - now < 1e-7 * abs(best) else 0
         t_next = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        y_w, y_theta = new_w + (t - 1) / t_next * (new_w - w), new_theta + (t - 1) / t_next * (new_theta - theta)
-        w, theta, t = new_w, new_theta, t_next
-    return w, theta
+        y_w, y_z = new_w + (t - 1) / t_next * (new_w - w), new_z + (t - 1) / t_next * (new_z - z)
+        w, z, t, best, rate = new_w, new_z, t_next, min(best, now), rate * 1.1
+        if still >= 5:
+            break
+    return w, thresholds(z)
 
 
 def fit(x: list[dict[int, int]], grade: np.ndarray, n_features: int, steps: int = 500) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered thresholds on the class-balanced loss.
+    """Weights and ordered thresholds of greatest likelihood, classes in balance.
 
-    The likelihood of a grade is the product of its threshold decisions, which
-    share the weights. An L1 pass chooses the features; a ridge pass over the
-    chosen ones takes the shrinkage back.
+    An L1 pass chooses the features; a ridge pass over the chosen ones takes the
+    shrinkage back.
     """
     rows = np.repeat(np.arange(len(x)), [len(d) for d in x])
     cols = np.fromiter((c for d in x for c in d), np.int64)
@@ -130,17 +176,31 @@ def fit(x: list[dict[int, int]], grade: np.ndarray, n_features: int, steps: int
     toxic = grade > 0
     n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
     weight = np.where(toxic, 0.5 / n1, 0.5 / n0)
-    above = (grade[:, None] > np.arange(GRADES)[None, :]).astype(float)
-    w, theta = _minimise((rows, cols, vals), above, weight, n_features, L1 + 2.0 / n1, 0.0, steps)
+    w, theta = _minimise((rows, cols, vals), grade, weight, n_features, L1 + 2.0 / n1, 0.0, steps)
     kept = w != 0
     use = kept[cols]
     new = np.cumsum(kept) - 1
-    part, theta = _minimise((rows[use], new[cols[use]], vals[use]), above, weight, int(kept.sum()), 0.0, RIDGE, steps, (w[kept], theta))
+    part, theta = _minimise((rows[use], new[cols[use]], vals[use]), grade, weight, int(kept.sum()), 0.0, RIDGE, steps, (w[kept], theta))
     out = np.zeros(n_features)
     out[kept] = part
     return out, theta
 
 
+def left_out(x: list[dict[int, int]], grade: np.ndarray, n_features: int) -> np.ndarray:
+    """P(grade > 0) of each row, by a model of the other ``FOLDS - 1`` folds."""
+    p = np.zeros(len(x))
+    fold = np.empty(len(x), np.int64)
+    for toxic in (False, True):  # each fold has its share of both
+        own = np.flatnonzero((grade > 0) == toxic)
+        fold[own] = np.arange(len(own)) % FOLDS
+    for k in range(FOLDS):
+        rest, held = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
+        weights, theta = fit([x[i] for i in rest.tolist()], grade[rest], n_features)
+        eta = np.array([sum(weights[c] * v for c, v in x[i].items()) for i in held.tolist()])
+        p[held] = _sigmoid(eta - theta[0])
+    return p
+
+
 def one_of_copies(sample: DataFrame) -> DataFrame:
     """One document of each class and smallest hash of three words, under two hashes.
 
@@ -193,12 +253,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     total = float(n1 + n0)
     chi = total * F.pow(a * (n0 - b) - b * (n1 - a), 2) / (F.greatest(a + b, F.lit(1.0)) * F.greatest(total - a - b, F.lit(1.0)) * n1 * n0)
     counts = sample.mapInArrow(count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    # Features of at most MAX_LABELLED rows, far fewer than they have words.
     top = (
         counts.filter(F.col("toxic") + F.col("clean") >= MIN_DOCS)
         .withColumn("chi", chi)
         .filter(F.col("chi") >= MIN_CHI)
         .orderBy(F.desc("chi"), "feature")
-        .limit(MAX_FEATURES)
         .collect()
     )
     names = {r["feature"]: i for i, r in enumerate(top)}
@@ -225,13 +285,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = sample.mapInArrow(project, "y int, col array<int>, val array<int>, share double").collect()
     y = np.array([r["y"] > 0 for r in rows])
     share = np.array([r["share"] for r in rows])
+    if not names or not y.any():
+        return Ordinal()
     cuts = np.quantile(share[y], np.arange(1, GRADES) / GRADES)
     grade = np.where(y, 1 + (share[:, None] > cuts[None, :]).sum(1), 0)
     x = [dict(zip(r["col"], r["val"], strict=True)) for r in rows]
     weights, theta = fit(x, grade, len(names))
     model = Ordinal({f: float(weights[i]) for f, i in names.items() if weights[i]}, theta, fitted=True)
-    eta = np.array([sum(weights[c] * v for c, v in d.items()) for d in x])
-    model.cut = best_cut(model.exceed(eta)[:, 0], grade > 0)
+    if min(int(y.sum()), int((~y).sum())) >= FOLDS:
+        model.cut = best_cut(left_out(x, grade, len(names)), y)
     return model
 
 
@@ -252,17 +314,17 @@ def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str
     """
     ship_code(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    key = ("toxicity", id(sent))
+    key = unique_key("toxicity")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         cache = worker_cache(key, lambda: Scores(own.weights))
         for batch in batches:
-            if len(cache) > 300_000:
+            if len(cache) > CACHE_WORDS:
                 cache.clear()
             eta = []
             texts = batch.column(1).field(text_col) if carry else batch.column(1)
-            for start, stop in slices_by_chars(texts, 8_000_000):
+            for start, stop in slices_by_chars(texts, SLICE_CHARS):
                 for text in texts.slice(start, stop - start).to_pylist():
                     eta.append(sum(map(cache.__getitem__, set(text.lower().split()))) if text else 0.0)
             exceed = own.exceed(np.array(eta, float))
