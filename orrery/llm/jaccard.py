@@ -48,6 +48,10 @@ SKETCH, BRANCHES, BUCKET, DEPTH = 64, 2, 24, 5
 LEAST_AGREEMENT = 0.62
 #: Texts of a block of the exact comparison.
 BLOCK = 192
+#: Characters of text whose words are hashed at once.
+SLICE_CHARS = 1_000_000
+#: Texts that at least one in so many documents copies are hot.
+HOT = 1_000
 #: Ids that a task gets whole, at most.
 SEND_IDS = 2_000_000
 
@@ -123,7 +127,7 @@ def _texts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_cache("sketches", dict)  # what an earlier stage kept goes
         for batch in batches:
-            for start, stop in slices_by_chars(batch.column(1), 2_000_000):
+            for start, stop in slices_by_chars(batch.column(1), SLICE_CHARS):
                 part = batch.slice(start, stop - start)
                 hashes, counts = word_hashes(part.column(1).to_pylist())
                 keys, sketches, at = [], [], 0
@@ -299,7 +303,7 @@ def _shingle_sets(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, stop in slices_by_chars(batch.column(1), 2_000_000):
+            for start, stop in slices_by_chars(batch.column(1), SLICE_CHARS):
                 part = batch.slice(start, stop - start)
                 hashes, counts = word_hashes(part.column(1).to_pylist())
                 keys, sets, at = [], [], 0
@@ -313,18 +317,27 @@ def _shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("key", "text").mapInArrow(run, "key binary, own binary")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """One row a document: ``id_col``, ``class_id``, ``n_copies``, ``n_text_links``, ``n_links``.
+def _spread_join(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """``rows`` with the columns of their text, by ``key``; null keys find none.
 
-    ``class_id`` is the least id of the documents connected by links (its own, if
-    none); ``n_copies`` counts the other documents of equal words, ``n_text_links``
-    the different texts linked to, ``n_links`` all other documents linked to.
+    The texts of at least one in ``HOT`` rows, so at most ``HOT`` texts, are sent to
+    every task: the rows of a text with many copies meet it where they are.
+    """
+    least = max(2, -(-rows.count() // HOT))
+    hot = F.broadcast(texts.filter(F.col("copies") >= least).withColumn("is_hot", F.lit(True)))
+    columns = [c for c in texts.columns if c != "key"]
+    first = rows.join(hot, "key", "left")
+    done = first.filter("is_hot").select(*rows.columns, *columns)
+    rest = first.filter("is_hot is null").select(*rows.columns)
+    return done.union(rest.join(texts.filter(F.col("copies") < least), "key", "left").select(*rows.columns, *columns))
+
+
+def _classed(named: DataFrame, similarity: float, recall: float) -> DataFrame:
+    """A row for each document of ``named`` (``id``, ``text``): ``id``, ``key``, ``class_id``, ``class_key``, ``copies``, ``text_links``, ``behind``.
+
+    Documents of a class share ``class_key``, the key of its first text; without
+    words it is null.
     """
-    if not 0 < similarity <= 1 or not 0 < recall < 1:
-        raise ValueError("similarity must lie in (0, 1], recall in (0, 1)")
-    ship_code(docs.sparkSession)
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    named = source.filter("id is not null")
     slim = staged(_texts(named), "texts")
     texts = slim.filter("key is not null").groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.min("sketch").alias("sketch"))
     texts = staged(texts, "distinct-texts")
@@ -335,6 +348,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simila
     wanted = groups.select(F.col("first_id").alias("id"), F.col("node").alias("key"))
     if wanted.count() <= SEND_IDS:
         wanted = F.broadcast(wanted)
+    # Only first documents are read, and of a repeated id the row whose words have the key; equal rows once.
     sets = _shingle_sets(named.join(wanted, "id"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
     placed = groups.select(F.col("node").alias("key"), "root", "copies", blocks.alias("nb"))
@@ -346,12 +360,33 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simila
     per_text = found.filter("other is null").groupBy("key").agg(F.sum("links").alias("text_links"), F.sum("behind").alias("behind"))
     linked = components(found.filter("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")))
     linked = linked.withColumnRenamed("node", "key").join(texts.select("key", "first_id"), "key")
-    classes = linked.join(linked.groupBy("root").agg(F.min("first_id").alias("class_id")), "root").select("key", "class_id")
-    texts = texts.select("key", "first_id", "copies").join(per_text, "key", "left").join(classes, "key", "left")
-    texts = texts.select("key", F.coalesce("class_id", "first_id").alias("class_id"), "copies", F.coalesce("text_links", F.lit(0)).alias("text_links"), F.coalesce("behind", F.lit(0)).alias("behind"))
-    out = slim.select("id", "key").join(texts, "key", "left")
+    first = F.min(F.struct("first_id", "key"))
+    classes = linked.join(linked.groupBy("root").agg(first.alias("class")), "root").select("key", "class")
     zero = F.lit(0).cast("long")
-    rows = out.select(
+    texts = texts.join(per_text, "key", "left").join(classes, "key", "left").select(
+        "key",
+        F.coalesce("class.first_id", "first_id").alias("class_id"),
+        F.coalesce("class.key", "key").alias("class_key"),
+        "copies",
+        F.coalesce("text_links", zero).alias("text_links"),
+        F.coalesce("behind", zero).alias("behind"),
+    )
+    return _spread_join(slim.select("id", "key"), staged(texts, "classes"))
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """One row a document: ``id_col``, ``class_id``, ``n_copies``, ``n_text_links``, ``n_links``.
+
+    ``class_id`` is the least id of the documents connected by links (its own, if
+    none); ``n_copies`` counts the other documents of equal words, ``n_text_links``
+    the different texts linked to, ``n_links`` all other documents linked to.
+    """
+    if not 0 < similarity <= 1 or not 0 < recall < 1:
+        raise ValueError("similarity must lie in (0, 1], recall in (0, 1)")
+    ship_code(docs.sparkSession)
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    zero = F.lit(0).cast("long")
+    rows = _classed(source.filter("id is not null"), similarity, recall).select(
         F.col("id").alias(id_col),
         F.coalesce("class_id", "id").alias("class_id"),
         F.coalesce(F.col("copies") - 1, zero).alias("n_copies"),
@@ -363,18 +398,47 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", simila
     return rows.union(unnamed)
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """The documents of ``docs`` but one of each class: the one with the least id.
 
-    Documents with a null id stay. A repeated id stays once in all.
+    Documents with a null id and those without words stay. Rows that share an id are
+    documents of their own: each is judged by its text, and of rows with the same id
+    and words one stays (the least by its columns' hash).
     """
-    classes = join(docs, id_col, text_col)
-    kept = staged(classes.filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("kept_id")), "kept")
-    repeated = not kept.groupBy("kept_id").count().filter("count > 1").isEmpty()
-    few = kept.distinct()
-    if kept.count() <= SEND_IDS:
-        few = F.broadcast(few)
-    named = docs.join(few, docs[id_col] == few["kept_id"], "left_semi")
-    if repeated:
-        named = named.dropDuplicates([id_col])
-    return named.union(docs.filter(F.col(id_col).isNull()))
+    ship_code(docs.sparkSession)
+    pair = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = _classed(pair.filter("id is not null"), similarity, recall)
+    rows = staged(rows.filter("key is null or (id = class_id and key = class_key)").select("id", "key"), "kept")
+    ids = rows.groupBy("id").agg(F.lit(True).alias("kept"))
+    # Where an id is repeated, in what stays or in what goes, the words decide.
+    repeated = staged(docs.select(F.col(id_col).alias("id")).filter("id is not null").groupBy("id").count().filter("count > 1").select("id"), "repeated-ids")
+    sent = lambda few: F.broadcast(few) if few.count() <= SEND_IDS else few
+    single = docs.join(sent(ids.join(repeated, "id", "left_anti").select(F.col("id").alias("kept_id"))), F.col(id_col) == F.col("kept_id"), "left_semi")
+    out = single.union(docs.filter(F.col(id_col).isNull()))
+    if repeated.isEmpty():
+        return out
+    mark = F.xxhash64(*[F.col(c) for c in docs.columns if "map<" not in dict(docs.dtypes)[c]])
+    several = docs.join(sent(repeated.select(F.col("id").alias("many_id"))), F.col(id_col) == F.col("many_id"), "left_semi")
+    several = several.select(F.struct(mark.alias("mark"), F.struct(*docs.columns).alias("row")).alias("doc"))
+    keyed = _keys(several, id_col, text_col)
+    same = (F.col("id") == F.col("kept_id")) & F.col("key").eqNullSafe(F.col("kept_key"))
+    keyed = keyed.join(rows.select(F.col("id").alias("kept_id"), F.col("key").alias("kept_key")).distinct(), same, "left_semi")
+    words = keyed.filter("key is not null").groupBy("id", "key").agg(F.min_by("doc", "doc.mark").alias("doc")).select("doc")
+    return out.union(words.union(keyed.filter("key is null").select("doc")).select("doc.row.*"))
+
+
+def _keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id``, ``key`` and ``doc`` of documents in the struct ``doc.row``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, stop in slices_by_chars(batch.column(1), SLICE_CHARS):
+                part = batch.slice(start, stop - start)
+                hashes, counts = word_hashes(part.column(1).to_pylist())
+                ends = np.cumsum(counts)
+                keys = [text_key(hashes[e - n : e]) if n else None for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), part.column(2)], ["id", "key", "doc"])
+
+    own = docs.select(F.col(f"doc.row.{id_col}").alias("id"), F.col(f"doc.row.{text_col}").cast("string").alias("text"), "doc")
+    kinds = dict(own.dtypes)
+    return own.mapInArrow(run, f"id {kinds['id']}, key binary, doc {kinds['doc']}")

@@ -93,3 +93,25 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[103] == 100 and 200 not in got
     assert components(spark.createDataFrame([], "a long, b long").withColumn("x", F.lit(1))).count() == 0
+
+
+def test_rows_that_share_an_id(spark, monkeypatch):
+    a, b, c = "one two three four five six seven", "a wholly other text about something else", "and a third text that nobody has copied yet"
+    rows = [(1, b, "x"), (2, a, "x"), (2, b, "x"), (2, a, "x"), (3, c, "x"), (3, "", "x"), (3, None, "y"), (4, a.upper(), "x"), (None, a, "z"), (None, a, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    for few in (jaccard.SEND_IDS, 0):
+        monkeypatch.setattr(jaccard, "SEND_IDS", few)
+        got = sorted(map(tuple, jaccard.one_of_each(df).collect()), key=str)
+        # Both texts of id 2 are judged by themselves: the first of its class stays, the copy of id 1 goes.
+        assert got == sorted([(1, b, "x"), (2, a, "x"), (3, c, "x"), (3, "", "x"), (3, None, "y"), (None, a, "z"), (None, a, "z")], key=str)
+
+
+def test_very_long_text_and_hot_copies(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT", 4)
+    long = " ".join(f"w{i * i % 90_001}" for i in range(250_000))
+    rows = [(0, long), (1, long + " end")] + [(2 + i, "the same short text of eight words again") for i in range(40)] + [(100 + i, f"text {i} stands alone with word number {i * 7}") for i in range(20)]
+    got = {r["doc_id"]: r for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows)
+    assert got[0]["class_id"] == got[1]["class_id"] == 0 and got[1]["n_links"] == 1
+    assert all(got[2 + i]["class_id"] == 2 and got[2 + i]["n_copies"] == 39 for i in range(40))
+    assert all(got[100 + i]["n_links"] == 0 for i in range(20))
