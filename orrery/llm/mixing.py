@@ -27,7 +27,7 @@ source with a third of all rows is spread over as many shards as it needs.
 Defined results: a null source is a source of its own; null ids and texts are rows
 like any other; repeated rows each get a place of their own; an empty table gives
 an empty table; a source without a target weight, or with a weight of 0, comes after all
-others; columns that clash with the added names are kept out.
+others; columns that have the added names (``ADDED``) are left out, all others come back unchanged.
 """
 
 from __future__ import annotations
@@ -50,6 +50,8 @@ BLOCK_ROWS = 16
 PERIOD = 720
 #: Parts of the whole that weights are rounded to.
 PRECISION = 1 << 50
+#: The columns that a schedule adds.
+ADDED = ("mix_block", "mix_phase", "mix_slot", "mix_place")
 #: Blocks of the schedule that the driver holds at once, and that are sent to every task, at most.
 PIECE_BLOCKS, SEND_BLOCKS = 200_000, 4_000_000
 #: Sources that one mix may have.
@@ -198,45 +200,49 @@ def schedule(
     if block_rows < 1 or period < 1:
         raise ValueError("block_rows and period must be positive")
     spark = docs.sparkSession
-    docs = docs.drop("mix_block", "mix_phase", "mix_slot", "mix_place", "mix_shard", "mix_source")
+    docs = docs.drop(*ADDED)
     columns = docs.columns
+    # Rows travel as one struct: no name of theirs can meet one of ours, which all begin alike.
     sizes = {r["s"]: r["n"] for r in docs.groupBy(F.col(source_col).cast("string").alias("s")).agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()}
     shards = {s: max(-(-n // SHARD_ROWS), min(-(-n // SMALL_SHARD_ROWS), SMALL_SHARDS)) for s, n in sizes.items()}
     runs = plan({s: -(-n // block_rows) for s, n in sizes.items()}, flattened(sizes) if weights is None else weights, period)
 
-    sources = _inlined(spark, [{"known": s is not None, "name": s or "", "shards": n} for s, n in shards.items()], "known boolean, name string, shards long")
-    slots = slot_table(spark, runs, period)
+    sources = _inlined(spark, [{"mix_known": s is not None, "mix_name": s or "", "mix_shards": n} for s, n in shards.items()], "mix_known boolean, mix_name string, mix_shards long")
+    slots = slot_table(spark, runs, period).select(*[F.col(c).alias(f"mix_{c}") for c in ("known", "name", "chunk", "slots", "phases")])
 
     name = F.col(source_col).cast("string")
-    keyed = docs.withColumn("mix_source", F.struct(name.isNotNull().alias("known"), F.coalesce(name, F.lit("")).alias("name")))
-    same = (F.col("mix_source.known") == F.col("known")) & (F.col("mix_source.name") == F.col("name"))
-    # The slots join only after the shuffles, so that rows don't carry them.
-    keyed = keyed.join(F.broadcast(sources), same).drop("known", "name")
     order = [F.col(id_col), *[F.xxhash64(F.col(c)) for c in columns if c != id_col and "map<" not in dict(docs.dtypes)[c]]]
-    keyed = keyed.withColumn("mix_shard", F.pmod(F.xxhash64(*order), F.col("shards")))
+    key = ["mix_known", "mix_name"]
+    keyed = docs.select(
+        name.isNotNull().alias("mix_known"), F.coalesce(name, F.lit("")).alias("mix_name"), F.xxhash64(*order).alias("mix_hash"),
+        order[0].alias("mix_id"), F.array(*order[1:]).cast("array<long>").alias("mix_rest"), F.struct(*columns).alias("mix_row"),
+    )
+    # The slots join only after the shuffles, so that rows don't carry them.
+    keyed = keyed.join(F.broadcast(sources), key).withColumn("mix_shard", F.pmod("mix_hash", "mix_shards"))
     # Where a shard's rows begin within their source.
-    starts = keyed.groupBy("mix_source", "mix_shard").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("mix_source").orderBy("mix_shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = starts.select("mix_source", "mix_shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    ranked = keyed.withColumn("rank", F.row_number().over(Window.partitionBy("mix_source", "mix_shard").orderBy(*order)) - 1)
-    ranked = ranked.join(starts, ["mix_source", "mix_shard"])
-    row = F.col("start") + F.col("rank")
-    ranked = ranked.withColumn("mix_block", F.floor(row / block_rows).cast("long")).withColumn("mix_row", F.pmod(row, F.lit(block_rows)))
+    starts = keyed.groupBy(*key, "mix_shard").agg(F.count("*").alias("mix_n"))
+    before = Window.partitionBy(*key).orderBy("mix_shard").rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.select(*key, "mix_shard", F.coalesce(F.sum("mix_n").over(before), F.lit(0)).alias("mix_start"))
+    ranked = keyed.withColumn("mix_rank", F.row_number().over(Window.partitionBy(*key, "mix_shard").orderBy("mix_id", "mix_rest")) - 1)
+    ranked = ranked.join(starts, [*key, "mix_shard"])
+    row = F.col("mix_start") + F.col("mix_rank")
+    ranked = ranked.withColumn("mix_block", F.floor(row / block_rows).cast("long")).withColumn("mix_at", F.pmod(row, F.lit(block_rows)))
     ranked = ranked.withColumn("mix_chunk", F.floor(F.col("mix_block") / period).cast("long"))
     few = sum(-(-n // block_rows) for n in sizes.values()) <= SEND_BLOCKS
-    ranked = ranked.join(F.broadcast(slots) if few else slots, same & (F.col("mix_chunk") == F.col("chunk")))
+    ranked = ranked.join(F.broadcast(slots) if few else slots, [*key, "mix_chunk"])
     within = F.pmod("mix_block", F.lit(period)).cast("int")
-    slot = F.get("slots", within)
+    slot = F.get("mix_slots", within)
     return ranked.select(
-        *[F.col(x) for x in columns],
+        *[F.col("mix_row")[c].alias(c) for c in columns],
         "mix_block",
-        F.get("phases", within).alias("mix_phase"),
+        F.get("mix_phases", within).alias("mix_phase"),
         slot.cast("long").alias("mix_slot"),
-        (slot * block_rows + F.col("mix_row")).cast("long").alias("mix_place"),
+        (slot * block_rows + F.col("mix_at")).cast("long").alias("mix_place"),
     )
 
 
-def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, **options) -> DataFrame:
-    """The rows of ``docs``, all of them, laid out in the order of the mix."""
-    placed = schedule(docs, weights, **options)
-    return placed.repartitionByRange("mix_place").sortWithinPartitions("mix_place").select(*docs.columns)
+def mixed(docs: DataFrame, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
+    """The rows of ``docs``, all of them with all their columns, laid out in the order of the mix."""
+    packed = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.struct(*docs.columns).alias("doc"))
+    placed = schedule(packed, weights, "id", "source", **options)
+    return placed.repartitionByRange("mix_place").sortWithinPartitions("mix_place").select("doc.*")

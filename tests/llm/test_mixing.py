@@ -94,3 +94,30 @@ def test_errors(spark):
         mixing.schedule(df, {"a": -1.0})
     with pytest.raises(ValueError):
         mixing.schedule(df, block_rows=0)
+
+
+def test_other_columns_come_back(spark):
+    names = ["known", "name", "chunk", "slots", "phases", "rank", "run", "runs", "start", "shards", "n", "s", "mix_shard", "mix_source", "mix_row", "mix_known", "mix_name"]
+    rows = [(i, f"s{i % 3}", *[f"{c}{i}" for c in names]) for i in range(200)]
+    df = spark.createDataFrame(rows, ["doc_id", "source", *names])
+    got = mixing.schedule(df, block_rows=4)
+    assert got.columns == [*df.columns, *mixing.ADDED]
+    assert sorted(tuple(r)[: len(df.columns)] for r in got.collect()) == sorted(rows)
+    assert sorted(map(tuple, mixing.mixed(df).collect())) == sorted(rows)
+    again = mixing.mixed(got)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got.collect())) and again.columns == got.columns
+
+
+def test_irrational_weights_over_many_blocks():
+    blocks = {"a": 700_000, "b": 410_000, "c": 90_001, "d": 3}
+    weights = {"a": 2**0.5, "b": 3**0.5, "c": 0.1 * 5**0.5, "d": 1e-5}
+    total, taken, slot = sum(weights.values()), dict.fromkeys(blocks, 0), 0
+    order = {}
+    for r in mixing.plan(blocks, weights):
+        if r.phase == 0:
+            order.update((r.first_slot + at, r.source) for at in r.slots)
+    assert len(order) > 600_000
+    for slot in range(len(order)):
+        taken[order[slot]] += 1
+        if slot % 7 == 0:
+            assert all(abs(taken[s] - (slot + 1) * w / total) < 1 + 1e-6 for s, w in weights.items())
