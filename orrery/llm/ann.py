@@ -9,8 +9,8 @@ to the result can be lost, so the recall is 1.
 
 Defined results: vectors that are null, zero, hold a null or non-finite component
 or differ in length from most take no part, neither do null ids; a row with the
-query's own id is no candidate; a repeated id is one query, and as a candidate
-counts as often as it occurs; ties go to the smaller id; an empty table gives an
+query's own id is no candidate; a repeated id is one query (its least vector), and as a
+candidate counts as often as it occurs; ties go to the smaller id; an empty table gives an
 empty table; columns beyond the id and the vector are not read.
 """
 
@@ -42,16 +42,19 @@ def best_of_tile(q_ids, q, v_ids, v, k):
     near = q8 * q_scale
     q_norm = np.linalg.norm(near, axis=1) * (1 + 1e-9)
     q_left = np.linalg.norm(q - near, axis=1) * (1 + 1e-9)
+    rounding = 4 * (q.shape[1] + 4) * np.finfo(float).eps
     out = ([], [], [])
     for low in range(0, len(q_ids), 128):
         part = slice(low, low + 128)
         about = (q8[part].astype(exact) @ v_t).astype(np.float64) * q_scale[part] * v_scale[None, :, 0]
-        error = q_norm[part, None] * v_left[None, :] + q_left[part, None] * v_norm[None, :] + 1e-12
+        # What double precision itself may be off grows with the norms and the dimensions.
+        error = q_norm[part, None] * v_left[None, :] + q_left[part, None] * v_norm[None, :] + rounding * q_norm[part, None] * v_norm[None, :]
         own = q_ids[part, None] == v_ids[None, :]
         about[own] = -np.inf
-        lower = about - error
+        # Bounds beyond double precision are none: such a pair always survives.
+        lower = np.nan_to_num(about - error, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
         cut = np.partition(lower, len(v_ids) - k, axis=1)[:, len(v_ids) - k] if len(v_ids) > k else np.full(len(about), -np.inf)
-        row, col = np.nonzero((about + error >= cut[:, None]) & ~own)
+        row, col = np.nonzero(~(about + error < cut[:, None]) & ~own)
         score = np.zeros(len(row))
         for dim in range(q.shape[1]):  # in the order of the components, as a plain loop would
             score += q[low + row, dim] * v[col, dim]

@@ -51,15 +51,17 @@ def search(
 
     Queries and vectors are dealt by hash into blocks of a fixed size; each pair of
     blocks is a tile and one group, whose kernel returns at most ``k`` candidates a
-    query. Tiles are merged by a heap of ``k`` a query.
+    query. Tiles are merged by a heap of ``k`` a query. Of a query id that occurs with
+    several vectors the least one, component by component, is the query.
     """
     vectors = staged(vectors, "vectors")
-    queries = vectors.filter(is_query).dropDuplicates(["id"])
+    queries = vectors.filter(is_query).groupBy("id").agg(F.min("v").alias("v"))
     n_v = max(1, -(-vectors.count() // TILE_VECTORS))
     n_q = max(1, -(-queries.count() // TILE_QUERIES))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     left = queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(n_q))).withColumn("vb", every(n_v))
-    right = vectors.withColumn("vb", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(n_v))).withColumn("qb", every(n_q))
+    # By row, not by id: a repeated id is spread like any other rows.
+    right = vectors.withColumn("vb", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(n_v))).withColumn("qb", every(n_q))
     schema = f"query_id long, vec_id long, score {kind}"
     arrow = pa.float64() if kind == "double" else pa.int64()
 
@@ -75,17 +77,32 @@ def search(
     found = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(tile, schema)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heaps: dict[int, list[tuple]] = {}
+        now, heap = None, []
+        rows: list[tuple] = []
+
+        def finish() -> None:
+            rows.extend((now, r, -v, s) for r, (s, v) in enumerate(sorted(heap, reverse=True), 1))
+            heap.clear()
+
+        def taken() -> pa.RecordBatch:
+            part = list(zip(*rows, strict=True)) or [()] * 4
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int32()), pa.array(part[2], pa.int64()), pa.array(part[3], arrow)], ["query_id", "rank", "vec_id", "score"])
+
         for batch in batches:
             for q, v, s in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                heap = heaps.setdefault(q, [])
+                if q != now:
+                    finish()
+                    now = q
                 if len(heap) < k:
                     heapq.heappush(heap, (s, -v))
                 else:
                     heapq.heappushpop(heap, (s, -v))
-        rows = [(q, r, -v, s) for q, heap in heaps.items() for r, (s, v) in enumerate(sorted(heap, reverse=True), 1)]
-        for i in range(0, len(rows), 50_000):
-            part = list(zip(*rows[i : i + 50_000], strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int32()), pa.array(part[2], pa.int64()), pa.array(part[3], arrow)], ["query_id", "rank", "vec_id", "score"])
-
-    return found.repartition("query_id").mapInArrow(merge, f"query_id long, rank int, vec_id long, score {kind}")
+            if len(rows) > 50_000:
+                yield taken()
+        finish()
+        yield taken()
+
+    # Sorted, so that one query's heap is held at a time.
+    dealt = found.repartition("query_id").sortWithinPartitions("query_id")
+    return dealt.mapInArrow(merge, f"query_id long, rank int, vec_id long, score {kind}")

@@ -60,3 +60,12 @@ def test_few_and_none(spark):
     assert topk.exact_top(df.limit(0), ann.every_nth(50)).count() == 0
     with pytest.raises(ValueError):
         ann.nearest(df, ann.every_nth(20), k=0)
+
+
+def test_repeated_ids_and_large_components(spark):
+    rows = [(0, [1.0, 2.0]), (0, [0.5, 9.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1e200, 1e200]), (4, [1e-200, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in ann.nearest(df, ann.every_nth(20)).orderBy("rank").collect()]
+    assert got == [(3, 0.5e200 + 9e200), (2, 9.0), (1, 0.5), (4, 0.5e-200)]
+    whole = [(r["vec_id"], r["score"]) for r in topk.exact_top(df.filter("vec_id < 3"), ann.every_nth(50)).orderBy("rank").collect()]
+    assert whole == [(2, 9 * 256 * 256), (1, 128 * 256)]
