@@ -6,13 +6,16 @@ A page is a ``response`` record with an HTTP head and its payload, or a ``revisi
 without one that names the response it repeats.
 
 Reading deals every file in byte ranges. A task scans its range for lines that
-begin like a record and, for each candidate, parses the head and emits the offset of
-its successor; ranges may be scanned independently because a candidate is read to
-its end even beyond the range. A payload may hold such a line, so a candidate is
-only kept if it lies on the chain that starts at the file's start. Within a range
-the chains are followed locally to their exit; across ranges, pointers are jumped
-(each round doubles the reach) until every range knows whether it is entered and
-where. Payloads are digested as they pass and not kept.
+begin like a record and, for each candidate, reads the head and has the offset of
+its successor, which may lie beyond the range; so ranges are scanned independently.
+A payload may hold such a line, so a candidate is only kept if it lies on the chain
+that starts at the file's start. Within a range the chains are followed at once to
+where they leave it, and of each candidate its offset and this exit are emitted;
+across ranges, pointers are jumped (each round doubles the reach) until every range
+knows whether it is entered and where. Then the records of a range are read from its
+entry on, their payloads digested as they pass and not kept. A file whose chain does
+not end at its last byte is damaged or cut and raises an error: no record is left out
+in silence.
 
 Defined results: null html is an empty payload; a null url has no target line, line
 breaks and blanks in a url are percent-encoded; a null page id is written as an
@@ -43,6 +46,10 @@ SEND_ROWS = 500_000
 #: Bytes of a record's head that are read first; each further piece is as long as all before.
 HEAD_BYTES = 4 << 10
 
+#: Bytes of a file that are read at once, at least.
+WINDOW_BYTES = 1 << 20
+
+LENGTH = re.compile(r"[0-9]{1,18}")
 MAGIC = re.compile(rb"(?:^|\n)(?=WARC/1\.[01]\r\n)")
 HEAD_END = b"\r\n\r\n"
 
@@ -97,7 +104,12 @@ def parse_head(head: bytes) -> dict[str, str] | None:
         if not colon:
             return None
         fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    return fields if fields.get("content-length", "").isdigit() else None
+    return fields if number(fields.get("content-length")) is not None else None
+
+
+def number(text: str | None) -> int | None:
+    """A field's whole number of at most 18 ASCII digits; None if it is none."""
+    return int(text) if text and LENGTH.fullmatch(text) else None
 
 
 def _payload(file, start: int, stop: int, is_http: bool) -> tuple[int, str]:
@@ -146,10 +158,9 @@ def read_head(file, at: int, size: int) -> bytes | None:
     return head[:cut]
 
 
-def scan_range(file, start: int, stop: int, size: int) -> list[tuple]:
-    """The candidates whose first byte lies in [start, stop): offset, successor (null if the record can't be whole), fields."""
-    found, low = [], start
-    starts = []
+def scan_range(file, start: int, stop: int, size: int) -> Iterator[tuple[int, int, bytes]]:
+    """The candidates whose first byte lies in [start, stop) and that end within the file: offset, successor, head."""
+    low = start
     while low < stop:
         # One byte before, to see the line end; some after, to see the magic.
         begin = max(0, low - 1)
@@ -158,100 +169,136 @@ def scan_range(file, start: int, stop: int, size: int) -> list[tuple]:
         high = min(low + READ_BYTES, stop)
         for m in MAGIC.finditer(data):
             at = begin + m.end()
-            if low <= at < high and (m.end() > m.start() or begin + m.start() == 0):
-                starts.append(at)
+            if low <= at < high and (m.end() > m.start() or begin + m.start() == 0) and (found := record_at(file, at, size)):
+                yield at, found[1], found[0]
         low = high
-    for at in starts:
-        head = read_head(file, at, size)
-        fields = parse_head(head) if head is not None else None
-        if fields is None:
-            continue
-        block = at + len(head) + 4
-        after = block + int(fields["content-length"])
-        if after + 4 > size:
-            continue
-        file.seek(after)
-        if file.read(4) != HEAD_END:
-            continue
-        length, digest = _payload(file, block, after, "application/http" in fields.get("content-type", ""))
-        found.append((at, after + 4, fields, length, digest))
-    return found
-
-
-def candidates(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Every candidate of the archives under ``path``: its file, range, offset, successor and fields."""
-    ship_code(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"))
-    ranges = files.filter("size > 0").withColumn("range", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / range_bytes))))
-    schema = "path string, size long, range long, offset long, successor long, type string, page string, refers string, uri string, stated_digest string, stated_bytes long, digest string, bytes long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
 
-        for batch in batches:
-            for name, size, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                system, inner = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", name))
-                out = []
-                with system.open_input_file(inner) as file:
-                    for at, after, fields, length, digest in scan_range(file, part * range_bytes, min(size, (part + 1) * range_bytes), size):
-                        stated = fields.get("x-payload-length", "")
-                        out.append((name, size, part, at, after, fields.get("warc-type"), fields.get("x-page-id"), fields.get("x-refers-to-page-id"), fields.get("warc-target-uri"), fields.get("warc-payload-digest", "").removeprefix("sha1:"), int(stated) if stated.isdigit() else None, digest, length))
-                for i in range(0, len(out), 10_000):
-                    rows = list(zip(*out[i : i + 10_000], strict=True))
-                    kinds = [pa.string(), *[pa.int64()] * 4, *[pa.string()] * 5, pa.int64(), pa.string(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])
+def record_at(file, at: int, size: int) -> tuple[bytes, int] | None:
+    """Head and successor of the record at ``at``; None if there is none that ends within the file."""
+    head = read_head(file, at, size)
+    fields = parse_head(head) if head is not None else None
+    if fields is None:
+        return None
+    after = at + len(head) + 4 + number(fields["content-length"])
+    if after + 4 > size:
+        return None
+    file.seek(after)
+    return (head, after + 4) if file.read(4) == HEAD_END else None
 
-    n = max(1, min(ranges.count(), 4 * spark.sparkContext.defaultParallelism * 64))
-    return ranges.repartition(n, "path", "range").mapInArrow(run, schema)
+
+class Window:
+    """A file that is read in larger pieces; small reads close to one another are served from the last one."""
+
+    def __init__(self, file, size: int):
+        self.file, self.size, self.at, self.begin, self.held = file, size, 0, 0, b""
+
+    def seek(self, at: int) -> None:
+        self.at = at
+
+    def read(self, n: int) -> bytes:
+        n = max(0, min(n, self.size - self.at))
+        if not self.begin <= self.at <= self.at + n <= self.begin + len(self.held):
+            self.file.seek(self.at)
+            self.begin, self.held = self.at, self.file.read(max(n, WINDOW_BYTES))
+        low = self.at - self.begin
+        self.at += n
+        return self.held[low : low + n]
 
 
-def verified(found: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """The candidates on the chain from their file's start."""
+def _opened(name: str, size: int):
+    """The file as a window, and what is to be closed."""
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", name))
+    file = system.open_input_file(inner)
+    return Window(file, size), file
+
+
+def ranges_of(spark: SparkSession, path: str, range_bytes: int) -> DataFrame:
+    """(``path``, ``size``, ``file``, ``range``) of the archives under ``path``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"))
     # Pointers name a file by 64 bits of its path: a path in every row would dwarf them.
-    found = staged(found.withColumn("file", F.xxhash64("path")), "warc-candidates")
-    links = found.select("file", "range", "offset", "successor")
+    files = files.filter("size > 0").withColumn("file", F.xxhash64("path"))
+    return files.withColumn("range", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") - 1) / range_bytes))))
+
+
+def exits(ranges: DataFrame, range_bytes: int) -> DataFrame:
+    """(``file``, ``offset``, ``leave``): every candidate, and where its chain leaves the candidate's range."""
 
-    def exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each candidate of a range, where its chain leaves the range."""
-        held: dict[tuple, dict[int, int]] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, part, at, after in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault((file, part), {})[at] = after
-        for (file, _), own in held.items():
-            leave: dict[int, int] = {}
-            for at in sorted(own, reverse=True):  # successors lie behind
-                leave[at] = leave.get(own[at], own[at])
-            rows = [(file, at, out) for at, out in leave.items()]
-            cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["file", "offset", "leave"])
-
-    jumps = staged(links.repartition("file", "range").mapInArrow(exits, "file long, offset long, leave long"), "warc-exits")
-    # Entries: the first record of a file, then where chains leave to, doubling the reach.
-    reached = jumps.filter("offset = 0").select("file", "offset")
-    hop = jumps.select("file", "offset", F.col("leave").alias("to"))
+            for name, size, file_key, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                window, file = _opened(name, size)
+                with file:  # at most as many candidates as a range has lines
+                    own = {at: after for at, after, _ in scan_range(window, part * range_bytes, min(size, (part + 1) * range_bytes), size)}
+                leave: dict[int, int] = {}
+                for at in sorted(own, reverse=True):  # successors lie behind
+                    leave[at] = leave.get(own[at], own[at])
+                yield pa.RecordBatch.from_arrays([pa.array([file_key] * len(leave), pa.int64()), pa.array(list(leave), pa.int64()), pa.array(list(leave.values()), pa.int64())], ["file", "offset", "leave"])
+
+    return ranges.select("path", "size", "file", "range").mapInArrow(run, "file long, offset long, leave long")
+
+
+def entries(ranges: DataFrame, range_bytes: int) -> DataFrame:
+    """(``file``, ``range``, ``entry``): where the chain from each file's start enters its ranges, by pointer jumping."""
+    jumps = staged(exits(ranges, range_bytes), "warc-exits")
+    # Only files' starts and where chains leave to can be entries.
+    targets = jumps.select("file", F.col("leave").alias("offset")).distinct()
+    nodes = staged(jumps.filter("offset = 0").union(jumps.filter("offset > 0").join(targets, ["file", "offset"], "left_semi")), "warc-nodes")
+    reached = nodes.filter("offset = 0").select("file", "offset")
+    known = nodes.select("file", F.col("offset").alias("to"))
+    hop = nodes.select("file", "offset", F.col("leave").alias("to"))
+    n = reached.count()
     while True:
-        onward = reached.join(hop, ["file", "offset"]).join(jumps.select("file", F.col("offset").alias("to")), ["file", "to"], "left_semi").select("file", F.col("to").alias("offset"))
+        onward = reached.join(hop, ["file", "offset"]).join(known, ["file", "to"], "left_semi").select("file", F.col("to").alias("offset"))
         more = staged(reached.union(onward).distinct(), "warc-reached")
-        if more.count() == reached.count():
+        if (now := more.count()) == n:
             break
-        reached = more
-        hop = staged(hop.join(hop.select("file", F.col("offset").alias("to"), F.col("to").alias("far")), ["file", "to"]).select("file", "offset", F.col("far").alias("to")).union(hop.join(jumps.select("file", F.col("offset").alias("to")), ["file", "to"], "left_anti").select("file", "offset", "to")), "warc-hops")
-    entries = reached.withColumn("range", F.floor(F.col("offset") / range_bytes)).groupBy("file", "range").agg(F.min("offset").alias("entry"))
+        reached, n = more, now
+        further = hop.select("file", F.col("offset").alias("to"), F.col("to").alias("far"))
+        hop = staged(hop.join(further, ["file", "to"], "left").select("file", "offset", F.coalesce("far", "to").alias("to")), "warc-hops")
+    ends = nodes.join(reached, ["file", "offset"], "left_semi").groupBy("file").agg(F.max("leave").alias("end"))
+    broken = ranges.filter("range = 0").join(ends, "file", "left").filter("end is null or end <> size").select("path", "size", "end").first()
+    if broken:
+        raise ValueError(f"{broken['path']}: the chain of records ends at byte {broken['end'] or 0} of {broken['size']}")
+    return reached.withColumn("range", F.floor(F.col("offset") / range_bytes)).groupBy("file", "range").agg(F.min("offset").alias("entry"))
+
+
+def follow(dealt: DataFrame, range_bytes: int) -> DataFrame:
+    """The records of ranges (``path``, ``size``, ``range``, ``entry``), each read from its entry on."""
+    schema = "type string, page string, refers string, uri string, stated_digest string, stated_bytes long, digest string, bytes long"
+    names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [*[pa.string()] * 5, pa.int64(), pa.string(), pa.int64()]
 
-    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, tuple[int, dict[int, int]]] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, part, at, after, entry in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault((file, part), (entry, {}))[1][at] = after
-        for (file, _), (at, own) in held.items():
-            kept = []
-            while at in own:
-                kept.append(at)
-                at = own[at]
-            yield pa.RecordBatch.from_arrays([pa.array([file] * len(kept), pa.int64()), pa.array(kept, pa.int64())], ["file", "offset"])
-
-    dealt = links.join(entries, ["file", "range"]).select("file", "range", "offset", "successor", "entry").repartition("file", "range")
-    return found.join(dealt.mapInArrow(follow, "file long, offset long"), ["file", "offset"], "left_semi")
+            for name, size, part, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                window, file = _opened(name, size)
+                out: list[tuple] = []
+                with file:
+                    while at < min(size, (part + 1) * range_bytes):
+                        head, after = record_at(window, at, size)
+                        fields = parse_head(head)
+                        length, digest = _payload(window, at + len(head) + 4, after - 4, "application/http" in fields.get("content-type", ""))
+                        out.append((fields.get("warc-type"), fields.get("x-page-id"), fields.get("x-refers-to-page-id"), fields.get("warc-target-uri"), fields.get("warc-payload-digest", "").removeprefix("sha1:"), number(fields.get("x-payload-length")), digest, length))
+                        at = after
+                        if len(out) == 1_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                            out = []
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    return dealt.select("path", "size", "range", "entry").mapInArrow(run, schema)
+
+
+def verified(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The records on the chain from their file's start, of all archives under ``path``."""
+    ship_code(spark)
+    ranges = ranges_of(spark, path, range_bytes)
+    n = max(1, min(ranges.count(), 4 * spark.sparkContext.defaultParallelism * 64))
+    ranges = staged(ranges.repartition(n, "path", "range"), "warc-ranges").repartition(n, "file", "range")
+    return follow(ranges.join(entries(ranges, range_bytes), ["file", "range"]).repartition(n, "file", "range"), range_bytes)
 
 
 def read(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -261,7 +308,7 @@ def read(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> Data
     ``payload_digest`` (of the payload as read; a revisit states those of the payload
     that it repeats) and ``intact`` (a response whose digest is as stated).
     """
-    kept = verified(candidates(spark, path, range_bytes), range_bytes)
+    kept = verified(spark, path, range_bytes)
     response = F.col("type") == "response"
     return kept.select(
         F.expr("try_cast(page AS BIGINT)").alias("page_id"),

@@ -13,7 +13,7 @@ def rows():
     big = "<p>" + "é" * 700 + "</p>"
     out = [(i, f"http://h/{i}", f"<p>{i}</p>\n" * (i % 40)) for i in range(60)]
     out += [(100 + i, "http://c/", big) for i in range(5)] + [(200 + i, "http://s/", "small") for i in range(3)]
-    out += [(300, "http://a b\r\nX-Page-ID: 1/", FAKE), (301, None, None), (302, "u", ""), (303, "u", FAKE * 200), (None, "n", "null id"), (304, "u", "WARC/1.0\r\n" * 30)]
+    out += [(305, "u", "\nWARC/1.1\r\nContent-Length: \u00b2\r\n\r\n"), (306, "u", "\nWARC/1.1\r\nContent-Length: " + "9" * 5000 + "\r\n\r\n"), (300, "http://a b\r\nX-Page-ID: 1/", FAKE), (301, None, None), (302, "u", ""), (303, "u", FAKE * 200), (None, "n", "null id"), (304, "u", "WARC/1.0\r\n" * 30)]
     return out
 
 
@@ -41,7 +41,7 @@ def test_round_trip(spark, tmp_path, range_bytes):
     assert out == expected(rows())
     assert got.filter("record_type = 'response' and not intact").count() == 0
     # The magic inside payloads was seen, and rejected.
-    assert warc.candidates(spark, path, range_bytes).count() > len(out)
+    assert warc.exits(warc.ranges_of(spark, path, range_bytes), range_bytes).count() > len(out)
 
 
 def test_long_urls(spark, tmp_path):
@@ -74,7 +74,7 @@ def test_many_false_candidates():
             return data
 
     fake = b"WARC/1.1\r\nA: b\r\n" * 20_000 + b"\r\n"
-    assert warc.scan_range(Counted(fake), 0, len(fake), len(fake)) == []
+    assert list(warc.scan_range(Counted(fake), 0, len(fake), len(fake))) == []
     assert Counted.total < 20_000 * 3 * warc.HEAD_BYTES
 
 
@@ -99,3 +99,43 @@ def test_files_follow_the_format(spark, tmp_path):
 def test_empty(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.round_trip(df).count() == 0
+
+
+def test_fields_of_odd_digits():
+    for text in ("\u00b2", "9" * 19, "9" * 5000, "-1", "1.0", " 1", "", None, "\u0661"):
+        assert warc.number(text) is None
+        assert warc.parse_head(f"WARC/1.1\r\nContent-Length: x{text}".encode()) is None
+    assert warc.number("0") == 0 and warc.number("9" * 18) == 10**18 - 1
+    # A response may state a payload length that is none: it is read as null.
+    assert warc.parse_head(b"WARC/1.1\r\nContent-Length: 3\r\nX-Payload-Length: " + b"9" * 40)
+
+
+@pytest.mark.parametrize("damage", ["cut", "head", "middle"])
+def test_damaged_files_raise(spark, tmp_path, damage):
+    df = spark.createDataFrame([(i, f"http://x/{i}", f"<p>{i}</p>" * 50) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    path = tmp_path / "w"
+    warc.write(df, f"file://{path}")
+    (file,) = path.glob("part-*")
+    data = file.read_bytes()
+    if damage == "cut":
+        data = data[:-700]
+    elif damage == "head":
+        data = b"x" + data
+    else:
+        at = data.index(b"X-Page-ID: 20")
+        data = data[:at] + b"a line without a mark\r\n" + data[at:]
+    file.write_bytes(data)
+    for crc in path.glob(".*.crc"):
+        crc.unlink()
+    for range_bytes in (3000, warc.RANGE_BYTES):
+        with pytest.raises(ValueError, match="chain of records"):
+            warc.read(spark, f"file://{path}", range_bytes).count()
+
+
+def test_window():
+    data = bytes(range(256)) * 9000
+    window = warc.Window(io.BytesIO(data), len(data))
+    for at, n in ((0, 10), (5, 100), (1_000_000, 200_000), (1_199_990, 20), (len(data) - 3, 10), (7, 0), (0, len(data))):
+        window.seek(at)
+        assert window.read(n) == data[at : at + n]
+        assert window.read(2) == data[at + n : at + n + 2]
