@@ -8,13 +8,19 @@ ancestors do, and sibling lists are aligned by dynamic programming for the large
 number of matched nodes (runs of equally labelled siblings count as one node, so a
 list of any length is one slot). Each page votes for every matched node that has
 text: is the text the reference's, or not? Nodes that stay constant become template,
-varying ones content. Copies of the reference page don't vote, as they would make an
-article look constant.
+on the reference page as on all others, varying ones content. Copies of the reference
+page don't vote, as they would make an article look constant.
 
 A page's text is that of its article element, or else its main element, or else its
 whole body, without the template, without parts whose tag, role or class says that
 they are navigation, header, footer, sidebar, notice, advert, form or reader
-comments, and, outside an article, without blocks that are mostly links.
+comments, and, outside an article, without blocks that are mostly links. Within an
+article a class or id drops a part only if it has no other words than those of an
+advert, a menu, a notice or comments (``ARTICLE_WORDS``, ``PLAIN_WORDS``), and never an
+inline element.
+
+Elements may be nested to any depth: below ``DEEP`` levels their text and what is
+dropped stay as they are, only the tree that is aligned has them side by side.
 
 Votes are summed by host, layout and node before they are shuffled; references are sent to
 the tasks if they have at most ``SEND_BYTES``, else joined. So a host with a third
@@ -45,6 +51,8 @@ CONSTANT_SHARE, LEAST_VOTES = 0.9, 3
 SEND_BYTES = 32 << 20
 #: Share of a block's characters in links from which it is a menu, outside articles.
 LINK_SHARE = 0.6
+#: Levels of elements that the tree has.
+DEEP = 200
 
 # Elements by what they do to the text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -65,6 +73,15 @@ newsletter subscribe subscription signup login search share sharing social
 comment comments commentlist respond reply replies discussion disqus feedback
 skip hidden toolbar tooltip
 """.split())
+# Words of a class or id that name such a part even within an article, if it has no others.
+ARTICLE_WORDS = frozenset("""
+ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner banners
+nav navbar navigation menu submenu breadcrumb breadcrumbs pagination sidebar sidebars
+notice notices notification notifications cookie cookies consent gdpr popup overlay newsletter subscribe subscription signup
+comment comments commentlist disqus share sharing social
+""".split())
+# Words beside them that say nothing of what a part holds.
+PLAIN_WORDS = frozenset("area bar block box button buttons container content form group holder icons inner item items link links list outer panel section slot top bottom left right unit wrap wrapper".split())
 # Of these, words that also name a page's layout (a class "with-sidebar"
 # may hold everything), and words by which an article element is none.
 LAYOUT_WORDS = frozenset("sidebar sidebars rail nav navbar navigation menu header masthead topbar footer banner ad ads cookie cookies widget widgets".split())
@@ -90,7 +107,7 @@ class Node:
         self.tag, self.label, self.part, self.soft, self.children = tag, label or tag, part, soft, []
 
 
-def _open(tag: str, attributes: str) -> Node:
+def _open(tag: str, attributes: str, in_article: bool) -> Node:
     """The node of a start tag; ``part`` says that it is dropped, or a main part."""
     part = "drop" if tag in DROPPED else tag if tag in ("article", "main", "header") else ""
     label, soft = tag, part != "drop"
@@ -99,9 +116,13 @@ def _open(tag: str, attributes: str) -> Node:
             name, value = name.lower(), value.strip("\"'")
             if name in ("class", "id"):
                 label += f"{'.' if name == 'class' else '#'}{re.sub('[0-9]+', '', value)}"
-                named = {w.lower() for w in _WORDS.findall(value)} & (NO_ARTICLE_WORDS if tag == "article" else DROPPED_WORDS)
+                words = {w.lower() for w in _WORDS.findall(value)}
+                if in_article and tag != "article":
+                    named = words & ARTICLE_WORDS if words <= ARTICLE_WORDS | PLAIN_WORDS and tag not in INLINE else frozenset()
+                else:
+                    named = words & (NO_ARTICLE_WORDS if tag == "article" else DROPPED_WORDS)
                 if named and tag not in ("html", "body", "main"):
-                    part, soft = "drop", soft and named <= LAYOUT_WORDS and tag != "article"
+                    part, soft = "drop", soft and not in_article and named <= LAYOUT_WORDS and tag != "article"
             elif name == "role":
                 role = value.lower()
                 part, soft = ("drop", False) if role in DROPPED_ROLES else (role if role in ("main", "article") and part != "drop" else part, soft)
@@ -115,13 +136,24 @@ def _open(tag: str, attributes: str) -> Node:
 def parse(text: str) -> Node:
     """The DOM tree of a page, as forgiving as browsers are about missing end tags."""
     root = Node("#root")
-    stack, at, n = [root], 0, len(text)
+    # The open elements, where each one's children go, and how many open ones are main parts.
+    stack, holders, at, n = [root], [root], 0, len(text)
+    articles = 0
+
+    def close(i: int) -> None:
+        nonlocal articles
+        for node, holder in zip(stack[i:], holders[i:], strict=True):
+            articles -= node.part in ("article", "main")
+            if holder is not node and node.tag not in INLINE:  # an end that stands for the flattened element's
+                holder.children.append(Node(node.tag))
+        del stack[i:], holders[i:]
+
     while at < n:
         m = _TOKEN.search(text, at)
         start = m.start() if m else n
         if start > at:
             piece = text[at:start]
-            stack[-1].children.append(entities.unescape(piece) if "&" in piece else piece)
+            holders[-1].children.append(entities.unescape(piece) if "&" in piece else piece)
         if not m:
             break
         at = m.end()
@@ -132,7 +164,7 @@ def parse(text: str) -> Node:
         if m.group(1) or m.group(4):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    del stack[i:]
+                    close(i)
                     break
                 if tag in INLINE and stack[i].tag in SCOPE:
                     break
@@ -146,25 +178,30 @@ def parse(text: str) -> Node:
         if tag in CLOSES_P:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in SCOPE:
                     break
         if tag in IMPLIED:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in IMPLIED[tag]:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in ("ul", "ol", "dl", "table", "select") or (stack[i].tag in SCOPE and stack[i].tag not in ("td", "th")):
                     break
-        node = _open(tag, attributes or "")
-        stack[-1].children.append(node)
+        node = _open(tag, attributes or "", articles > 0)
+        holder = holders[-1]
+        holder.children.append(node)
         if node.part in ("article", "main"):
             for above in stack:  # what holds an article is no sidebar, whatever its layout is called
                 if above.soft and above.part == "drop":
                     above.part = ""
-        if tag not in VOID and len(stack) < 400:
+        if tag not in VOID:
             stack.append(node)
+            articles += node.part in ("article", "main")
+            # Far down, only what is dropped or a main part within something else holds its own children.
+            deep = len(stack) > DEEP and (not node.part or holder.part in ("drop", node.part))
+            holders.append(holder if deep else node)
     return root
 
 
@@ -265,29 +302,34 @@ def _match(a: Slot, b: Slot) -> tuple[int, list[tuple[Slot, Slot]]]:
     left, right = a.children, b.children
     pairs: list[tuple[Slot, Slot]] = [(a, b)]
     total = 1
-    # Equal ends match each other; only what lies between needs the table.
-    low = 0
-    while low < len(left) and low < len(right) and left[low].label == right[low].label:
+    # Children at the ends that match in whole are matched in some best alignment: only what lies between needs the table.
+    low, end = 0, 0
+    while low < len(left) and low < len(right):
+        found = _whole(left[low], right[low])
+        if found is None:
+            break
+        total += len(found)
+        pairs += found
         low += 1
-    end = 0
-    while end < len(left) - low and end < len(right) - low and left[-1 - end].label == right[-1 - end].label:
+    while end < len(left) - low and end < len(right) - low:
+        found = _whole(left[-1 - end], right[-1 - end])
+        if found is None:
+            break
+        total += len(found)
+        pairs += found
         end += 1
-    straight = [*zip(left[:low], right[:low], strict=True), *zip(left[len(left) - end :], right[len(right) - end :], strict=True)]
-    for x, y in straight:
-        n, more = _match(x, y)
-        total += n
-        pairs += more
     left, right = left[low : len(left) - end], right[low : len(right) - end]
     if left and right:
         own: dict[tuple[int, int], tuple[int, list]] = {}
         table = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
         for i, x in enumerate(left, 1):
+            above, row = table[i - 1], table[i]
             for j, y in enumerate(right, 1):
-                best = max(table[i - 1][j], table[i][j - 1])
+                best = above[j] if above[j] > row[j - 1] else row[j - 1]
                 if x.label == y.label:
                     own[i, j] = _match(x, y)
-                    best = max(best, table[i - 1][j - 1] + own[i, j][0])
-                table[i][j] = best
+                    best = max(best, above[j - 1] + own[i, j][0])
+                row[j] = best
         i, j = len(left), len(right)
         while i and j:
             if table[i][j] == table[i - 1][j]:
@@ -301,6 +343,19 @@ def _match(a: Slot, b: Slot) -> tuple[int, list[tuple[Slot, Slot]]]:
     return total, pairs
 
 
+def _whole(a: Slot, b: Slot) -> list[tuple[Slot, Slot]] | None:
+    """The pairs of two trees that match node by node; None if they don't."""
+    if a.label != b.label or len(a.children) != len(b.children):
+        return None
+    pairs = [(a, b)]
+    for x, y in zip(a.children, b.children, strict=True):
+        found = _whole(x, y)
+        if found is None:
+            return None
+        pairs += found
+    return pairs
+
+
 def folded(text: str) -> Slot:
     root = Slot("#root", [parse(text)])
     number(root)
@@ -359,12 +414,9 @@ def extract(page: str | None, text: str | None = None, constant: frozenset[int]
     root = parse(page)
     template: set[int] = set()
     if text and constant:
-        own, whole = reference(text)
-        tree = Slot("#root", [root])
-        if tree.starts() != own.starts() or all_text(tree) != whole:
-            pairs: list[tuple[Slot, Slot]] = []
-            align(tree, own, pairs)
-            template = {id(m) for mine, theirs in pairs if theirs.number in constant and mine.same(theirs) for m in mine.members}
+        pairs: list[tuple[Slot, Slot]] = []
+        align(Slot("#root", [root]), reference(text)[0], pairs)
+        template = {id(m) for mine, theirs in pairs if theirs.number in constant and mine.same(theirs) for m in mine.members}
     for wanted in ("article", "main", ""):
         regions = _regions(root, wanted) if wanted else [root]
         if regions:
@@ -438,7 +490,7 @@ def with_layout(pages: DataFrame) -> DataFrame:
     return pages.mapInArrow(run, f"{fields}, layout long")
 
 
-def chosen(some: DataFrame) -> DataFrame:
+def chosen(some: DataFrame, plain: DataFrame) -> DataFrame:
     """(``host``, ``layout``, ``own``, ``main``, ``reference``): references of layouts that can vote, and of each host's most common."""
     mark = F.xxhash64("html").alias("mark")
     marks = staged(some.select("host", "layout", "id", mark), "layouts")
@@ -449,7 +501,7 @@ def chosen(some: DataFrame) -> DataFrame:
     main = groups.groupBy("host").agg(F.max(F.struct("n", "layout"))["layout"].alias("layout"), F.lit(True).alias("main"))
     picks = groups.join(main, ["host", "layout"], "left").withColumn("main", F.coalesce("main", F.lit(False))).filter("own or main")
     picks = staged(picks.select("host", "layout", "mark", "own", "main"), "layout-picks")
-    texts = some.select("host", mark, "html").join(picks, ["host", "mark"])
+    texts = plain.select("host", mark, "html").join(picks, ["host", "mark"])
     return staged(texts.groupBy("host", "layout", "own", "main").agg(F.min("html").alias("reference")), "references")
 
 
@@ -462,10 +514,10 @@ def placed(pages: DataFrame, references: DataFrame) -> DataFrame:
     return both.withColumn("ref", F.coalesce("own_ref", "main_ref")).drop("own_ref", "main_ref")
 
 
-def wrappers(pages: DataFrame) -> DataFrame:
-    """(``host``, ``layout``, ``own``, ``main``, ``reference``, ``constant``) of pages (``id``, ``url``, ``html``, ``host``) with their ``layout``."""
+def wrappers(pages: DataFrame, plain: DataFrame) -> DataFrame:
+    """(``host``, ``layout``, ``own``, ``main``, ``reference``, ``constant``) of pages (``id``, ``url``, ``html``, ``host``) with their ``layout``, and without in ``plain``."""
     some = pages.filter("html is not null and html <> ''")
-    references = chosen(some)
+    references = chosen(some, plain)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, int, int], list[int]] = {}
@@ -506,8 +558,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     """``id_col``, ``url``, ``text`` and ``n_chars`` of every page."""
     ship_code(pages.sparkSession)
     source = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).withColumn("host", host_of("url"))
-    source = with_layout(source)
-    joined = placed(source, wrappers(source)).select("id", "url", "html", "ref.reference", "ref.constant")
+    told = with_layout(source)
+    joined = placed(told, wrappers(told, source)).select("id", "url", "html", "ref.reference", "ref.constant")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -56,9 +56,8 @@ def test_tree_matching_against_all_alignments():
         a, b = H.folded(tree(2)), H.folded(tree(2))
         pairs = []
         found = H.align(a, b, pairs)
-        assert found == len(pairs) <= best(a, b)
+        assert found == len(pairs) == best(a, b)
         assert all(x.label == y.label for x, y in pairs)
-        assert found >= 0.8 * best(a, b)
 
 
 def test_induced_template(spark):
@@ -70,7 +69,7 @@ def test_induced_template(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1)).withColumn("host", F.lit("h"))
     got = {r["page_id"]: r for r in H.main_text(df).collect()}
     assert len(got) == len(rows)
-    for i in range(1, 30):
+    for i in range(30):
         assert got[i]["text"] == f"Title {i} Text number {i} of this page. The same line."
         assert got[i]["n_chars"] == len(got[i]["text"])
     assert got[100]["text"] == "Solo" and got[101]["text"] == "" and got[None]["text"] == "x" and got[102]["text"] == ""
@@ -93,7 +92,7 @@ def test_first_page_is_a_stub(spark):
     rows = [(0, "http://s.example/", "<html><body><p>Moved</p></body></html>")] + [(i, "http://s.example/", plain(i, told)) for i in range(1, 21)]
     got = {r["page_id"]: r["text"] for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[0] == "Moved"
-    assert all(got[i] == f"Title {i} Text number {i} of this page." for i in range(2, 21))
+    assert all(got[i] == f"Title {i} Text number {i} of this page." for i in range(1, 21))
 
 
 def test_two_layouts(spark):
@@ -105,7 +104,7 @@ def test_two_layouts(spark):
     # Too few of a third for a vote: they go by the most common one.
     rows += [(100 + i, "http://t.example/", plain(100 + i, told).replace("<body>", f"<body><section class='{'abc'[i]}'>Note {i}</section>")) for i in range(3)]
     got = {r["page_id"]: r["text"] for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    for i in range(4, 60):
+    for i in range(60):
         assert got[i] == (f"Title {i} Text number {i} of this page." if i % 3 else f"Goods of number {i}")
     assert all(got[100 + i] == f"Note {i} Title {100 + i} Text number {100 + i} of this page." for i in range(3))
 
@@ -114,3 +113,37 @@ def test_layout():
     a = "<html><body><div class='page'><div class='a1'><p>x</p></div><div class='b'><ul><li>y</ul></div></div></body></html>"
     assert H.layout(a) == H.layout(a.replace("<p>x</p>", "<h2>z</h2><p>x<p>y").replace("a1", "a27"))
     assert H.layout(a) != H.layout(a.replace("'b'", "'c'")) and H.layout(None) == H.layout("")
+
+
+def test_an_articles_own_parts_stay():
+    inner = (
+        "<p>One <span class='alert'>two</span> <a class='share' href='/'>three</a></p><section id='discussion'><p>Four</p></section>"
+        "<div class='popular-science'>five</div><div class='related-work'>six</div><div class='ad'>no</div><ul class='share social'><li>no</ul><div class='cookie-notice'>no</div>"
+    )
+    assert H.extract(page(f"<article>{inner}</article>")) == "One two three Four five six"
+    assert H.extract(page(f"<main>{inner}</main>")) == "One two three Four five six"
+
+
+def test_any_depth():
+    for n in (10, 190, 200, 210, 450, 5_000):
+        deep, shut = "<div>" * n, "</div>" * n
+        assert H.extract(f"{deep}<p>a</p><form>no <div>no</div> <b>no</b></form><p>b<br>c</p>d{shut}<p>e</p>") == "a b c d e"
+        assert H.extract(f"<body>{deep}<div>x</div>y<article><div class='ad'>no</div><p>In <i>the</i> article</p><div>end</div></article>z{shut}</body>") == "In the article end"
+        assert H.extract(f"<article>{'<b>' * n}te{'</b>' * n}xt</article>") == "text"
+        tree = H.folded(deep + "x" + shut)
+        assert H.align(tree, H.folded(deep + "y" + shut), []) > min(n, 190)
+
+
+def test_template_decides_without_an_article(spark):
+    told = "<div class='one'>Read our magazine, now with pictures</div><div class='two'><span>All our papers</span></div>"
+    rows = [(i, "http://w.example/", f"<html><body><div><p>Story {i} is told here.</p></div>{told}</body></html>") for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i} is told here." for i in range(12)}
+    assert all(H.extract(html) != got[i] for i, _, html in rows)
+
+
+def test_very_long_page(spark):
+    body = "".join(f"<p>Sentence {i}.</p><h2>Head {i}</h2><div>more</div>" for i in range(1_500))
+    rows = [(i, "http://l.example/", f"<html><body><nav>no</nav><article>{body}<p>{i}</p></article></body></html>") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: str(i) for i in range(6)}  # 4,500 blocks that no page changes are template
