@@ -5,12 +5,15 @@ are often hard-wrapped, the sentences of paragraphs (lines up to a blank one) th
 over more than one line. A multinomial logistic regression with elastic-net penalty over hashed
 word n-grams (one to three words) gives each passage a licence family or the class
 ``unknown``. It is trained on the families' templates under random cuts and swaps,
-against sentences that speak of licences without granting a known one, and a
-bounded sample of corpus sentences (``NEGATIVES``). A temperature, fitted on
+against sentences that speak of licences without granting a known one, and bounded
+samples of corpus passages: ``NEGATIVES`` of any, ``HARD_NEGATIVES`` with an anchor
+word, drawn by hash from all parts of all texts, if less than half of
+``LEAST_CONTAINED`` of any template is in them. A temperature, fitted on
 held-out variants, calibrates the probabilities. A prediction counts if its
 probability reaches ``LEAST_PROBABILITY`` and, of all templates, the one most
 contained in the passage (by shingles of three words, at least ``LEAST_CONTAINED``)
-is of the predicted family.
+is of the predicted family, and no other family's template is contained as much: part of
+a notice that several families share names none.
 
 A passage without any of ``ANCHORS`` and ``HINTS`` can't hold ``LEAST_CONTAINED`` of a
 template: fewer of its shingles are free of these words (tested). So only passages
@@ -39,8 +42,10 @@ from pyspark.sql import functions as F
 
 from orrery.llm.common import staged
 
-#: Hashed features; sentences of the corpus in the training set; variants of a template.
-FEATURES, NEGATIVES, VARIANTS = 1 << 14, 600, 24
+#: Hashed features; variants of a template.
+FEATURES, VARIANTS = 1 << 14, 24
+#: Passages of the corpus in the training set, and such with an anchor word, at most.
+NEGATIVES, HARD_NEGATIVES = 600, 400
 LEAST_PROBABILITY, LEAST_CONTAINED = 0.5, 0.6
 #: Sentences longer than this many words are cut into windows of it, overlapping by half.
 WINDOW = 60
@@ -52,28 +57,36 @@ TEMPLATES = {
         "This work is licensed under the Apache License, Version 2.0.",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "SPDX-License-Identifier: Apache-2.0",
+        "you may not use this file except in compliance with the License.",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     ],
     "MIT": [
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "SPDX-License-Identifier: MIT",
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     ],
     "BSD": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Licensed under the BSD 3-Clause License.",
         "Released under the BSD License.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ],
     "GPL-2.0": [
         "This work is licensed under the GNU General Public License, version 2.",
         "Released under the terms of the GNU General Public License version 2",
         "SPDX-License-Identifier: GPL-2.0-only",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "Released under the terms of the GNU General Public License version 3",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
     "LGPL": [
         "Licensed under the GNU Lesser General Public License.",
@@ -93,6 +106,7 @@ TEMPLATES = {
     "EPL-2.0": [
         "This program is made available under the terms of the Eclipse Public License 2.0",
         "SPDX-License-Identifier: EPL-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
     ],
     "ISC": [
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
@@ -126,6 +140,7 @@ ANCHORS = ["licen", "permission", "redistribution", "public domain", "copyright"
 HINTS = [
     "released", "granted", "obtaining", "documentation", "binary", "modification", "permitted", "gnu", "published", "mozilla", "subject",
     "eclipse", "available", "distribute", "modify", "unencumbered", "cc0", "waived", "rights", "4.0", "creative",
+    "software", "conditions", "disclaimer", "compliance", "warrant", "endorse", "obtain", "source", "compile", "copies", "except", "contributors", "prior",
 ]
 UNKNOWN = "unknown"
 # Sentences about licences that grant none of the above.
@@ -158,14 +173,15 @@ def grams(tokens: Column, n: int) -> Column:
 
 def featured(df: DataFrame) -> DataFrame:
     """Adds ``words`` and the hashed counts of one to three words of ``passage``."""
-    df = df.withColumn("words", words(F.col("passage")))
+    if "words" not in df.columns:
+        df = once(df, "words", words(F.col("passage")))
     df = df.withColumn("grams", F.concat(*[grams(F.col("words"), n) for n in (1, 2, 3)]))
     return HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES, binary=True).transform(df)
 
 
 def sentences(paragraph: Column) -> Column:
     """A paragraph's sentences; what ends in a full stop before a space, in order."""
-    return F.filter(F.split(paragraph, r"(?<=[.!?;])\s+"), lambda s: F.trim(s) != "")
+    return F.filter(F.split(paragraph, r"(?<=[.!?])\s+"), lambda s: F.trim(s) != "")
 
 
 def has_anchor(text: Column, anchors: list[str] = ANCHORS) -> Column:
@@ -211,15 +227,28 @@ def training_set(spark: SparkSession, docs: DataFrame, text_col: str) -> DataFra
     around = F.array(*[F.lit(x) for x in ("this", "file", "text", "and", "data", "is", "see", "here")])
     lead = F.when(chance("passage", 1) < 40, F.slice(around, F.lit(1) + F.pmod(F.col("i"), F.lit(4)), 3)).otherwise(F.array().cast("array<string>"))
     variant = variant.select("family", F.array_join(F.when(F.col("i") == 0, w).otherwise(F.concat(lead, thinned)), " ").alias("passage"), (F.pmod(F.col("i"), F.lit(4)) == 3).alias("held"))
-    # Only each text's first sentence, cut to a window, is sorted by hash.
-    first = F.get(sentences(F.get(F.split(F.col(text_col).cast("string"), "\n"), F.lit(0))), F.lit(0))
-    corpus = docs.select(F.lit(UNKNOWN).alias("family"), F.array_join(F.slice(F.split(first, r"\s+"), 1, WINDOW), " ").alias("passage"))
-    corpus = corpus.filter(F.col("passage").isNotNull() & ~has_anchor(F.col("passage"))).withColumn("mark", F.xxhash64("passage")).orderBy("mark", "passage").limit(NEGATIVES)
-    corpus = corpus.select("family", "passage", (F.pmod("mark", F.lit(4)) == 3).alias("held"))
+    corpus = sampled(docs, text_col, NEGATIVES, F.lit(True)).union(sampled(docs, text_col, HARD_NEGATIVES, has_anchor(F.col("text")), lambda x: has_anchor(x)))
+    corpus = once(once(corpus, "words", words(F.col("passage"))), "shingles", shingles(F.col("words")))
+    corpus = contained(corpus).filter(F.col("near.share") < LEAST_CONTAINED / 2)
+    corpus = corpus.select(F.lit(UNKNOWN).alias("family"), "passage", (F.pmod(F.xxhash64("passage"), F.lit(4)) == 3).alias("held"))
     label = F.array_position(F.array(*[F.lit(x) for x in classes()]), F.col("family")) - 1
     return variant.union(corpus).select(label.cast("double").alias("label"), "passage", "held")
 
 
+def sampled(docs: DataFrame, text_col: str, n: int, wanted: Column, passage_wanted=lambda x: F.lit(True)) -> DataFrame:
+    """(``passage``): one passage of each of at most ``n`` different texts (condition ``wanted`` on ``text``), drawn by hash from all texts and all their parts."""
+    texts = docs.select(F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull() & wanted).withColumn("mark", F.xxhash64("text"))
+    # Only hashes are sorted; then the few texts are fetched by the greatest of theirs, copies once.
+    last = texts.select("mark").distinct().orderBy("mark").limit(n).agg(F.max("mark")).first()[0]
+    few = texts.filter(F.col("mark") <= (last if last is not None else 0)).groupBy("mark").agg(F.min("text").alias("text"))
+    found = F.filter(sentences(F.col("text")), passage_wanted)
+    drawn = F.array_min(F.transform(found, lambda x: F.struct(F.xxhash64(x).alias("hash"), x.alias("passage"))))["passage"]
+    # Of a long sentence, a window drawn likewise.
+    pieces = F.split("passage", r"\s+")
+    start = F.lit(1) + F.pmod(F.xxhash64("passage"), F.greatest(F.size(pieces) - WINDOW + 1, F.lit(1))).cast("int")
+    return few.select(drawn.alias("passage")).filter("passage is not null").select(F.array_join(F.slice(pieces, start, WINDOW), " ").alias("passage"))
+
+
 def classes() -> list[str]:
     return [*TEMPLATES, UNKNOWN]
 
@@ -243,16 +272,29 @@ def softmax(raw: Column, temperature: float) -> Column:
     return F.transform(shifted, lambda x: x / total)
 
 
-def contained(tokens: Column) -> Column:
-    """The best template for a passage: a struct of the share contained and its family."""
-    own = F.array_distinct(F.concat(grams(tokens, 2), grams(tokens, 3)))
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once a row: neither filters nor lambdas behind it take its place."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
+def shingles(tokens: Column) -> Column:
+    """The runs of two and three words."""
+    return F.array_distinct(F.concat(grams(tokens, 2), grams(tokens, 3)))
+
+
+def contained(df: DataFrame) -> DataFrame:
+    """Adds ``near`` to passages with ``shingles``: the template most contained, its ``share`` and ``family``, and of all other families the greatest share (``rival``)."""
     found = []
     for family, texts in TEMPLATES.items():
+        own = []
         for text in texts:
-            shingles = sorted(template_shingles(text))
-            share = F.size(F.array_intersect(own, F.array(*[F.lit(x) for x in shingles]))) / float(len(shingles))
-            found.append(F.struct(share.alias("share"), F.lit(len(shingles)).alias("size"), F.lit(family).alias("family")))
-    return F.array_max(F.array(*found))
+            theirs = sorted(template_shingles(text))
+            own.append(F.size(F.array_intersect("shingles", F.array(*[F.lit(x) for x in theirs]))) / float(len(theirs)))
+        found.append(F.struct((F.greatest(*own) if len(own) > 1 else own[0]).alias("share"), F.lit(family).alias("family")))
+    df = once(df, "all_near", F.array(*found))
+    best = F.array_max("all_near")
+    others = F.transform(F.filter("all_near", lambda x: x["family"] != best["family"]), lambda x: x["share"])
+    return df.withColumn("near", F.struct(best["share"].alias("share"), best["family"].alias("family"), F.array_max(others).alias("rival"))).drop("all_near")
 
 
 def template_shingles(text: str) -> set[str]:
@@ -270,20 +312,19 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(may_match(F.col("text")))
     source = source.select("id", F.xxhash64("text").alias("mark"), F.posexplode(F.split("text", r"\n(?:[^\S\n]*\n)+")).alias("paragraph", "block"))
     source = source.filter(may_match(F.col("block"))).select("id", "mark", "paragraph", F.inline(passages(F.col("block"))))
-    pieces = F.split("passage", r"\s+")
-    # A sentence of any length, in windows: none is left out.
-    windows = F.when(F.size(pieces) <= WINDOW, F.array("passage")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.size(pieces), F.lit(WINDOW // 2)), lambda i: F.array_join(F.slice(pieces, i, WINDOW), " "))
-    )
+    # A sentence of any length, in windows that overlap by half: none of it is left out.
+    halves = F.regexp_extract_all("passage", F.lit(rf"((?:\S+\s*){{1,{WINDOW // 2}}})"), F.lit(1))
+    windows = F.zip_with(halves, F.slice(halves, F.lit(2), F.greatest(F.size(halves) - 1, F.lit(1))), lambda x, y: F.concat(F.coalesce(x, F.lit("")), F.coalesce(y, F.lit(""))))
     source = source.withColumn("passage", F.explode(windows)).filter(may_match(F.col("passage")))
+    source = once(once(source, "words", words(F.col("passage"))), "shingles", shingles(F.col("words")))
     # What neither speaks of licences on a line nor holds enough of a template counts for nothing.
-    source = source.withColumn("near", contained(words(F.col("passage"))))
+    source = contained(source)
     source = source.filter((~F.col("joined") & has_anchor(F.col("passage"))) | (F.col("near.share") >= LEAST_CONTAINED))
-    raw = model.transform(featured(source)).withColumn("p", softmax(vector_to_array("rawPrediction"), temperature))
+    raw = model.transform(featured(source.drop("shingles"))).withColumn("p", softmax(vector_to_array("rawPrediction"), temperature))
     best = F.array_max(F.transform("p", lambda x, i: F.struct(x.alias("p"), (-i).alias("i"))))
     raw = raw.withColumn("best", best)
     family = F.get(F.array(*[F.lit(x) for x in classes()]), -F.col("best.i"))
-    confirmed = (family != UNKNOWN) & (F.col("best.p") >= LEAST_PROBABILITY) & (F.col("near.share") >= LEAST_CONTAINED) & (F.col("near.family") == family)
+    confirmed = (family != UNKNOWN) & (F.col("best.p") >= LEAST_PROBABILITY) & (F.col("near.share") >= LEAST_CONTAINED) & (F.col("near.family") == family) & (F.col("near.share") > F.col("near.rival"))
     return raw.select("id", "mark", "paragraph", "line", "joined", "passage", "words", family.alias("family"), F.col("best.p").alias("probability"), F.col("near.share").alias("contained"), confirmed.alias("confirmed"))
 
 

@@ -95,3 +95,42 @@ def test_shingles_agree(spark):
         row = spark.range(1).select(L.grams(L.words(F.lit(text)), 3).alias("g")).first()
         assert set(row["g"]) == L.template_shingles(text)
     assert L.template_shingles("one two") == {"one two"} and L.template_shingles("one") == set()
+
+
+# Notices as projects have them; the words around the templates' differ.
+NOTICES = {
+    "GPL-3.0": "This file is part of Foo. Foo is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. Foo is distributed in the hope that it will be useful.",
+    "GPL-2.0": "Foo is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL": LGPL,
+    "BSD": BSD,
+    "ISC": ISC,
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, subject to the following conditions:',
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/.",
+}
+
+
+def test_standard_notices(spark):
+    rows, want = [], []
+    for family, notice in NOTICES.items():
+        for width in (0, 60, 72, 80):
+            for mark in ("", " * ", "# ", "// "):
+                body = "\n".join(mark + x for x in textwrap.wrap(notice, width)) if width else notice
+                rows.append((len(rows), "Some prose before.\n\n" + body + "\n\nSome prose behind."))
+                want.append(family)
+    long = "plain words without a point " * 40_000
+    rows += [(len(rows), long + BSD + " " + long), (len(rows) + 1, long)]
+    want += ["BSD", ""]
+    out = {r["doc_id"]: r["families"] for r in L.licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(i, out[i], w) for i, w in enumerate(want) if out[i] != w] == []
+
+
+def test_samples_come_from_all_parts(spark):
+    rows = [(i, "\n".join(f"Sentence {k} of text {i}." for k in range(50))) for i in range(300)] + [(1000 + i, "Copied. Twice.") for i in range(50)] + [(2000, None), (2001, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [r["passage"] for r in L.sampled(df, "text", 200, F.lit(True)).collect()]
+    assert 190 <= len(found) <= 200 and len(set(found)) == len(found)
+    assert len({x.split()[1] for x in found if x.startswith("Sentence")}) > 40
+    assert L.sampled(df.limit(0), "text", 5, F.lit(True)).count() == 0
