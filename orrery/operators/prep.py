@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from pathlib import Path
 from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 # Names of residues by state.
 PROTONATED = {"ASP": "ASH", "GLU": "GLH", "HIS": "HIP"}
 DEPROTONATED = {"LYS": "LYN", "CYS": "CYX", "HIS": "HIE"}
+# Charge and radius (angstrom) of the salt's ions.
+IONS = ((-1, 1.815), (1, 1.875))
 
 
 def nonstandard(residues: DataFrame, ph: float = 7.0) -> DataFrame:
@@ -42,14 +45,14 @@ def unmatched_overrides(topology: DataFrame, residues: DataFrame, ph: float = 7.
     return changed.join(topology, ["chain_id", "res_num", "resname"], "left_anti")
 
 
-def bounding_box(atoms: DataFrame, by: list[str] | None = None) -> DataFrame:
+def bounding_box(atoms: DataFrame, by: list[str] | None = None, fine_padding: float = 60.0, coarse_padding: float = 100.0) -> DataFrame:
     """Low and high ends of atoms blown up by their radii, the centre, and the two grid lengths on each axis."""
     ends = [f(F.col(c) + sign * F.col("radius")).alias(f"{c}_{name}") for c in "xyz" for f, sign, name in ((F.min, -1, "lo"), (F.max, 1, "hi"))]
     box = atoms.groupBy(*(by or [])).agg(*ends)
     for c in "xyz":
         span = F.col(f"{c}_hi") - F.col(f"{c}_lo")
-        box = box.withColumn(f"{c}_mid", (F.col(f"{c}_lo") + F.col(f"{c}_hi")) / 2).withColumn(f"{c}_fine", span + 60)
-        box = box.withColumn(f"{c}_coarse", F.greatest(span + 100, F.col(f"{c}_fine")))
+        box = box.withColumn(f"{c}_mid", (F.col(f"{c}_lo") + F.col(f"{c}_hi")) / 2).withColumn(f"{c}_fine", span + fine_padding)
+        box = box.withColumn(f"{c}_coarse", F.greatest(span + coarse_padding, F.col(f"{c}_fine")))
     return box
 
 
@@ -73,33 +76,58 @@ def heavy_atom_keys(atoms: DataFrame) -> DataFrame:
     return heavy.groupBy("atom", "residue").agg(F.min("line").alias("first_line")).orderBy("first_line").select("atom", "residue")
 
 
+def element(name: str, content: object) -> str:
+    """An XML element: of a list of elements, one a line and further in; of anything else, its text."""
+    if isinstance(content, list):
+        inner = "\n".join(f"  {line}" for child in content for line in child.split("\n"))
+        return f"<{name}>\n{inner}\n</{name}>"
+    text = str(content).lower() if isinstance(content, bool) else str(content)
+    return f"<{name}> {escape(text)} </{name}>"
+
+
 def contact_types_xml(first: DataFrame, second: DataFrame) -> str:
     """The two molecules' contact types; as many rows as distinct atom names."""
-    lines = ["<contacts>"]
+    sides = []
     for i, atoms in enumerate((first, second)):
-        lines.append(f"  <molecule{i}>")
-        for row in heavy_atom_keys(atoms).collect():
-            lines += ["    <contact>", f"      <atom>{escape(row['atom'])}</atom>", f"      <residue>{escape(row['residue'])}</residue>", "    </contact>"]
-        lines.append(f"  </molecule{i}>")
-    return "\n".join([*lines, "</contacts>", ""])
-
-
-def solver_input(name: str, box: dict[str, float], spacing: float = 0.5, debye_ions: float = 0.15, temperature_k: float = 298.15, solvent: float = 78.54, protein: float = 4.0) -> str:
-    """The electrostatics solver's input for one molecule, from a row of ``bounding_box`` (a dict)."""
+        rows = heavy_atom_keys(atoms).collect()
+        sides.append(element(f"molecule{i}", [element("contact", [element("atom", r["atom"]), element("residue", r["residue"])]) for r in rows]))
+    return element("contacts", [element("combinations", sides)]) + "\n"
+
+
+def solver_input(
+    name: str,
+    box: dict[str, float],
+    spacing: float = 0.75,
+    ionic_strength: float = 0.15,
+    temperature_k: float = 298.15,
+    solvent_dielectric: float = 78.54,
+    solute_dielectric: float = 2.0,
+    solvent_radius: float = 1.4,
+) -> str:
+    """The electrostatics solver's input for one molecule, from a row of ``bounding_box`` (a dict); lengths in angstrom."""
     def size(length):
         target = -(-length // spacing) + 1
         return next((s for s in grid_sizes() if s >= target), grid_sizes()[-1])
 
-    triple = lambda key: " ".join(f"{box[f'{c}_{key}']:.3f}" for c in "xyz")
-    return "\n".join([
-        "read", f"    mol pqr {name}.pqr", "end", "elec", "    mg-auto",
-        f"    dime {' '.join(str(size(box[f'{c}_fine'])) for c in 'xyz')}",
-        f"    cglen {triple('coarse')}", f"    fglen {triple('fine')}", f"    cgcent {triple('mid')}", f"    fgcent {triple('mid')}",
-        "    mol 1", "    lpbe", "    bcfl sdh", f"    pdie {protein:g}", f"    sdie {solvent:g}",
-        f"    ion charge 1 conc {debye_ions:g} radius 2.0", f"    ion charge -1 conc {debye_ions:g} radius 2.0",
-        "    srfm smol", "    chgm spl2", "    srad 1.4", "    swin 0.3", "    sdens 10", f"    temp {temperature_k:g}",
-        "    calcenergy no", "    calcforce no", f"    write pot dx {name}", "end", "quit", "",
-    ])
+    triple = lambda key: " ".join(f"{box[f'{c}_{key}']:.4f}" for c in "xyz")
+    # Statements and their order are the solver's.
+    steps: list[tuple[str, str]] = [
+        ("mg-auto", ""), ("dime", " ".join(str(size(box[f"{c}_fine"])) for c in "xyz")),
+        *((key, triple(of)) for key, of in (("cglen", "coarse"), ("fglen", "fine"), ("cgcent", "mid"), ("fgcent", "mid"))),
+        ("mol", "1"), ("lpbe", ""), ("bcfl", "sdh"),
+        *(("ion", f"charge {charge:.2f} conc {ionic_strength:.4f} radius {radius:.4f}") for charge, radius in IONS),
+        ("pdie", f"{solute_dielectric:.4f}"), ("sdie", f"{solvent_dielectric:.4f}"), ("srfm", "smol"), ("chgm", "spl2"), ("sdens", "10.00"),
+        ("srad", f"{solvent_radius:.4f}"), ("swin", "0.30"), ("temp", f"{temperature_k:.2f}"),
+        ("calcenergy", "total"), ("calcforce", "no"), ("write", f"pot dx {name}"),
+    ]
+    lines = ["read", f"    mol pqr {name}.pqr", "end", "elec", *(f"    {key} {value}".rstrip() for key, value in steps), "end", "print elecEnergy 1 end", "quit", ""]
+    return "\n".join(lines)
+
+
+def write_text(text: str, path: str) -> str:
+    """Writes one small input file where the solver is run; the path."""
+    Path(path).write_text(text, encoding="utf-8")
+    return path
 
 
 @dataclass(frozen=True)
@@ -110,6 +138,8 @@ class Body:
     atoms: str
     grids: tuple[str, ...] = ()
     dielectric: float = 4.0
+    is_protein: bool = True
+    all_in_surface: bool = False
 
 
 @dataclass(frozen=True)
@@ -118,31 +148,44 @@ class Solvent:
     dielectric: float = 78.0
     relative_viscosity: float = 1.0
     kt: float = 1.0
+    desolvation: float = 1.0
+    radius: float = 1.4
 
 
 @dataclass(frozen=True)
 class Run:
-    """What a Brownian-dynamics run is told besides its bodies."""
+    """What a Brownian-dynamics run is told besides its bodies; least time steps of 0 leave them to the program."""
 
     bodies: tuple[Body, ...]
     solvent: Solvent
-    n_trajectories: int = 1000
+    n_trajectories: int = 100_000
+    n_trajectories_per_output: int = 10
+    max_n_steps: int = 1_000_000
+    n_steps_per_output: int = 10
     n_threads: int = 1
     seed: int = 11111111
-    reaction_file: str = "rxns.xml"
+    reaction_file: str = "reactions.xml"
     output: str = "results.xml"
-    extra: dict[str, str] = field(default_factory=dict)
+    trajectory_file: str = "trajectory"
+    least_step: float = 0.0
 
 
 def dynamics_xml(run: Run) -> str:
     """The input file of a Brownian-dynamics run."""
-    tag = lambda name, value, depth: f"{'  ' * depth}<{name}>{escape(str(value))}</{name}>"
-    lines = ["<top>", tag("n_threads", run.n_threads, 1), tag("seed", run.seed, 1), tag("output", run.output, 1), tag("n_trajectories", run.n_trajectories, 1)]
-    lines += [tag(k, v, 1) for k, v in run.extra.items()]
-    lines += ["  <system>", tag("reaction_file", run.reaction_file, 2), "    <solvent>", tag("debye_length", run.solvent.debye_length, 3), tag("dielectric", run.solvent.dielectric, 3), tag("relative_viscosity", run.solvent.relative_viscosity, 3), tag("kT", run.solvent.kt, 3), "    </solvent>"]
+    water = run.solvent
+    solvent = {
+        "debye_length": water.debye_length, "dielectric": water.dielectric, "relative_viscosity": water.relative_viscosity, "kT": water.kt,
+        "desolvation_parameter": water.desolvation, "solvent_radius": water.radius,
+    }
+    steps = {"minimum_core_dt": run.least_step, "minimum_core_reaction_dt": run.least_step}
+    system = [element("reaction_file", run.reaction_file), element("solvent", [element(k, v) for k, v in solvent.items()]), element("time_step_tolerances", [element(k, v) for k, v in steps.items()])]
     for body in run.bodies:
-        lines += ["    <group>", tag("name", body.name, 3), "      <core>", tag("name", body.name, 4), tag("atoms", body.atoms, 4), tag("dielectric", body.dielectric, 4)]
+        core = [element("name", body.name), element("all_in_surface", body.all_in_surface), element("is_protein", body.is_protein), element("atoms", body.atoms)]
         if body.grids:
-            lines += ["        <electric_field>", *[tag("grid", g, 5) for g in body.grids], "        </electric_field>"]
-        lines += ["      </core>", "    </group>"]
-    return "\n".join([*lines, "  </system>", "</top>", ""])
+            core.append(element("electric_field", [element("grid", g) for g in body.grids]))
+        system.append(element("group", [element("name", body.name), element("core", [*core, element("dielectric", body.dielectric)])]))
+    told = {
+        "n_threads": run.n_threads, "seed": run.seed, "output": run.output, "n_trajectories": run.n_trajectories, "n_trajectories_per_output": run.n_trajectories_per_output,
+        "max_n_steps": run.max_n_steps, "trajectory_file": run.trajectory_file, "n_steps_per_output": run.n_steps_per_output,
+    }
+    return element("top", [*(element(k, v) for k, v in told.items()), element("system", system)]) + "\n"

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import xml.etree.ElementTree as ET
 
 import numpy as np
 import pytest
@@ -17,10 +18,10 @@ from orrery.streaming import events
 
 def test_xvg(spark, tmp_path):
     path = tmp_path / "a.xvg"
-    path.write_text('# c\n@    title "Backbone RMSD"\n@ subtitle "after fit"\n@    xaxis  label "Time (ps)"\n@    yaxis  label "RMSD"\n@ xaxis ticklabel "x"\n@TYPE xy\n 0 0.5\n 1.0  1e-1\n')
+    path.write_text('# made by hand\n@ title "Pull force"\n@ subtitle "of group two"\n@ xaxis label "t / ns"\n@ yaxis label "F"\n@ xaxis ticklabel "none"\n@TYPE xy\n 0 0.5\n 1.0  1e-1\n')
     df = text.read_xvg(spark, str(path))
-    assert df.columns == ["Time (ps)", "RMSD"] and [tuple(r) for r in df.orderBy("Time (ps)").collect()] == [(0.0, 0.5), (1.0, 0.1)]
-    assert df.schema[0].metadata["title"] == "Backbone RMSD"
+    assert df.columns == ["t / ns", "F"] and [tuple(r) for r in df.orderBy("t / ns").collect()] == [(0.0, 0.5), (1.0, 0.1)]
+    assert df.schema[0].metadata["title"] == "Pull force"
     path.write_text("1 2 3\n4 5 6\n")
     assert text.read_xvg(spark, str(path), "float32").dtypes == [("Time", "float"), ("col_1", "float"), ("col_2", "float")]
     path.write_text('@ s0 legend "A b"\n@ s1 legend "C"\n1 2 3\n')
@@ -38,33 +39,45 @@ def test_pqr_box_and_types(spark, tmp_path):
     box = prep.bounding_box(atoms).first().asDict()
     assert (box["x_lo"], box["x_hi"], box["z_hi"], box["x_fine"], box["x_coarse"], box["z_mid"]) == (-1, 11, 21, 72, 112, 10)
     assert [tuple(r) for r in prep.heavy_atom_keys(atoms).collect()] == [("CA", "ALA")]
-    assert "<atom>CA</atom>" in prep.contact_types_xml(atoms, atoms) and "HA" not in prep.contact_types_xml(atoms, atoms)
+    contacts = ET.fromstring(prep.contact_types_xml(atoms, atoms))
+    assert [x.tag for x in contacts.find("combinations")] == ["molecule0", "molecule1"]
+    assert [(x.findtext("atom").strip(), x.findtext("residue").strip()) for x in contacts.iter("contact")] == [("CA", "ALA")] * 2
     sizes = spark.createDataFrame([(72.0,), (1.0,), (1e6,)], "l double").select("l", prep.grid_size(F.col("l"), 0.5).alias("s")).collect()
     for r in sizes:
         want = [s for s in prep.grid_sizes() if s >= math.ceil(r["l"] / 0.5) + 1] or [prep.grid_sizes()[-1]]
         assert r["s"] == want[0]
-    assert "dime 161 161 161" in prep.solver_input("m", box).replace("dime 161 161 193", "dime 161 161 161")
-    xml = prep.dynamics_xml(prep.Run((prep.Body("a&b", "a.xml", ("a.dx",)),), prep.Solvent(7.8)))
-    assert "<name>a&amp;b</name>" in xml and "<debye_length>7.8</debye_length>" in xml
+    lines = [x.split() for x in prep.solver_input("m", box).splitlines()]
+    told = {x[0]: x[1:] for x in lines if x[0] not in ("mol", "ion")}
+    # 72, 72 and 82 angstrom by 0.75 need 97, 97 and 111 points or more.
+    assert told["dime"] == ["97", "97", "129"] and told["fglen"] == ["72.0000", "72.0000", "82.0000"] and told["cgcent"] == ["5.0000", "5.0000", "10.0000"]
+    assert [x[1:] for x in lines if x[0] == "ion"] == [["charge", "-1.00", "conc", "0.1500", "radius", "1.8150"], ["charge", "1.00", "conc", "0.1500", "radius", "1.8750"]]
+    assert told["pdie"] == ["2.0000"] and told["calcenergy"] == ["total"] and told["print"] == ["elecEnergy", "1", "end"] and told["write"] == ["pot", "dx", "m"]
+    assert open(prep.write_text("x\n", f"{tmp_path}/m.in")).read() == "x\n"
+    top = ET.fromstring(prep.dynamics_xml(prep.Run((prep.Body("a&b", "a.xml", ("a.dx",)), prep.Body("c", "c.xml", is_protein=False)), prep.Solvent(7.8))))
+    word = lambda path: top.findtext(path).strip()
+    assert word("system/group/core/name") == "a&b" and word("system/solvent/debye_length") == "7.8" and word("system/solvent/desolvation_parameter") == "1.0"
+    assert (word("max_n_steps"), word("n_trajectories_per_output"), word("n_steps_per_output"), word("trajectory_file")) == ("1000000", "10", "10", "trajectory")
+    assert word("system/time_step_tolerances/minimum_core_reaction_dt") == "0.0" and [x.text.strip() for x in top.iter("is_protein")] == ["true", "false"]
+    assert len(list(top.iter("electric_field"))) == 1 and word("system/solvent/solvent_radius") == "1.4"
     path.write_text("END\n")
     with pytest.raises(ValueError):
         text.read_pqr(spark, str(path))
 
 
 def test_debye_length(spark, tmp_path):
-    (tmp_path / "a.log").write_text("x\nDebye length: 12.34 A\n")
-    (tmp_path / "b.log").write_text("got debye length 9.99\n")
-    (tmp_path / "c.log").write_text("nothing\n")
+    (tmp_path / "a.log").write_text("grid done\nDebye length: 7.625\n")
+    (tmp_path / "b.log").write_text("got debye length 3.5\n")
+    (tmp_path / "c.log").write_text("solver stopped\n")
     a, b, c = (str(tmp_path / f"{x}.log") for x in "abc")
-    assert text.infer_debye_length(spark, a, b) == 12.34 and text.infer_debye_length(spark, str(tmp_path / "none.log"), c, b, a) == 9.99
+    assert text.infer_debye_length(spark, a, b) == 7.625 and text.infer_debye_length(spark, str(tmp_path / "none.log"), c, b, a) == 3.5
     with pytest.raises(RuntimeError):
         text.infer_debye_length(spark, c)
 
 
 def test_molecules(spark, tmp_path):
-    (tmp_path / "m.smi").write_text("CCO ethanol\nINVALID_SMILES bad\nc1ccccc1 benzene ring\n\n")
+    (tmp_path / "m.smi").write_text("CC(=O)O vinegar\nC((C unbalanced\nC1CCNCC1 ring of six\n\n")
     got = {r["name"]: r["smiles"] for r in text.read_molecules(spark, f"{tmp_path}/m.smi").collect()}
-    assert got == {"ethanol": "CCO", "benzene ring": "c1ccccc1"}
+    assert got == {"vinegar": "CC(=O)O", "ring of six": "C1CCNCC1"}
     (tmp_path / "m.sdf").write_text("one\n x\n\n 0 0\nM  END\n> <ID>\n7\n\n> <N>\nabc\n\n$$$$\nbroken\n$$$$\n")
     row = text.read_molecules(spark, f"{tmp_path}/m.sdf").collect()
     assert len(row) == 1 and row[0]["name"] == "one" and row[0]["fields"] == {"ID": "7", "N": "abc"}
@@ -75,11 +88,11 @@ def test_molecules(spark, tmp_path):
 
 def test_results_and_directories(spark, tmp_path):
     (tmp_path / "r").mkdir()
-    (tmp_path / "r" / "a.json").write_text('{"estimate": {"magnitude": 1.435}, "uncertainty": {"magnitude": 0.12}}')
+    (tmp_path / "r" / "a.json").write_text('{"uncertainty": {"magnitude": 0.75}, "estimate": {"magnitude": -6.5}}')
     (tmp_path / "r" / "b.json").write_text('{"estimate": null, "uncertainty": null}')
     (tmp_path / "r" / "c.json").write_text("{broken")
     got = {r["path"][-6:]: (r["est"], r["unc"]) for r in text.read_results(spark, f"{tmp_path}/r").collect()}
-    assert got == {"a.json": (1.435, 0.12), "b.json": (None, None), "c.json": (None, None)}
+    assert got == {"a.json": (-6.5, 0.75), "b.json": (None, None), "c.json": (None, None)}
     for d in ("x/1", "x/2"):
         (tmp_path / d).mkdir(parents=True)
         (tmp_path / d / "p.tpr").write_text("x")
@@ -93,12 +106,12 @@ def test_results_and_directories(spark, tmp_path):
 
 
 def test_protonation(spark):
-    rows = [("GLU", 54, "A", 7.64, 4.5), ("LYS", 100, "A", 6.0, 10.5), ("HIS", 267, "A", 7.5, 6.5), ("CYS", 10, "A", 5.0, 9.0), ("N+", 1, "A", 9.0, 8.0)]
+    rows = [("GLU", 12, "A", 8.1, 4.4), ("LYS", 31, "B", 5.5, 10.4), ("HIS", 40, "A", 7.9, 6.6), ("CYS", 77, "B", 6.2, 9.1), ("N+", 1, "A", 9.5, 7.9)]
     res = spark.createDataFrame(rows, "residue_type string, res_num int, chain_id string, pka double, model_pka double")
     got = {r["residue_type"]: r["v"] for r in prep.nonstandard(res, 7.0).select("residue_type", prep.variant_name(7.0).alias("v"), prep.residue_label()).collect()}
     assert got == {"GLU": "GLH", "LYS": "LYN", "HIS": "HIP", "CYS": "CYX"}
-    top = spark.createDataFrame([("A", 54, "GLU"), ("A", 55, "GLY")], "chain_id string, res_num int, resname string")
-    assert {r["res_num"]: r["variant"] for r in prep.protonation_variants(top, res).collect()} == {54: "GLH", 55: None}
+    top = spark.createDataFrame([("A", 12, "GLU"), ("A", 13, "GLY")], "chain_id string, res_num int, resname string")
+    assert {r["res_num"]: r["variant"] for r in prep.protonation_variants(top, res).collect()} == {12: "GLH", 13: None}
     assert prep.unmatched_overrides(top, res).count() == 3
 
 
@@ -195,7 +208,7 @@ def test_centres(spark):
         assert cl.inertia(assigned).first()["inertia"] < 25 and cl.feature_medoids(df, centres, assigned).count() == 3
     assigned, centres = cl.regular_space(df, 2.5)
     assert centres.count() == 3 and assigned.filter("d2 > 6.25").count() == 0
-    for bad in (lambda: cl.kmeans(df, 0), lambda: cl.kmeans(df, 99), lambda: cl.regular_space(df, 0)):
+    for bad in (lambda: cl.kmeans(df, 0), lambda: cl.kmeans(df, 99), lambda: cl.regular_space(df, 0), lambda: cl.regular_space(df, 2.5, max_centres=2)):
         with pytest.raises(ValueError):
             bad()
 
