@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions.geometry import angle, minimum_image, minus, norm, point
+from orrery.session import staged
 
 BOX = ("box_x", "box_y", "box_z")
 SCHEMES = ("closest-heavy", "closest", "ca", "sidechain-heavy")
@@ -144,13 +145,19 @@ def bonded_triplets(atoms: DataFrame, bonds: DataFrame) -> DataFrame:
     return donors.join(acceptors, F.col("a") != F.col("d")).select("d", "h", "a")
 
 
-def _triplet_geometry(frames: DataFrame, triplets: DataFrame) -> DataFrame:
-    f = frames.select("frame", "atom", "x", "y", "z")
+def _triplet_geometry(frames: DataFrame, triplets: DataFrame, periodic: bool) -> DataFrame:
+    boxed = periodic and set(BOX) <= set(frames.columns)
+    f = frames.select("frame", "atom", "x", "y", "z", *(BOX if boxed else ()))
     d = f.join(triplets, F.col("atom") == F.col("d")).alias("pd")
     h, a = f.alias("ph"), f.alias("pa")
     both = d.join(h, (F.col("pd.frame") == F.col("ph.frame")) & (F.col("pd.h") == F.col("ph.atom"))).join(a, (F.col("pd.frame") == F.col("pa.frame")) & (F.col("pd.a") == F.col("pa.atom")))
-    to_d, to_a = minus(point("pd."), point("ph.")), minus(point("pa."), point("ph."))
-    d_to_h, d_to_a = minus(point("ph."), point("pd.")), minus(point("pa."), point("pd."))
+
+    def between(start: str, end: str):
+        step = minus(point(f"{end}."), point(f"{start}."))
+        return minimum_image(step, tuple(F.col(f"pd.{c}") for c in BOX)) if boxed else step
+
+    to_d, to_a = between("ph", "pd"), between("ph", "pa")
+    d_to_h, d_to_a = between("pd", "ph"), between("pd", "pa")
     return both.select(
         F.col("pd.frame").alias("frame"), F.col("pd.d").alias("d"), F.col("pd.h").alias("h"), F.col("pd.a").alias("a"),
         norm(to_a).alias("distance_nm"), F.degrees(angle(to_d, to_a)).alias("angle_deg"),
@@ -158,8 +165,8 @@ def _triplet_geometry(frames: DataFrame, triplets: DataFrame) -> DataFrame:
     )
 
 
-def hydrogen_bonds(frames: DataFrame, atoms: DataFrame, bonds: DataFrame, method: str = "baker_hubbard", freq: float = 0.1, distance_cutoff_nm: float = 0.25, angle_cutoff_deg: float = 120.0) -> DataFrame:
-    """``frame``, ``d``, ``h``, ``a``, ``present`` of the bonds that occur.
+def hydrogen_bonds(frames: DataFrame, atoms: DataFrame, bonds: DataFrame, method: str = "baker_hubbard", freq: float = 0.1, distance_cutoff_nm: float = 0.25, angle_cutoff_deg: float = 120.0, periodic: bool = True) -> DataFrame:
+    """``frame``, ``d``, ``h``, ``a``, ``present`` of the bonds that occur; nearest images where the frames have a cell.
 
     ``baker_hubbard``: candidates have H-A below 0.25 nm and D-H-A above 120 degrees in
     more than a share ``freq`` of the frames; present are those within the given
@@ -172,18 +179,19 @@ def hydrogen_bonds(frames: DataFrame, atoms: DataFrame, bonds: DataFrame, method
         raise ValueError("the distance cutoff must be positive")
     if not 0 < angle_cutoff_deg <= 180:
         raise ValueError("the angle cutoff must lie in (0, 180]")
-    g = _triplet_geometry(frames, bonded_triplets(atoms, bonds))
-    key = Window.partitionBy("d", "h", "a")
     if method == "baker_hubbard":
-        usual = (F.col("distance_nm") < 0.25) & (F.col("angle_deg") > 120.0)
-        g = g.withColumn("share", F.avg(usual.cast("double")).over(key)).filter(F.col("share") > freq)
+        counts = (F.col("distance_nm") < 0.25) & (F.col("angle_deg") > 120.0)
+        enough = F.col("share") > freq
         present = (F.col("distance_nm") <= distance_cutoff_nm) & (F.col("angle_deg") >= angle_cutoff_deg)
     elif method == "wernet_nilsson":
-        present = F.col("da_nm") < 0.33 - 0.000044 * F.col("hda_deg") * F.col("hda_deg")
-        g = g.withColumn("share", F.max(present.cast("double")).over(key)).filter(F.col("share") > 0)
+        counts = present = F.col("da_nm") < 0.33 - 0.000044 * F.col("hda_deg") * F.col("hda_deg")
+        enough = F.col("share") > 0
     else:
         raise ValueError(f"unknown method {method!r}")
-    return g.select("frame", "d", "h", "a", present.alias("present"))
+    # All candidates are only added up; what is shuffled on and measured again are the few that occur.
+    shares = _triplet_geometry(frames, bonded_triplets(atoms, bonds), periodic).groupBy("d", "h", "a").agg(F.avg(counts.cast("double")).alias("share"))
+    found = staged(shares.filter(enough).select("d", "h", "a"), "hydrogen-bonds")
+    return _triplet_geometry(frames, found, periodic).select("frame", "d", "h", "a", present.alias("present"))
 
 
 def bond_counts(presence: DataFrame, frames: DataFrame) -> DataFrame:

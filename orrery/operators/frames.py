@@ -71,11 +71,19 @@ def subsample_frames(frames: DataFrame, n: int) -> DataFrame:
 
 
 def frame_times(frames: DataFrame, timestep_ps: float | None = None) -> DataFrame:
-    """Sets ``time_ps``: frame times ``timestep_ps`` if given, else the file's, else the frame's number."""
-    number = F.col("frame").cast("double")
-    if timestep_ps is not None:
-        return frames.withColumn("time_ps", number * timestep_ps)
-    return frames.withColumn("time_ps", F.coalesce(F.col("time_ps"), number))
+    """Sets ``time_ps``: the frame's place times ``timestep_ps`` if given, else the file's time, else the place.
+
+    Places count the frames there are, so those of a strided load are 0, 1, 2 and so on.
+    """
+    if timestep_ps is None and frames.filter("time_ps is null").isEmpty():
+        return frames
+    # One row a frame, without its atoms.
+    order = Window.partitionBy(F.lit(0)).orderBy("frame")
+    places = frames.select("frame").distinct().withColumn("frame_place", (F.row_number().over(order) - 1).cast("double"))
+    place = F.col("frame_place")
+    time = F.coalesce(F.col("time_ps"), place) if timestep_ps is None else place * timestep_ps
+    names = frames.columns if "time_ps" in frames.columns else [*frames.columns, "time_ps"]
+    return frames.join(places, "frame").withColumn("time_ps", time).select(*names)
 
 
 def with_units(df: DataFrame) -> DataFrame:

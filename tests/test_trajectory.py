@@ -49,6 +49,11 @@ def test_rmsf_and_units(spark, two):
     assert got[0] == 0 and got[1] == pytest.approx(math.sqrt(0.02 / 3))
     last = frames.with_units(frames.frame_times(two)).orderBy(F.desc("frame")).first()
     assert last["time_ns"] == pytest.approx(0.02)
+    # Places, not raw numbers: of every second frame the last is the second.
+    strided = frames.frame_times(frames.frame_range(two, 0, None, 2), 5.0)
+    assert sorted({(r["frame"], r["time_ps"]) for r in strided.collect()}) == [(0, 0.0), (2, 5.0)] and strided.columns == two.columns
+    untimed = frames.frame_times(frames.frame_range(two, 1).withColumn("time_ps", F.lit(None).cast("double")))
+    assert sorted({(r["frame"], r["time_ps"]) for r in untimed.collect()}) == [(1, 0.0), (2, 1.0)]
     assert {r["resseq"] for r in frames.residue_ids(two, chain_atoms(spark, 2)).collect()} == {1, 2}
 
 
@@ -188,6 +193,13 @@ def test_hydrogen_bonds(spark):
         assert [r["n"] for r in ds.bond_counts(found, df).orderBy("frame").collect()] == [1, 0, 1]
         occupancy = ds.bond_labels(ds.bond_occupancy(found), atoms).first()
         assert occupancy["occupancy"] == pytest.approx(2 / 3) and occupancy["label"] == "DON1:N-H ... ACC2:O"
+    # The same bond over the cell's edge: the acceptor's nearest image counts, unless it's not wanted.
+    across = make(spark, [[(0.05, 0, 0), (0.15, 0, 0), (0.05 + x - 2.0, 0, 0)] for x in (0.25, 0.45, 0.24)], 20.0)
+    across = across.withColumn("box_x", F.lit(2.0)).withColumn("box_y", F.lit(3.0)).withColumn("box_z", F.lit(3.0))
+    for method in ("baker_hubbard", "wernet_nilsson"):
+        found = ds.hydrogen_bonds(across, atoms, bonds, method)
+        assert [r["n"] for r in ds.bond_counts(found, across).orderBy("frame").collect()] == [1, 0, 1]
+        assert ds.hydrogen_bonds(across, atoms, bonds, method, periodic=False).count() == 0
     for bad in ({"freq": 2}, {"distance_cutoff_nm": 0}, {"angle_cutoff_deg": 181}, {"method": "x"}):
         with pytest.raises(ValueError):
             ds.hydrogen_bonds(df, atoms, bonds, **bad)
