@@ -126,6 +126,7 @@ def neighbour_counts(pairs: DataFrame, points: DataFrame, cutoff: float) -> Data
 
 def _adjacency(links: DataFrame, points: DataFrame) -> DataFrame:
     """One row a point, its neighbours in order: for the greedy methods."""
+    links = staged(links.select("i", "j", "d"), "near-pairs")  # counted and listed: the pairs are made once
     edges = links.count()
     if edges > MAX_EDGES:
         raise ValueError(f"{edges} neighbour pairs; greedy clustering takes at most {MAX_EDGES}, use a smaller cutoff")
@@ -222,9 +223,10 @@ def dbscan(pairs: DataFrame, points: DataFrame, eps: float, min_samples: int = 5
 
     A border point joins the first of the clusters that reach it.
     """
-    flags = staged(dbscan_flags(pairs, points, eps, min_samples), "dbscan-flags")
+    # Read by the counts, the links and the borders: the pairs are made once.
+    near = staged(pairs.filter(F.col("d") <= eps).select("i", "j", "d"), "near-pairs")
+    flags = staged(dbscan_flags(near, points, eps, min_samples), "dbscan-flags")
     core = flags.filter("core").select("frame")
-    near = pairs.filter(F.col("d") <= eps)
     inner = near.join(core.withColumnRenamed("frame", "i"), "i", "left_semi").join(core.withColumnRenamed("frame", "j"), "j", "left_semi")
     roots = least_label_components(inner, core)
     numbers = roots.select("root").distinct().withColumn("label", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("root")) - 1)
@@ -447,8 +449,15 @@ def to_centres(features: DataFrame, centres: DataFrame, column: str = "features"
 
 def assign(features: DataFrame, centres: DataFrame, column: str = "features") -> DataFrame:
     """``frame``, ``label``, ``d2``: the nearest centre; ties to the smaller label."""
-    best = F.min(F.struct("d2", "label"))
-    return to_centres(features, centres, column).groupBy("frame").agg(best.alias("b")).select("frame", F.col("b.label").alias("label"), F.col("b.d2").alias("d2"))
+    if centres.count() > 10_000:
+        best = F.min(F.struct("d2", "label"))
+        found = to_centres(features, centres, column).groupBy("frame").agg(best.alias("b"))
+    else:
+        # The centres travel as one row and each row picks its own: no row a centre, no shuffle.
+        model = centres.agg(F.sort_array(F.collect_list(F.struct("label", "center"))).alias("centres"))
+        each = F.transform("centres", lambda c: F.struct(square_distance(F.col(column), c["center"]).alias("d2"), c["label"].alias("label")))
+        found = features.select("frame", column).join(F.broadcast(model)).select("frame", F.array_min(each).alias("b"))
+    return found.select("frame", F.col("b.label").alias("label"), F.col("b.d2").alias("d2"))
 
 
 def inertia(assigned: DataFrame) -> DataFrame:
@@ -525,10 +534,12 @@ def regular_space(features: DataFrame, dmin: float = 0.5, max_centres: int = 10_
             for row in rows:
                 if not len(centres):
                     centres = row[None, :]
-                elif len(centres) < max_centres and ((centres - row) ** 2).sum(1).min() > dmin * dmin:
+                elif len(centres) <= max_centres and ((centres - row) ** 2).sum(1).min() > dmin * dmin:
                     centres = np.vstack([centres, row])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(centres)), pa.int32()), pa.array(list(centres), pa.list_(pa.float64()))], ["label", "center"])
 
     ordered = features.select("frame", F.col(column).cast("array<double>").alias("v")).repartition(1).sortWithinPartitions("frame").select("v")
     centres = staged(ordered.mapInArrow(choose, "label int, center array<double>"), "regular-space")
+    if centres.count() > max_centres:  # one more than allowed is looked for
+        raise ValueError(f"more than {max_centres} centres; use a larger dmin or max_centres")
     return assign(features, centres, column), centres
