@@ -310,12 +310,12 @@ for _name in METRICS:
     query(f"fingerprint_similarity_{_name}", f"{COUNTS} SELECT i, j, round(coalesce({METRIC_SQL[_name]},0),6) AS similarity FROM p")(_metric(_name))
 
 
-@query("fingerprint_bulk_topk", f"""WITH {BITS}, s AS (SELECT q.mol_id AS query_id, f.mol_id, list_dot_product(CAST(q.b AS DOUBLE[]), CAST(f.b AS DOUBLE[])) AS c, q.n AS a, f.n AS b FROM fp q, fp f WHERE q.mol_id < 5),
+@query("fingerprint_bulk_topk", f"""WITH {BITS}, s AS (SELECT q.mol_id AS query_id, f.mol_id, list_dot_product(CAST(q.b AS DOUBLE[]), CAST(f.b AS DOUBLE[])) AS c, q.n AS a, f.n AS b FROM fp q, fp f WHERE q.mol_id % 50 = 0),
 t AS (SELECT query_id, mol_id, coalesce(c/nullif(a+b-c,0),0) AS v FROM s)
 SELECT query_id, mol_id, round(v,6) AS similarity, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY v DESC, mol_id) AS r FROM t) WHERE r <= 10""")
 def _bulk(spark, d):
     fps = sign_bits(spark, d)
-    return fingerprints.top_similar(fps.filter("mol_id < 5"), fps, 64, 10).select("query_id", "mol_id", F.round("similarity", 6).alias("similarity"), "rank")
+    return fingerprints.top_similar(fps.filter("mol_id % 50 = 0"), fps, 64, 10).select("query_id", "mol_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 @query("butina_clusters")
@@ -463,11 +463,12 @@ def _project(spark, d):
     return dc.project(rows.select("frame", "features"), dc.fit_pca(rows, 2))
 
 
-@query("tica_lag_pairs", f"""WITH {FT}, p AS (SELECT replica, frame, v[1] AS now, lead(v[1], 3) OVER (PARTITION BY replica ORDER BY frame) AS later FROM ft)
-SELECT replica, count(*) AS n, round(avg(now*later),8) AS product FROM p WHERE later IS NOT NULL GROUP BY replica""")
+@query("tica_lag_pairs", f"""WITH {FT}, p AS (SELECT replica, frame, v AS now, lead(v, 3) OVER (PARTITION BY replica ORDER BY frame) AS later FROM ft)
+SELECT replica, count(*) AS n, round(avg(list_dot_product(now, later)),7) AS product FROM p WHERE later IS NOT NULL GROUP BY replica""")
 def _lags(spark, d):
     pairs = dc.lag_pairs(features(spark, d), 3, partition=["replica"])
-    return pairs.groupBy("replica").agg(F.count("*").alias("n"), F.round(F.avg(F.get("now", F.lit(0)) * F.get("later", F.lit(0))), 8).alias("product"))
+    product = F.aggregate(F.zip_with("now", "later", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return pairs.groupBy("replica").agg(F.count("*").alias("n"), F.round(F.avg(product), 7).alias("product"))
 
 
 @query("tica_project")
@@ -476,9 +477,9 @@ def _tica(spark, d):
     return dc.project(rows.select("frame", "features"), dc.fit_tica(rows, 3, 2, partition=["replica"]))
 
 
-DIHEDRAL = f"""WITH {VT}, p AS (SELECT frame, atom, x, y, z FROM vt),
-q AS (SELECT a.frame, a.atom AS k, b.x-a.x AS ux, b.y-a.y AS uy, b.z-a.z AS uz, c.x-b.x AS vx, c.y-b.y AS vy, c.z-b.z AS vz, e.x-c.x AS wx, e.y-c.y AS wy, e.z-c.z AS wz
-  FROM p a JOIN p b ON b.frame = a.frame AND b.atom = a.atom+1 JOIN p c ON c.frame = a.frame AND c.atom = a.atom+2 JOIN p e ON e.frame = a.frame AND e.atom = a.atom+3),
+DIHEDRAL = """WITH p AS (SELECT vec_id AS frame, CAST(embedding AS DOUBLE[]) AS e, CAST(unnest(range(18)) AS INTEGER) AS k FROM embeddings),
+q AS (SELECT frame, k, e[3*k+4]-e[3*k+1] AS ux, e[3*k+5]-e[3*k+2] AS uy, e[3*k+6]-e[3*k+3] AS uz, e[3*k+7]-e[3*k+4] AS vx, e[3*k+8]-e[3*k+5] AS vy,
+  e[3*k+9]-e[3*k+6] AS vz, e[3*k+10]-e[3*k+7] AS wx, e[3*k+11]-e[3*k+8] AS wy, e[3*k+12]-e[3*k+9] AS wz FROM p),
 n AS (SELECT *, uy*vz-uz*vy AS ax, uz*vx-ux*vz AS ay, ux*vy-uy*vx AS az, vy*wz-vz*wy AS bx, vz*wx-vx*wz AS by_, vx*wy-vy*wx AS bz FROM q),
 t AS (SELECT frame, k, atan2(sqrt(vx*vx+vy*vy+vz*vz)*(ux*bx+uy*by_+uz*bz), ax*bx+ay*by_+az*bz) AS angle FROM n)"""
 
@@ -496,9 +497,12 @@ def _ramachandran(spark, d):
     return out.select("frame", "resid", F.round("phi_deg", 3).alias("phi_deg"), F.round("psi_deg", 3).alias("psi_deg"))
 
 
-@query("torsion_features")
+@query("torsion_features", f"""{DIHEDRAL}, b AS (SELECT frame, CASE WHEN k%3 = 2 THEN 0 ELSE 2 END AS b, k, cos(angle) AS v FROM t WHERE k%3 <> 1
+UNION ALL SELECT frame, CASE WHEN k%3 = 2 THEN 1 ELSE 3 END, k, sin(angle) FROM t WHERE k%3 <> 1)
+SELECT frame, CAST(row_number() OVER (PARTITION BY frame ORDER BY b, k) - 1 AS INTEGER) AS "at", round(v,5) AS v FROM b""")
 def _torsion_features(spark, d):
-    return dc.backbone_torsions(virtual_trajectory(spark, d), virtual_atoms(spark))
+    wide = dc.backbone_torsions(virtual_trajectory(spark, d), virtual_atoms(spark))
+    return wide.select("frame", F.posexplode("features").alias("at", "v")).select("frame", "at", F.round("v", 5).alias("v"))
 
 
 @query("descriptor_range_filter", "SELECT p_partkey, p_size, p_retailprice FROM part WHERE p_size BETWEEN 10 AND 20 AND p_retailprice BETWEEN 900 AND 1500")
@@ -516,16 +520,39 @@ def _protonation(spark, d):
     return prep.nonstandard(rows, 7.0).select("res_num", "residue_type", prep.variant_name(7.0).alias("variant"))
 
 
-@query("protonation_overrides", """SELECT n_nationkey AS res_num, CASE WHEN r_regionkey IS NULL THEN NULL ELSE r_name END AS variant FROM nation LEFT JOIN region ON r_regionkey = n_nationkey""")
+KINDS = ("ASP", "GLU", "LYS", "CYS", "HIS")
+# Customers are residues with a predicted and a model pKa; the distinct customers of orders by status are a topology.
+RESIDUES = """kinds AS (SELECT ['ASP', 'GLU', 'LYS', 'CYS', 'HIS'] AS names),
+r AS (SELECT CASE WHEN c_nationkey < 13 THEN 'A' ELSE 'B' END AS chain_id, c_custkey AS res_num, names[c_custkey%5+1] AS resname, c_acctbal/1000 AS pka, c_nationkey/2.0 AS model_pka FROM customer, kinds),
+c AS (SELECT chain_id, res_num, resname, CASE WHEN pka > 7 THEN CASE resname WHEN 'ASP' THEN 'ASH' WHEN 'GLU' THEN 'GLH' WHEN 'HIS' THEN 'HIP' END
+  ELSE CASE resname WHEN 'LYS' THEN 'LYN' WHEN 'CYS' THEN 'CYX' WHEN 'HIS' THEN 'HIE' END END AS variant FROM r WHERE (pka > 7) <> (model_pka > 7)),
+t AS (SELECT DISTINCT CASE WHEN o_orderstatus = 'F' THEN 'A' ELSE 'B' END AS chain_id, o_custkey AS res_num, names[o_custkey%5+1] AS resname FROM orders, kinds)"""
+
+
+def _kind(key):
+    return F.get(F.array(*[F.lit(x) for x in KINDS]), (F.col(key) % 5).cast("int"))
+
+
+def _residues(spark, d):
+    chain = F.when(F.col("c_nationkey") < 13, "A").otherwise("B")
+    return table(spark, d, "customer").select(
+        chain.alias("chain_id"), F.col("c_custkey").alias("res_num"), _kind("c_custkey").alias("residue_type"), (F.col("c_acctbal") / 1000).alias("pka"), (F.col("c_nationkey") / 2.0).alias("model_pka")
+    )
+
+
+def _topology(spark, d):
+    chain = F.when(F.col("o_orderstatus") == "F", "A").otherwise("B")
+    return table(spark, d, "orders").select(chain.alias("chain_id"), F.col("o_custkey").alias("res_num"), _kind("o_custkey").alias("resname")).distinct()
+
+
+@query("protonation_overrides", f"WITH {RESIDUES} SELECT t.chain_id, t.res_num, t.resname, c.variant FROM t LEFT JOIN c USING (chain_id, res_num, resname)")
 def _overrides(spark, d):
-    nation, region = table(spark, d, "nation"), table(spark, d, "region")
-    return nation.join(region, nation["n_nationkey"] == region["r_regionkey"], "left").select(F.col("n_nationkey").alias("res_num"), F.col("r_name").alias("variant"))
+    return prep.protonation_variants(_topology(spark, d), _residues(spark, d)).select("chain_id", "res_num", "resname", "variant")
 
 
-@query("unmatched_overrides", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+@query("unmatched_overrides", f"WITH {RESIDUES} SELECT c.chain_id, c.res_num, c.resname FROM c ANTI JOIN t USING (chain_id, res_num, resname)")
 def _unmatched(spark, d):
-    customers, orders = table(spark, d, "customer"), table(spark, d, "orders").filter("o_orderstatus = 'P'")
-    return customers.join(orders, customers["c_custkey"] == orders["o_custkey"], "left_anti").select("c_custkey")
+    return prep.unmatched_overrides(_topology(spark, d), _residues(spark, d)).select("chain_id", "res_num", "resname")
 
 
 JOBS = """j AS (SELECT CAST(o_custkey AS VARCHAR) AS workdir, CAST(o_orderkey AS VARCHAR) AS job_id FROM orders WHERE o_orderstatus = 'P'),
