@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from orrery.llm import bpe
@@ -32,6 +33,37 @@ def rows():
     return docs, labels
 
 
+def through(spark, now, sf_dir):
+    """The documents' ids behind each stage, and the last result."""
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        now = stage(spark, now, sf_dir)
+        now.write.parquet(f"{sf_dir}/{name}")
+        now = spark.read.parquet(f"{sf_dir}/{name}")
+        out[name] = sorted((r["doc_id"] for r in now.collect()), key=str)
+    return out, now.collect()
+
+
+def test_odd_documents(spark, tmp_path):
+    docs, labels = rows()
+    odd = [(None, docs[5][1], "en", "hot", 1), (2001, None, "en", "hot", 0), (2002, "", None, None, 0), (2003, "two words", None, None, None), (2002, "", None, None, 0), (None, None, None, None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    # Columns of the operators' own names stand beside those of documents.
+    df = spark.createDataFrame(docs + odd, schema)
+    for name in ("carried", "keep", "id", "key", "ids", "mix_place", "severity", "rank"):
+        df = df.withColumn(name, F.lit(name))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/a/labels.parquet")
+    kept, last = through(spark, df, f"{tmp_path}/a")
+    strange = sorted((d[0] for d in odd), key=str)
+    for name, ids in kept.items():
+        assert [i for i in ids if i is None or i > 2000] == strange, name
+    none = hashlib.sha256(b"").hexdigest()
+    assert {r["decoded_sha256"] for r in last if r["doc_id"] in (2001, 2002)} == {none}
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/b/labels.parquet")
+    empty, _ = through(spark, spark.createDataFrame([], schema), f"{tmp_path}/b")
+    assert set(map(len, empty.values())) == {0}
+
+
 def test_stages(spark, tmp_path):
     docs, labels = rows()
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
