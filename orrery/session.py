@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -29,12 +30,15 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests, a laptop) a folder of our own
-    is made, once per application.
+    Only where the session leaves it unset and all runs in one process (tests, a
+    laptop) a folder of our own is made, once per application; on a cluster other
+    hosts couldn't read it, so there a setting is asked for.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_SCRATCH:
         _OWN_SCRATCH[app] = "file://" + tempfile.mkdtemp(prefix="orrery-")
