@@ -1,9 +1,11 @@
 """Atom selections: a small language compiled to a column predicate over ``atoms``.
 
 Grammar: ``all``, ``none``, ``protein``, ``water``, ``backbone``, ``sidechain``,
-``name|resname|element A B ..``, ``resid|resSeq|index|chainid N ..|N to M``, ``not``,
+``name|resname|element A B ..``, ``resid|resSeq|index|chainid N ..|N to M``, a word of
+these with ``== != < <= > >=`` (``eq ne lt le gt ge``) and one or more values, ``not``,
 ``and``, ``or`` and brackets. ``resid``, ``index`` and ``chainid`` count from 0;
-``resSeq`` is the number in the file.
+``resSeq`` is the number in the file. With several values ``==`` is any of them and
+``!=`` none; an order takes one number.
 """
 
 from __future__ import annotations
@@ -23,7 +25,8 @@ WATER = ["HOH", "H2O", "HHO", "OHH", "WAT", "SOL", "TIP", "TIP2", "TIP3", "TIP4"
 BACKBONE = ["N", "CA", "C", "O"]
 IONS = ["NA", "CL", "K", "MG", "CA", "ZN", "CU", "FE"]
 
-_TOKEN = re.compile(r"\(|\)|[^\s()]+")
+_TOKEN = re.compile(r"\(|\)|[<>=!]=|[<>]|&&|\|\||!|[^\s()<>=!&|]+|[=&|]")
+_COMPARE = {"==": "==", "=": "==", "eq": "==", "!=": "!=", "ne": "!=", "<": "<", "lt": "<", "<=": "<=", "le": "<=", ">": ">", "gt": ">", ">=": ">=", "ge": ">="}
 _NUMBERS = {"resid": "resid", "resseq": "resseq", "index": "atom", "chainid": "chain"}
 _NAMES = {"name": "name", "resname": "resname", "element": "element"}
 
@@ -89,18 +92,31 @@ def _one(tokens: list[str], at: int) -> tuple[Column, int]:
         return words[token], at + 1
     if token in _NAMES or token in _NUMBERS:
         at += 1
+        sign = _COMPARE.get(tokens[at].lower()) if at < len(tokens) else None
+        at += sign is not None
         values: list[str] = []
         while at < len(tokens) and tokens[at].lower() not in ("and", "or", "&&", "||", ")", "("):
             values.append(tokens[at])
             at += 1
-        if not values:
+        if not values or any(v in ("=", "&", "|", "!") or v in _COMPARE for v in values):
             raise ValueError(f"{token} needs a value")
-        if token in _NAMES:
-            return F.col(_NAMES[token]).isin(values), at
-        return _numbers(F.col(_NUMBERS[token]), values), at
+        if sign in ("<", "<=", ">", ">="):
+            if token in _NAMES or len(values) != 1:
+                raise ValueError(f"{token} {sign} needs one number")
+            return _ordered(F.col(_NUMBERS[token]), sign, values[0]), at
+        column = F.col(_NAMES[token]).isin(values) if token in _NAMES else _numbers(F.col(_NUMBERS[token]), values)
+        return (~column if sign == "!=" else column), at
     raise ValueError(f"unknown word {tokens[at]!r} in selection")
 
 
+def _ordered(column: Column, sign: str, value: str) -> Column:
+    try:
+        number = float(value)
+    except ValueError as error:
+        raise ValueError(f"not a number in selection: {value}") from error
+    return {"<": column < number, "<=": column <= number, ">": column > number, ">=": column >= number}[sign]
+
+
 def _numbers(column: Column, values: list[str]) -> Column:
     found, i = [], 0
     try:

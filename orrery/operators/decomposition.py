@@ -3,7 +3,9 @@
 A feature table has ``frame`` and ``features array<double>``. Fitting takes one
 aggregation pass: every task sums its rows' outer products with numpy, and one small
 row a task is added up. Only the moments, a matrix of the number of features, reach
-the driver.
+the driver. Principal components of more than ``MAX_FEATURES`` features come from
+subspace iteration: a pass over the rows multiplies a thin block by their covariance,
+so what reaches the driver is as wide as the components asked for.
 """
 
 from __future__ import annotations
@@ -14,11 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orrery.functions.geometry import dihedral, point
 
-#: Features that a model may have: their square reaches the driver.
+#: Features whose square reaches the driver; principal components of more are iterated for.
 MAX_FEATURES = 4_000
+#: The iteration's spare directions, its most passes, and the relative change of the variances that ends it.
+SPARE, MAX_PASSES, TOLERANCE = 10, 60, 1e-8
 
 
 @dataclass(frozen=True)
@@ -43,8 +48,6 @@ def width(features: DataFrame, column: str = "features") -> int:
         raise ValueError("at least two rows are needed")
     if sizes[0] != sizes[1] or sizes[0] < 1:
         raise ValueError("rows have different or no features")
-    if sizes[0] > MAX_FEATURES:
-        raise ValueError(f"at most {MAX_FEATURES} features")
     return sizes[0]
 
 
@@ -86,10 +89,16 @@ def _signed(vectors: np.ndarray) -> np.ndarray:
 
 
 def fit_pca(features: DataFrame, n_components: int = 2, standardize: bool = True, column: str = "features") -> Projection:
-    """Principal components; standardising divides by the population deviation (1 where it is 0)."""
+    """Principal components; standardising divides by the population deviation (1 where it is 0).
+
+    Beyond ``MAX_FEATURES`` features the components are iterated for; ``RuntimeError`` if
+    they don't settle.
+    """
     k = width(features, column)
     if not 1 <= n_components <= k:
         raise ValueError(f"n_components must lie between 1 and {k}")
+    if k > MAX_FEATURES:
+        return _iterated_pca(features, k, n_components, standardize, column)
     n, (total,), outer = moments(features, [column])
     mean = total / n
     covariance = outer[column, column] / n - np.outer(mean, mean)
@@ -101,6 +110,51 @@ def fit_pca(features: DataFrame, n_components: int = 2, standardize: bool = True
     return Projection(mean, scale, vectors[:, :n_components].T, values[:n_components] / max(values.sum(), 1e-300))
 
 
+def _summed_by_place(rows: DataFrame, partial) -> np.ndarray:
+    """The sum over all tasks of ``partial``'s arrays (one a task), added up in Spark."""
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            if len(batch):
+                part = partial(_matrix(batch.column(0)))
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["at", "v"])
+
+    sums = rows.mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
+    return sums.sort_values("at")["v"].to_numpy()
+
+
+def _iterated_pca(features: DataFrame, k: int, n_components: int, standardize: bool, column: str) -> Projection:
+    """Subspace iteration with Rayleigh-Ritz values; each pass reads the rows once."""
+    rows = features.select(column)
+    n = rows.count()
+    mean = _summed_by_place(rows, lambda x: x.sum(0)) / n
+    # Squares about the mean, so that a large mean costs no digits.
+    variance = _summed_by_place(rows, lambda x: ((x - mean) ** 2).sum(0)) / n
+    scale = np.sqrt(variance) if standardize else np.ones(k)
+    scale = np.where(scale > 1e-15, scale, 1.0)
+    total = (variance / scale**2).sum()
+    width_ = min(k, n_components + SPARE)
+    block = np.linalg.qr(np.random.default_rng(0).normal(size=(k, width_)))[0]
+    before = None
+    for _ in range(MAX_PASSES):
+        def multiply(x, block=block):
+            z = (x - mean) / scale
+            return z.T @ (z @ block)
+
+        image = _summed_by_place(rows, multiply).reshape(k, width_) / n
+        values, turn = np.linalg.eigh(block.T @ image)
+        values, vectors = values[::-1], block @ turn[:, ::-1]
+        top = values[:n_components]
+        if before is not None and (np.abs(top - before) <= TOLERANCE * max(values[0], 1e-300)).all():
+            shares = np.maximum(top, 0) / max(total, 1e-300)
+            return Projection(mean, scale, _signed(vectors[:, :n_components]).T, shares)
+        before, block = top, np.linalg.qr(image)[0]
+    raise RuntimeError(f"the components didn't settle in {MAX_PASSES} passes; ask for fewer or other ones")
+
+
 def explained_variance(model: Projection, spark) -> DataFrame:
     """``component`` from 1, ``ratio``, ``cumulative``."""
     rows = spark.createDataFrame([(i + 1, float(r)) for i, r in enumerate(model.explained_variance_ratio)], "component int, ratio double")
@@ -108,15 +162,25 @@ def explained_variance(model: Projection, spark) -> DataFrame:
 
 
 def project(features: DataFrame, model: Projection, column: str = "features") -> DataFrame:
-    """Replaces the features by their projection; ``ValueError`` if the numbers differ."""
+    """Replaces the features by their projection (null stays null); ``ValueError`` if the numbers differ."""
     found = features.select(F.size(column)).first()
     if found is not None and found[0] != len(model.mean):
         raise ValueError(f"{found[0]} features, but the model has {len(model.mean)}")
-    weights = model.components / model.scale[None, :]
-    shift = weights @ model.mean
-    rows = [F.array(*[F.lit(float(x)) for x in row]) for row in weights]
-    dots = [F.aggregate(F.zip_with(F.col(column), row, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) - float(c) for row, c in zip(rows, shift, strict=True)]
-    return features.withColumn(column, F.array(*dots))
+    weights = (model.components / model.scale[None, :]).T
+    shift = model.mean @ weights
+    at = features.columns.index(column)
+    schema = T.StructType([T.StructField(f.name, T.ArrayType(T.DoubleType()) if f.name == column else f.dataType) for f in features.schema])
+
+    def run(batches):
+        for batch in batches:
+            told = batch.column(at)
+            there = np.asarray(told.is_valid())
+            values = np.full((len(batch), weights.shape[1]), np.nan)
+            values[there] = _matrix(told.filter(pa.array(there))).reshape(-1, len(weights)) @ weights - shift
+            rows = pa.array([v if ok else None for v, ok in zip(values, there, strict=True)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([rows if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    return features.mapInArrow(run, schema)
 
 
 def lag_pairs(features: DataFrame, lag: int, column: str = "features", partition: list[str] | None = None) -> DataFrame:
@@ -128,8 +192,14 @@ def lag_pairs(features: DataFrame, lag: int, column: str = "features", partition
 
 
 def fit_tica(features: DataFrame, lag: int = 1, n_components: int = 2, column: str = "features", partition: list[str] | None = None) -> Projection:
-    """Time-lagged components: reversible, mean removed, scaled as a kinetic map."""
+    """Time-lagged components: reversible, mean removed, scaled as a kinetic map.
+
+    At most ``MAX_FEATURES`` features, as both covariances are solved on the driver:
+    project more onto their principal components first.
+    """
     k = width(features, column)
+    if k > MAX_FEATURES:
+        raise ValueError(f"at most {MAX_FEATURES} features; project onto principal components first")
     if not 1 <= n_components <= k:
         raise ValueError(f"n_components must lie between 1 and {k}")
     pairs = lag_pairs(features, lag, column, partition)

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions.geometry import superposition_rmsd
 from orrery.operators.frames import of_selection
 
+#: Atoms whose square of sums fits a task (32 MB); more are summed pair by pair.
+SQUARE_ATOMS = 2_048
+
 
 def _spread() -> Column:
     """Mean square distance from the mean point (population)."""
@@ -74,20 +80,24 @@ def segment_signs(df: DataFrame, value: str = "delta_rmsf_nm", order: str = "pos
 def correlations(frames: DataFrame) -> DataFrame:
     """``i``, ``j``, ``correlation``: the cross-correlation of atoms' displacements.
 
-    One row a frame carries its centred atoms as an array; the products are summed by
-    pair within tasks before they are shuffled. Not a number becomes 0, the diagonal
-    is 1.
+    Each task adds up its frames' outer products and sends one square of sums; with
+    more than ``SQUARE_ATOMS`` atoms the pairs of a frame are made in its row and folded
+    by pair. Atoms that some frames lack count over the frames they share. Not a number
+    becomes 0, the diagonal is 1.
     """
     if frames.select("frame").distinct().limit(2).count() < 2:
         raise ValueError("at least two frames are needed")
     means = frames.groupBy("atom").agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"])
-    centred = frames.join(means, "atom").select("frame", F.struct("atom", *[(F.col(c) - F.col(f"m{c}")).alias(c) for c in "xyz"]).alias("p"))
+    centred = frames.join(means, "atom").select("frame", F.struct("atom", *[(F.col(c) - F.col(f"m{c}")).cast("double").alias(c) for c in "xyz"]).alias("p"))
     wide = centred.groupBy("frame").agg(F.sort_array(F.collect_list("p")).alias("p"))
-    # All pairs of one frame's atoms with i <= j, made in the row and folded by pair at once.
-    left = wide.select("p", F.posexplode("p").alias("at", "a"))
-    pairs = left.select("a", F.explode(F.slice("p", F.col("at") + 1, F.size("p") - F.col("at"))).alias("b"))
-    product = F.col("a.x") * F.col("b.x") + F.col("a.y") * F.col("b.y") + F.col("a.z") * F.col("b.z")
-    sums = pairs.groupBy(F.col("a.atom").alias("i"), F.col("b.atom").alias("j")).agg(F.avg(product).alias("c"))
+    atoms = means.select("atom").limit(SQUARE_ATOMS + 1).toPandas()["atom"].to_numpy()
+    if len(atoms) <= SQUARE_ATOMS:
+        sums = _summed_products(wide, np.sort(atoms), frames.schema["atom"].dataType.simpleString())
+    else:
+        left = wide.select("p", F.posexplode("p").alias("at", "a"))
+        pairs = left.select("a", F.explode(F.slice("p", F.col("at") + 1, F.size("p") - F.col("at"))).alias("b"))
+        product = F.col("a.x") * F.col("b.x") + F.col("a.y") * F.col("b.y") + F.col("a.z") * F.col("b.z")
+        sums = pairs.groupBy(F.col("a.atom").alias("i"), F.col("b.atom").alias("j")).agg(F.avg(product).alias("c"))
     own = sums.filter("i = j").select(F.col("i").alias("k"), F.sqrt(F.greatest("c", F.lit(0.0))).alias("s"))
     both = sums.join(own.select(F.col("k").alias("i"), F.col("s").alias("si")), "i").join(own.select(F.col("k").alias("j"), F.col("s").alias("sj")), "j")
     value = F.when(F.col("i") == F.col("j"), 1.0).otherwise(F.coalesce(F.try_divide(F.col("c"), F.col("si") * F.col("sj")), F.lit(0.0)))
@@ -95,6 +105,34 @@ def correlations(frames: DataFrame) -> DataFrame:
     return upper.union(upper.filter("i < j").select(F.col("j"), F.col("i"), "correlation"))
 
 
+def _summed_products(wide: DataFrame, atoms: np.ndarray, kind: str) -> DataFrame:
+    """``i``, ``j`` (``i <= j``), ``c``: the mean inner product of two atoms' displacements."""
+    n = len(atoms)
+
+    def partial(batches):
+        total, shared = np.zeros((n, n)), np.zeros((n, n))
+        seen = False
+        for batch in batches:
+            for start in range(0, len(batch), 1_000):
+                points = batch.column(0).slice(start, 1_000)
+                flat, lengths = points.flatten(), pc.list_value_length(points).to_numpy()
+                row, at = np.repeat(np.arange(len(points)), lengths), np.searchsorted(atoms, flat.field("atom").to_numpy())
+                there = np.zeros((len(points), n))
+                there[row, at] = 1
+                shared += there.T @ there
+                for c in "xyz":
+                    x = np.zeros((len(points), n))
+                    x[row, at] = flat.field(c).to_numpy()
+                    total += x.T @ x
+                seen = True
+        if seen:
+            i, j = np.triu_indices(n)
+            yield pa.RecordBatch.from_arrays([pa.array(atoms[i]), pa.array(atoms[j]), pa.array(total[i, j]), pa.array(shared[i, j])], ["i", "j", "s", "n"])
+
+    parts = wide.select("p").mapInArrow(partial, f"i {kind}, j {kind}, s double, n double")
+    return parts.groupBy("i", "j").agg(F.sum("s").alias("s"), F.sum("n").alias("n")).filter("n > 0").select("i", "j", (F.col("s") / F.col("n")).alias("c"))
+
+
 def rmsd(frames: DataFrame, reference_frame: int = 0, atoms: DataFrame | None = None, selection: str | None = None) -> DataFrame:
     """``frame``, ``rmsd_nm``: the least RMSD to a frame over rigid motions."""
     if selection is not None:

@@ -77,13 +77,21 @@ def test_alignment_minimises_the_distance(spark, cloud):
         assert np.sqrt(((xyz[f] - cloud[0]) ** 2).sum(1).mean()) == pytest.approx(kabsch(cloud[f], cloud[0]), abs=1e-6)
 
 
-def test_correlations(spark):
+def test_correlations(spark, monkeypatch):
     off = [0, 0.02, -0.02, 0.04, -0.04]
     df = make(spark, [[(1 + o, 0, 0), (2 + o, 0, 0), (3 - o, 0, 0), (4, 0, 0)] for o in off], 100.0)
     got = {(r["i"], r["j"]): r["correlation"] for r in metrics.correlations(df).collect()}
     assert got[0, 1] > 0.99 and got[0, 2] < -0.99 and all(got[i, i] == 1 for i in range(4)) and got[0, 3] == 0 and len(got) == 16
     with pytest.raises(ValueError):
         metrics.correlations(df.filter("frame = 0"))
+    # Both ways of summing agree, for atoms that some frames lack too.
+    rng = np.random.default_rng(4)
+    gaps = make(spark, rng.normal(size=(30, 6, 3))).filter("not (frame % 4 = 1 and atom = 2)")
+    square = {(r["i"], r["j"]): r["correlation"] for r in metrics.correlations(gaps).collect()}
+    monkeypatch.setattr(metrics, "SQUARE_ATOMS", 3)
+    folded = {(r["i"], r["j"]): r["correlation"] for r in metrics.correlations(gaps).collect()}
+    assert square.keys() == folded.keys() and len(square) == 36
+    assert all(square[k] == pytest.approx(folded[k], abs=1e-12) for k in square)
 
 
 def test_replicas(spark):
@@ -150,6 +158,11 @@ def test_selection(spark):
     for bad in ("", "name", "resid x", "foo 1", "(all", "all all"):
         with pytest.raises(ValueError):
             selection.compile_selection(bad)
+    for text, same in (("index < 3", "index 0 to 2"), ("index<=3 and resid != 1", "index 0 to 2"), ("index ge 1 && name == CA || index = 0", "name CA or index 0"), ("not index gt 1", "index 0 1"), ("name != CA CB", "index 0 3")):
+        assert sorted(r["atom"] for r in atoms.filter(selection.compile_selection(text)).collect()) == sorted(r["atom"] for r in atoms.filter(selection.compile_selection(same)).collect()), text
+    for bad in ("index <", "name < CA", "index < 1 2", "index < x", "name CA | name CB", "index == < 2"):
+        with pytest.raises(ValueError):
+            selection.compile_selection(bad)
     for bad in (lambda: pick("name ZZ"), lambda: frames.extract_chain(atoms, 7), lambda: frames.strip_solvent(atoms.filter("resname = 'HOH'"))):
         with pytest.raises(ValueError):
             bad()
@@ -260,6 +273,25 @@ def test_components(spark):
             bad()
 
 
+def test_many_features(spark, monkeypatch):
+    """Iterated components equal those of the whole covariance; null rows stay null."""
+    rng = np.random.default_rng(8)
+    x = 50 + rng.normal(size=(300, 40)) @ np.diag(0.8 ** np.arange(40)) @ rng.normal(size=(40, 40))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "frame long, features array<double>").repartition(5)
+    for standardize in (True, False):
+        monkeypatch.setattr(dc, "MAX_FEATURES", 4_000)
+        whole = dc.fit_pca(df, 3, standardize)
+        monkeypatch.setattr(dc, "MAX_FEATURES", 10)
+        thin = dc.fit_pca(df, 3, standardize)
+        assert np.allclose(thin.explained_variance_ratio, whole.explained_variance_ratio, atol=1e-7)
+        assert np.allclose(thin.components, whole.components, atol=1e-3) and np.allclose(thin.scale, whole.scale) and np.allclose(thin.mean, whole.mean)
+    with pytest.raises(ValueError):
+        dc.fit_tica(df, 5, 2)
+    out = dc.project(df.unionByName(spark.createDataFrame([(999, None)], df.schema)), whole)
+    got = {r["frame"]: r["features"] for r in out.collect()}
+    assert got[999] is None and len(got) == 301 and np.allclose(got[7], whole.components @ (x[7] - whole.mean))
+
+
 def test_torsions(spark):
     names = ["N", "CA", "C"]
     rng = np.random.default_rng(4)
