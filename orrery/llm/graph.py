@@ -8,25 +8,42 @@ from pyspark.sql import functions as F
 from orrery.llm.common import staged
 
 
+#: A node with at least one in this many of the links is a hub; so there are at most twice as many hubs.
+HUBS = 1_000
+
+
+def _with_least(stars: DataFrame, least: DataFrame) -> DataFrame:
+    """``stars`` (``u``, ``v``) with their ``u``'s ``m`` of ``least`` (``u``, ``m``, ``n``: its rows).
+
+    Hubs, of which there are at most twice ``HUBS``, are sent to every task, so that a hub's
+    rows meet theirs where they are; the other nodes are joined by a shuffle.
+    """
+    bound = max(2, -(-stars.count() // HUBS))
+    hubs = F.broadcast(least.filter(F.col("n") >= bound).select("u", F.col("m").alias("hub_m")))
+    first = stars.join(hubs, "u", "left")
+    rest = first.filter("hub_m is null").select("u", "v").join(least.filter(F.col("n") < bound).select("u", "m"), "u")
+    return first.filter("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")).union(rest)
+
+
 def components(links: DataFrame) -> DataFrame:
     """(``node``, ``root``) for every end of ``links`` (``a``, ``b``); the root is the least node.
 
     A large-star links each greater neighbour of a node to the least of its
     neighbourhood, a small-star each lesser one; they alternate until nothing
-    changes. The least neighbour is a partial aggregate and the step a join on the
-    node, so a hub is never gathered in one task. Each round is written to the
+    changes. The least neighbour is a partial aggregate, written so that it is made
+    once, and hubs aren't shuffled for the join with it. Each round is written to the
     shared folder.
     """
     now = staged(links.select("a", "b").filter("a <> b").distinct(), "links")
     seen = None
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        least = staged(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+        large = _with_least(both.filter("v > u"), least).select(F.col("v").alias("a"), F.col("m").alias("b"))
         down = large.filter("a <> b").distinct().select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         down = staged(down, "stars")
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b"))
+        least = staged(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
+        small = _with_least(down, least).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b"))
         now = staged(small.filter("a <> b").distinct(), "links")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
