@@ -8,21 +8,24 @@ from pyspark.sql import functions as F
 from orrery.llm.common import staged
 
 
-#: A node with at least one in this many of the links is a hub; so there are at most twice as many hubs.
-HUBS = 1_000
+#: A key with at least one in this many rows is hot; so there are at most as many, or twice as many where links count both ways.
+HOT = 1_000
 
 
-def _with_least(stars: DataFrame, least: DataFrame) -> DataFrame:
-    """``stars`` (``u``, ``v``) with their ``u``'s ``m`` of ``least`` (``u``, ``m``, ``n``: its rows).
+def spread_join(rows: DataFrame, values: DataFrame, key: str, weight: str, how: str = "inner", hot: int = HOT) -> DataFrame:
+    """``rows`` with the columns of ``values``, which has a row a ``key`` and in ``weight`` how many rows it has.
 
-    Hubs, of which there are at most twice ``HUBS``, are sent to every task, so that a hub's
-    rows meet theirs where they are; the other nodes are joined by a shuffle.
+    The values of keys with at least one in ``hot`` rows are sent to every task, so that
+    such a key's rows meet theirs where they are; the others are joined by a shuffle. With ``how`` left,
+    rows without a value, null keys too, stay.
     """
-    bound = max(2, -(-stars.count() // HUBS))
-    hubs = F.broadcast(least.filter(F.col("n") >= bound).select("u", F.col("m").alias("hub_m")))
-    first = stars.join(hubs, "u", "left")
-    rest = first.filter("hub_m is null").select("u", "v").join(least.filter(F.col("n") < bound).select("u", "m"), "u")
-    return first.filter("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")).union(rest)
+    bound = max(2, -(-rows.count() // hot))
+    columns = [c for c in values.columns if c != key]
+    sent = F.broadcast(values.filter(F.col(weight) >= bound).withColumn("is_hot", F.lit(True)))
+    first = rows.join(sent, key, "left")
+    done = first.filter("is_hot").select(*rows.columns, *columns)
+    rest = first.filter("is_hot is null").select(*rows.columns)
+    return done.union(rest.join(values.filter(F.col(weight) < bound), key, how).select(*rows.columns, *columns))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -39,11 +42,11 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
         least = staged(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
-        large = _with_least(both.filter("v > u"), least).select(F.col("v").alias("a"), F.col("m").alias("b"))
+        large = spread_join(both.filter("v > u"), least, "u", "n").select(F.col("v").alias("a"), F.col("m").alias("b"))
         down = large.filter("a <> b").distinct().select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         down = staged(down, "stars")
         least = staged(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
-        small = _with_least(down, least).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b"))
+        small = spread_join(down, least, "u", "n").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b"))
         now = staged(small.filter("a <> b").distinct(), "links")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.common import fnv_mix, ship_code, slices_by_chars, staged, worker_cache
-from orrery.llm.graph import components
+from orrery.llm.graph import components, spread_join
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -317,21 +317,6 @@ def _shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select("key", "text").mapInArrow(run, "key binary, own binary")
 
 
-def _spread_join(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """``rows`` with the columns of their text, by ``key``; null keys find none.
-
-    The texts of at least one in ``HOT`` rows, so at most ``HOT`` texts, are sent to
-    every task: the rows of a text with many copies meet it where they are.
-    """
-    least = max(2, -(-rows.count() // HOT))
-    hot = F.broadcast(texts.filter(F.col("copies") >= least).withColumn("is_hot", F.lit(True)))
-    columns = [c for c in texts.columns if c != "key"]
-    first = rows.join(hot, "key", "left")
-    done = first.filter("is_hot").select(*rows.columns, *columns)
-    rest = first.filter("is_hot is null").select(*rows.columns)
-    return done.union(rest.join(texts.filter(F.col("copies") < least), "key", "left").select(*rows.columns, *columns))
-
-
 def _classed(named: DataFrame, similarity: float, recall: float) -> DataFrame:
     """A row for each document of ``named`` (``id``, ``text``): ``id``, ``key``, ``class_id``, ``class_key``, ``copies``, ``text_links``, ``behind``.
 
@@ -343,7 +328,7 @@ def _classed(named: DataFrame, similarity: float, recall: float) -> DataFrame:
     texts = staged(texts, "distinct-texts")
     groups = components(candidates(texts.select("key", "sketch"), recall, similarity))
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
-    groups = staged(groups.join(sizes, "root").join(texts.select(F.col("key").alias("node"), "first_id", "copies"), "node"), "groups")
+    groups = staged(spread_join(groups, staged(sizes, "sizes"), "root", "size").join(texts.select(F.col("key").alias("node"), "first_id", "copies"), "node"), "groups")
 
     wanted = groups.select(F.col("first_id").alias("id"), F.col("node").alias("key"))
     if wanted.count() <= SEND_IDS:
@@ -361,7 +346,9 @@ def _classed(named: DataFrame, similarity: float, recall: float) -> DataFrame:
     linked = components(found.filter("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")))
     linked = linked.withColumnRenamed("node", "key").join(texts.select("key", "first_id"), "key")
     first = F.min(F.struct("first_id", "key"))
-    classes = linked.join(linked.groupBy("root").agg(first.alias("class")), "root").select("key", "class")
+    linked = staged(linked, "linked")
+    firsts = staged(linked.groupBy("root").agg(first.alias("class"), F.count("*").alias("n")), "class-firsts")
+    classes = spread_join(linked, firsts, "root", "n").select("key", "class")
     zero = F.lit(0).cast("long")
     texts = texts.join(per_text, "key", "left").join(classes, "key", "left").select(
         "key",
@@ -371,7 +358,7 @@ def _classed(named: DataFrame, similarity: float, recall: float) -> DataFrame:
         F.coalesce("text_links", zero).alias("text_links"),
         F.coalesce("behind", zero).alias("behind"),
     )
-    return _spread_join(slim.select("id", "key"), staged(texts, "classes"))
+    return spread_join(slim.select("id", "key"), staged(texts, "classes"), "key", "copies", "left", HOT)
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:

@@ -92,6 +92,10 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (200, 200)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[103] == 100 and 200 not in got
+    # A hub with most links, by broadcast, and pairs, by shuffle.
+    links = [(5, 10 + i) for i in range(3000)] + [(10_000 + 2 * i, 10_001 + 2 * i) for i in range(500)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert len(got) == 4001 and all(root == (5 if node < 10_000 else node - node % 2) for node, root in got.items())
     assert components(spark.createDataFrame([], "a long, b long").withColumn("x", F.lit(1))).count() == 0
 
 
