@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.session import staged
+from orrery.session import ship_code, staged
 
 #: Frames of a block of the pairwise RMSD.
 BLOCK_FRAMES = 256
@@ -77,6 +77,7 @@ def rmsd_pairs(frames: DataFrame, cutoff_nm: float | None = None) -> DataFrame:
         i, j, d = a[keep], b[keep], d[keep]
         return pa.table([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), pa.array(d)], ["i", "j", "d"])
 
+    ship_code(dealt.sparkSession)
     return dealt.groupBy("bi", "bj").applyInArrow(compare, "i long, j long, d double")
 
 
@@ -102,6 +103,7 @@ def feature_pairs(features: DataFrame, cutoff: float | None = None, column: str
         i, j, d = a[keep], b[keep], d[keep]
         return pa.table([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), pa.array(d)], ["i", "j", "d"])
 
+    ship_code(dealt.sparkSession)
     return dealt.groupBy("bi", "bj").applyInArrow(compare, "i long, j long, d double")
 
 
@@ -173,6 +175,7 @@ def _greedy(links: DataFrame, points: DataFrame, recount: bool) -> DataFrame:
         centres = set(medoids)
         return pa.table([pa.array(order, pa.int64()), pa.array([label[i] for i in order], pa.int64()), pa.array([i in centres for i in order])], ["frame", "label", "is_medoid"])
 
+    ship_code(points.sparkSession)
     return _adjacency(links, points).groupBy("g").applyInArrow(run, "frame long, label long, is_medoid boolean")
 
 
@@ -296,6 +299,7 @@ def hierarchical(pairs: DataFrame, points: DataFrame, linkage: str = "average",
 
     whole = points.select(F.lit(0).alias("g"), F.col("frame").cast("long").alias("frame"))
     edges = pairs.select(F.lit(0).alias("g"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("d").cast("double").alias("d"))
+    ship_code(whole.sparkSession)
     return whole.groupBy("g").cogroup(edges.groupBy("g")).applyInArrow(run, "frame long, label long")
 
 
@@ -326,6 +330,7 @@ def hdbscan(pairs: DataFrame, points: DataFrame, min_cluster_size: int = 5, min_
         return pa.table([pa.array(ids, pa.int64()), pa.array(labels, pa.int64())], ["frame", "label"])
 
     whole = points.select(F.lit(0).alias("g"), F.col("frame").cast("long").alias("frame"))
+    ship_code(whole.sparkSession)
     return whole.groupBy("g").cogroup(reach.groupBy("g")).applyInArrow(run, "frame long, label long")
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orrery.functions.geometry import dihedral, point
+from orrery.session import ship_code
 
 #: Features whose square reaches the driver; principal components of more are iterated for.
 MAX_FEATURES = 4_000
@@ -71,6 +72,7 @@ def moments(rows: DataFrame, columns: list[str]) -> tuple[int, list[np.ndarray],
             # By place, so that the sums of tasks are added up in Spark.
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1)), pa.array(np.concatenate([[float(n)], flat]))], ["at", "v"])
 
+    ship_code(rows.sparkSession)
     totals = rows.select(*columns).mapInArrow(partial, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas().sort_values("at")["v"].to_numpy()
     n = int(totals[0]) if len(totals) else 0
     if not n:
@@ -122,6 +124,7 @@ def _summed_by_place(rows: DataFrame, partial) -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["at", "v"])
 
+    ship_code(rows.sparkSession)
     sums = rows.mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
     return sums.sort_values("at")["v"].to_numpy()
 
@@ -180,6 +183,7 @@ def project(features: DataFrame, model: Projection, column: str = "features") ->
             rows = pa.array([v if ok else None for v, ok in zip(values, there, strict=True)], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([rows if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
+    ship_code(features.sparkSession)
     return features.mapInArrow(run, schema)
 
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.session import ship_code
+
 # Van der Waals radii in nm.
 RADII = {"H": 0.12, "C": 0.17, "N": 0.155, "O": 0.152, "F": 0.147, "P": 0.18, "S": 0.18, "CL": 0.175, "NA": 0.227, "K": 0.275, "MG": 0.173, "ZN": 0.139, "CA": 0.231}
 DEFAULT_RADIUS = 0.17
@@ -58,6 +60,7 @@ def sasa(frames: DataFrame, atoms: DataFrame, mode: str = "residue", probe_nm: f
         area = shrake_rupley(xyz, table.column("radius").to_numpy(), probe_nm, points)
         return pa.table([table.column("frame"), table.column("atom").cast(pa.int64()), table.column("resid").cast(pa.int64()), pa.array(area)], ["frame", "atom", "resid", "area"])
 
+    ship_code(rows.sparkSession)
     found = rows.groupBy("frame").applyInArrow(kernel, "frame long, atom long, resid long, area double")
     unit = "atom" if mode == "atom" else "resid"
     return found.groupBy("frame", F.col(unit).alias("unit_id")).agg(F.sum("area").alias("value_nm2"))
@@ -143,6 +146,7 @@ def dssp(frames: DataFrame, atoms: DataFrame, simplified: bool = True) -> DataFr
         frame = table.column("frame")[0].as_py()
         return pa.table([pa.array([frame] * len(wide), pa.int64()), pa.array(wide.index.to_numpy(), pa.int64()), pa.array(codes.tolist(), pa.string())], ["frame", "resid", "code"])
 
+    ship_code(rows.sparkSession)
     return rows.groupBy("frame").applyInArrow(kernel, "frame long, resid long, code string")
 
 
