@@ -41,11 +41,12 @@ from orrery.llm.graph import components, spread_join
 
 WORDS = 5
 SIMILARITY = 0.8
-RECALL = 0.99
+RECALL = 0.999
 #: Tokens of a sketch; places that a node chooses; texts that are compared by brute force.
 SKETCH, BRANCHES, BUCKET, DEPTH = 64, 2, 24, 5
-#: Sketches that agree in less than this share are not candidates: 3.5 standard deviations below the threshold.
-LEAST_AGREEMENT = 0.62
+#: Sketches that agree in less than this share are not candidates: 6 standard deviations below the threshold, so
+#: no run loses a pair by it though all runs share the sketch.
+LEAST_AGREEMENT = 0.5
 #: Texts of a block of the exact comparison.
 BLOCK = 192
 #: Characters of text whose words are hashed at once.

@@ -119,3 +119,14 @@ def test_very_long_text_and_hot_copies(spark, monkeypatch):
     assert got[0]["class_id"] == got[1]["class_id"] == 0 and got[1]["n_links"] == 1
     assert all(got[2 + i]["class_id"] == 2 and got[2 + i]["n_copies"] == 39 for i in range(40))
     assert all(got[100 + i]["n_links"] == 0 for i in range(20))
+
+
+def test_recall_of_isolated_pairs_at_the_threshold(spark):
+    rng, rows = random.Random(1), []
+    for i in range(3_000):
+        words = [f"{rng.getrandbits(40):x}" for _ in range(49)]
+        rows.append((2 * i, " ".join(words)))
+        words[24] = f"changed{i}"
+        rows.append((2 * i + 1, " ".join(words)))  # 40 of 50 shingles are shared
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    assert jaccard.join(df).filter("n_links = 1").count() >= 0.999 * len(rows)
