@@ -198,17 +198,19 @@ def candidates(texts: DataFrame, recall: float = RECALL, similarity: float = SIM
     """Links (``a``, ``b``) that connect the candidate groups of ``texts`` (``key``, ``sketch``)."""
     runs = F.sequence(F.lit(1), F.lit(runs_for(recall, similarity)))
     nodes = texts.withColumn("node", F.explode(F.transform(runs, lambda i: F.xxhash64(F.lit("run"), i))))
-    links = []
+    links, live = [], texts
     for depth in range(1, DEPTH + 1):
         nodes = staged(_children(nodes), f"nodes{depth}")
         sizes = nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
         met = staged(nodes.join(sizes, "node"), f"met{depth}")
-        small = met.filter(F.col("n") <= BUCKET).join(texts, "key")
+        # Only texts that met another one at this depth can go on; sketches of the others aren't dealt again.
+        live = staged(live.join(met.select("key").distinct(), "key", "left_semi"), f"live{depth}")
+        small = met.filter(F.col("n") <= BUCKET).join(live, "key")
         links.append(staged(_bucket_links(small).distinct(), f"links{depth}"))
         large = met.filter(F.col("n") > BUCKET)
         if large.isEmpty():
             break
-        nodes = large.select("node", "key").join(texts, "key")
+        nodes = large.select("node", "key").join(live, "key")
     else:
         least = large.groupBy("node").agg(F.min("key").alias("b"))
         links.append(large.join(least, "node").select(F.col("key").alias("a"), "b").filter("a <> b").distinct())
