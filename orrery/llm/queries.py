@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrery.llm import ann, bpe, decontaminate, html_extract, jaccard, licences, mixing, quality, spelling, topk, toxicity, warc
+from orrery.llm import align, ann, bpe, decontaminate, html_extract, jaccard, licences, mixing, quality, spelling, topk, toxicity, warc
 from orrery.llm.common import read_table
 
 
@@ -52,6 +52,10 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(read_table(spark, sf_dir, "documents"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(read_table(spark, sf_dir, "documents"))
+
+
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": op8_jaccard_join,
         "op9_toxicity": op9_toxicity,
         "op10_mixing": op10_mixing,
+        "op11_tokenizer_alignment": op11_tokenizer_alignment,
         "op12_decontamination": op12_decontamination,
         "op13_spelling_variants": op13_spelling_variants,
     }
