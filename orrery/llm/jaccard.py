@@ -9,8 +9,13 @@ functions. The join splits recursively: a node holds the texts that share its pa
 the node's path chooses ``BRANCHES`` of the sketch's places, and a text goes on to
 the children named by its tokens there. So two texts of similarity s meet in a
 child for each chosen token that they share. A node of at most ``BUCKET`` texts is
-compared by brute force; larger ones are split again, up to ``DEPTH`` times, and
-what is then still together is taken as one group of candidates. Of a pair at the
+compared by brute force; a larger one has a representative first: texts whose sketch
+agrees with its in ``REP_AGREEMENT`` are candidates with it, and near copies of it
+(``SETTLED``) are done, for a text near to such a copy is no further from the
+representative than two distances together, so it has become a candidate too. The others
+are split again, up to ``DEPTH`` times, and
+what is then still together is taken as one group of candidates. So a large group of
+near copies is settled at its first node. Of a pair at the
 threshold a run finds a share of at least the recursion's fixed point whatever the
 depth; ``runs_for`` gives the runs that reach the target recall.
 
@@ -47,6 +52,10 @@ SKETCH, BRANCHES, BUCKET, DEPTH = 64, 2, 24, 5
 #: Sketches that agree in less than this share are not candidates: 6 standard deviations below the threshold, so
 #: no run loses a pair by it though all runs share the sketch.
 LEAST_AGREEMENT = 0.5
+#: Of sketches of a large node: the share in which a text agrees with the representative to be a candidate with it, and
+#: that of a copy which goes no further. A text at the threshold from a copy at 0.85 is at 0.65 or more from the
+#: representative, 4 standard deviations above the first share.
+REP_AGREEMENT, SETTLED = 0.4, 0.85
 #: Texts of a block of the exact comparison.
 BLOCK = 192
 #: Characters of text whose words are hashed at once.
@@ -194,6 +203,18 @@ def _bucket_links(members: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
+def _settled(nodes: DataFrame) -> DataFrame:
+    """The agreement of texts' sketches (``sketch``) with their node's representative (``rep_sketch``): adds ``agreement``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, SKETCH) for i in (2, 4)]
+            share = (both[0] == both[1]).mean(1) if len(both[0]) else np.empty(0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(share)], ["node", "key", "sketch", "rep", "agreement"])
+
+    return nodes.select("node", "key", "sketch", "rep", "rep_sketch").mapInArrow(run, "node long, key binary, sketch binary, rep binary, agreement double")
+
+
 def candidates(texts: DataFrame, recall: float = RECALL, similarity: float = SIMILARITY) -> DataFrame:
     """Links (``a``, ``b``) that connect the candidate groups of ``texts`` (``key``, ``sketch``)."""
     runs = F.sequence(F.lit(1), F.lit(runs_for(recall, similarity)))
@@ -210,10 +231,18 @@ def candidates(texts: DataFrame, recall: float = RECALL, similarity: float = SIM
         large = met.filter(F.col("n") > BUCKET)
         if large.isEmpty():
             break
-        nodes = large.select("node", "key").join(live, "key")
+        # One representative a large node; there are fewer than texts by BUCKET.
+        least = large.groupBy("node").agg(F.min("key").alias("rep"), F.count("*").alias("n"))
+        reps = staged(least.join(live.select(F.col("key").alias("rep"), F.col("sketch").alias("rep_sketch")), "rep"), f"reps{depth}")
+        own = staged(large.select("node", "key").join(live, "key"), f"large{depth}")
+        told = staged(_settled(spread_join(own, reps, "node", "n")), f"settled{depth}")
+        links.append(told.filter((F.col("agreement") >= REP_AGREEMENT) & (F.col("key") != F.col("rep"))).select(F.col("key").alias("a"), F.col("rep").alias("b")).distinct())
+        nodes = told.filter(F.col("agreement") < SETTLED).select("node", "key", "sketch")
+        if nodes.isEmpty():
+            break
     else:
-        least = large.groupBy("node").agg(F.min("key").alias("b"))
-        links.append(large.join(least, "node").select(F.col("key").alias("a"), "b").filter("a <> b").distinct())
+        # What is together after the last depth is one group by its representative, near or not.
+        links.append(told.filter("key <> rep").select(F.col("key").alias("a"), F.col("rep").alias("b")).distinct())
     out = links[0]
     for more in links[1:]:
         out = out.union(more)
