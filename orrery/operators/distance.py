@@ -7,9 +7,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions.geometry import angle, minimum_image, minus, norm, point
+from orrery.operators.lattice import CELL, nearest_image, with_lattice
+from orrery.operators.neighbours import BOX, pairs_within
 from orrery.session import staged
 
-BOX = ("box_x", "box_y", "box_z")
 SCHEMES = ("closest-heavy", "closest", "ca", "sidechain-heavy")
 
 
@@ -23,7 +24,8 @@ def _difference(a: str, b: str, periodic: bool, has_box: bool) -> Column:
 def pair_distances(frames: DataFrame, pairs: DataFrame, periodic: bool = True) -> DataFrame:
     """``frame``, ``i``, ``j``, ``distance_nm`` of the pairs (``i``, ``j``).
 
-    Nearest images count where the frames have a cell (``box_x box_y box_z``).
+    Nearest images count where the frames have a cell: a rectangular one
+    (``box_x box_y box_z``) or three vectors (``a_x`` to ``c_z``), whatever their skew.
     ``ValueError`` if a pair names an atom that no frame has.
     """
     named = pairs.select(F.explode(F.array("i", "j")).alias("atom")).distinct()
@@ -32,6 +34,12 @@ def pair_distances(frames: DataFrame, pairs: DataFrame, periodic: bool = True) -
         raise ValueError("a pair names an atom that is not there")
     boxed = set(BOX) <= set(frames.columns)
     columns = ["frame", "atom", "x", "y", "z", *(BOX if boxed else ())]
+    if periodic and set(CELL) <= set(frames.columns):
+        ends = with_lattice(frames.select("frame", "atom", "x", "y", "z", *CELL))
+        a = ends.join(pairs.distinct(), F.col("atom") == F.col("i")).alias("a")
+        b = ends.select("frame", "atom", "x", "y", "z").alias("b")
+        both = a.join(b, (F.col("a.frame") == F.col("b.frame")) & (F.col("a.j") == F.col("b.atom")))
+        return both.select(F.col("a.frame").alias("frame"), "i", "j", norm(nearest_image(minus(point("b."), point("a.")), "a.")).alias("distance_nm"))
     a = frames.select(*columns).join(pairs.distinct(), F.col("atom") == F.col("i")).alias("a")
     b = frames.select(*columns).alias("b")
     both = a.join(b, (F.col("a.frame") == F.col("b.frame")) & (F.col("a.j") == F.col("b.atom")))
@@ -106,6 +114,19 @@ def contacts(frames: DataFrame, atoms: DataFrame, scheme: str = "closest-heavy",
     return d.groupBy("frame", "ri", "rj").agg(F.min("d").alias("distance_nm"))
 
 
+def contacts_within(frames: DataFrame, atoms: DataFrame, cutoff_nm: float = 0.45, scheme: str = "closest-heavy", separation: int = 3, periodic: bool = True) -> DataFrame:
+    """``frame``, ``ri``, ``rj``, ``distance_nm`` of the residue pairs nearer than the cutoff, at least ``separation`` apart.
+
+    The same rows as those of ``contacts`` below the cutoff, by cell lists: only atoms of
+    neighbouring cells meet.
+    """
+    boxed = set(BOX) <= set(frames.columns)
+    columns = ["frame", "x", "y", "z", *(BOX if boxed else ())]
+    own = frames.select("atom", *columns).join(scheme_atoms(atoms, scheme).select("atom", "resid"), "atom").select("resid", *columns)
+    near = pairs_within(own, own, cutoff_nm, periodic).filter(F.col("b.resid") - F.col("a.resid") >= separation)
+    return near.groupBy("frame", F.col("a.resid").alias("ri"), F.col("b.resid").alias("rj")).agg(F.min("d").alias("distance_nm"))
+
+
 def contact_frequency(distances: DataFrame, cutoff_nm: float = 0.45) -> DataFrame:
     """``ri``, ``rj``, ``frequency``: the share of frames closer than the cutoff."""
     if cutoff_nm <= 0:

@@ -20,7 +20,7 @@ KINDS = {
     "maccs": (None, 167), "rdkit": (None, 2048), "atom_pair": (None, 2048), "topological_torsion": (None, 2048),
 }
 # The descriptors that are computed by default.
-DESCRIPTORS = ["MolWt", "MolLogP", "TPSA", "NumHAcceptors", "NumHDonors", "NumRotatableBonds", "RingCount", "FractionCSP3", "qed"]
+DESCRIPTORS = ["MolWt", "MolLogP", "NumHAcceptors", "NumHDonors", "FractionCSP3", "NumRotatableBonds", "RingCount", "TPSA", "qed"]
 
 
 def pack_bits(bits: Column, n_bits: int) -> Column:

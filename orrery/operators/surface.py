@@ -1,16 +1,19 @@
-"""Solvent-accessible surfaces and secondary structure: numpy kernels, a frame at a time.
+"""Solvent-accessible surfaces, by cell lists, and secondary structure.
 
-Frames are independent, so they are grouped by frame and each kernel sees one frame's
-atoms, as many as the topology has.
+Surfaces are joins and an aggregate. Secondary structure is grouped by frame; its kernel sees
+one frame's backbone, as much as the topology has.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orrery.operators.neighbours import pairs_within
 from orrery.session import ship_code
 
 # Van der Waals radii in nm.
@@ -27,43 +30,53 @@ def sphere(n: int) -> np.ndarray:
     return np.stack([r * np.cos(turn), r * np.sin(turn), z], 1)
 
 
-def shrake_rupley(xyz: np.ndarray, radii: np.ndarray, probe: float, points: np.ndarray) -> np.ndarray:
-    """Each atom's accessible area, by the points of its sphere that no other atom covers."""
-    reach = radii + probe
-    out = np.empty(len(xyz))
-    for i in range(len(xyz)):
-        gap = np.sqrt(((xyz - xyz[i]) ** 2).sum(1))
-        near = np.flatnonzero((gap < reach + reach[i]) & (np.arange(len(xyz)) != i))
-        own = xyz[i] + points * reach[i]
-        free = np.ones(len(points), bool)
-        for j in near[np.argsort(gap[near])].tolist():
-            free[free] = ((own[free] - xyz[j]) ** 2).sum(1) >= reach[j] ** 2
-            if not free.any():
-                break
-        out[i] = 4 * np.pi * reach[i] ** 2 * free.mean()
+def covered_points(apart: np.ndarray, own: np.ndarray, other: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Bit sets (64 to a word) of the points of spheres of radius ``own`` that lie inside spheres of radius ``other``, ``apart`` away."""
+    words = -(-len(points) // 64)
+    out = np.empty((len(own), words), np.int64)
+    for i in range(0, len(own), 2_000):
+        d = [apart[i : i + 2_000, k, None] - own[i : i + 2_000, None] * points[None, :, k] for k in range(3)]
+        inside = np.zeros((len(d[0]), words * 64), bool)
+        inside[:, : len(points)] = d[0] * d[0] + d[1] * d[1] + d[2] * d[2] < (other[i : i + 2_000] * other[i : i + 2_000])[:, None]
+        out[i : i + 2_000] = np.packbits(inside, axis=1, bitorder="little").view("<i8")
     return out
 
 
 def sasa(frames: DataFrame, atoms: DataFrame, mode: str = "residue", probe_nm: float = 0.14, n_sphere_points: int = 960) -> DataFrame:
     """``frame``, ``unit_id``, ``value_nm2`` by atom or residue.
 
-    Atoms that are not among ``atoms`` cover nothing.
+    Atoms meet their neighbours by cell lists; each pair gives the set of the first
+    atom's sphere points that the second covers, sets are united in an aggregate with
+    partial results, and the share of points outside counts. Atoms that are not among
+    ``atoms`` cover nothing; a null coordinate has no surface and covers nothing.
     """
     if mode not in ("atom", "residue"):
         raise ValueError(f"mode must be atom or residue, not {mode!r}")
-    radius = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in RADII.items() for x in pair]), F.upper("element")), F.lit(DEFAULT_RADIUS))
-    rows = frames.join(atoms.select("atom", "resid", radius.alias("radius")), "atom").select("frame", "atom", "resid", "x", "y", "z", "radius")
-
-    def kernel(table: pa.Table) -> pa.Table:
+    reach = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in RADII.items() for x in pair]), F.upper("element")), F.lit(DEFAULT_RADIUS)) + probe_nm
+    rows = frames.join(atoms.select("atom", "resid", reach.alias("reach")), "atom").select("frame", "atom", "resid", "x", "y", "z", "reach")
+    widest = 2 * (max(*RADII.values(), DEFAULT_RADIUS) + probe_nm)
+    near = pairs_within(rows, rows.select("frame", "atom", "x", "y", "z", "reach"), widest)
+    same = F.col("a.atom") == F.col("b.atom")  # keeps atoms without neighbours
+    near = near.filter(same | (F.col("d") < F.col("a.reach") + F.col("b.reach")))
+    apart = [(F.col(f"b.{c}") - F.col(f"a.{c}")).cast("double").alias(f"d{c}") for c in "xyz"]
+    near = near.select("frame", F.col("a.atom").cast("long").alias("atom"), F.col("a.resid").cast("long").alias("resid"), F.col("a.reach").alias("own"), F.when(same, 0.0).otherwise(F.col("b.reach")).alias("other"), *apart)
+    words = [f"w{i}" for i in range(-(-n_sphere_points // 64))]
+
+    def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         points = sphere(n_sphere_points)
-        xyz = np.stack([table.column(c).to_numpy() for c in "xyz"], 1).astype(float)
-        area = shrake_rupley(xyz, table.column("radius").to_numpy(), probe_nm, points)
-        return pa.table([table.column("frame"), table.column("atom").cast(pa.int64()), table.column("resid").cast(pa.int64()), pa.array(area)], ["frame", "atom", "resid", "area"])
+        for batch in batches:
+            own, other = (batch.column(i).to_numpy() for i in (3, 4))
+            found = covered_points(np.stack([batch.column(i).to_numpy() for i in (5, 6, 7)], 1), own, other, points)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), *(pa.array(found[:, i].copy()) for i in range(len(words)))], ["frame", "atom", "resid", "own", *words])
 
     ship_code(rows.sparkSession)
-    found = rows.groupBy("frame").applyInArrow(kernel, "frame long, atom long, resid long, area double")
+    kind = dict(near.dtypes)["frame"]
+    sets = near.mapInArrow(masks, f"frame {kind}, atom long, resid long, own double, " + ", ".join(f"{w} long" for w in words))
+    united = sets.groupBy("frame", "atom", "resid", "own").agg(*[F.bit_or(w).alias(w) for w in words])
+    hidden = sum((F.bit_count(w) for w in words), F.lit(0))
+    area = F.lit(4 * np.pi) * F.col("own") * F.col("own") * (F.lit(n_sphere_points) - hidden) / F.lit(float(n_sphere_points))
     unit = "atom" if mode == "atom" else "resid"
-    return found.groupBy("frame", F.col(unit).alias("unit_id")).agg(F.sum("area").alias("value_nm2"))
+    return united.select("frame", F.col(unit).alias("unit_id"), area.alias("area")).groupBy("frame", "unit_id").agg(F.sum("area").alias("value_nm2"))
 
 
 def kabsch_sander(n: np.ndarray, ca: np.ndarray, c: np.ndarray, o: np.ndarray, chain: np.ndarray, proline: np.ndarray) -> list[str]:

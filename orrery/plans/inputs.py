@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from orrery.operators import clustering as cl
 from orrery.operators import decomposition as dc
 from orrery.operators import distance as ds
-from orrery.operators import frames, metrics, status
+from orrery.operators import frames, metrics, status, surface
 from orrery.functions.dtype import as_dtype
 from orrery.plans.catalogue import COLUMNS, FT, JOBS, PAIR_RMSD, RMSD, VT, _status, features, query, table, virtual_atoms, virtual_trajectory
 from orrery.session import scratch_path
-from orrery.sources import text, trajectory
+from orrery.sources import binary, text, trajectory
 
 
 def _lines(df: DataFrame, label: str) -> str:
@@ -278,3 +278,69 @@ def _listing(spark, d):
 def _policy(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", F.col("vec_id").cast("double").alias("t"), F.col("embedding").cast("array<double>").alias("embedding"))
     return as_dtype(rows, "float32")
+
+
+@query("xtc_read", f"WITH {VT} SELECT frame, atom, CAST(round_even(x*1000,0) AS BIGINT) AS x, CAST(round_even(y*1000,0) AS BIGINT) AS y, CAST(round_even(z*1000,0) AS BIGINT) AS z FROM vt WHERE frame >= 10 AND frame < 400 AND (frame-10)%7 = 0")
+def _xtc(spark, d):
+    """Compressed coordinates are thousandths of a nm; only the stride's frames are read back."""
+    path = scratch_path(spark, "trajectory-xtc")
+    binary.write_xtc(virtual_trajectory(spark, d), path)
+    out = binary.load_binary(spark, f"{path}/*.xtc", 10, 400, 7)
+    # A file's step is the frame that was written; frames count from 0 over all files.
+    return out.select(F.col("step").alias("frame"), "atom", *[F.rint(F.col(c) * 1000).cast("long").alias(c) for c in "xyz"])
+
+
+@query("dcd_read", f"WITH {VT} SELECT frame, atom, round(x,5) AS x, round(y,5) AS y, round(z,5) AS z FROM vt WHERE frame < 300 AND frame%3 = 0 AND atom IN (0, 4, 20)")
+def _dcd(spark, d):
+    path = scratch_path(spark, "trajectory-dcd")
+    binary.write_dcd(virtual_trajectory(spark, d), path)
+    out = binary.load_binary(spark, f"{path}/*.dcd", 0, 300, 3, keep=[0, 4, 20])
+    return out.select(F.col("step").alias("frame"), "atom", *[F.round(c, 5).alias(c) for c in "xyz"])
+
+
+@query("debye_lengths", """SELECT n_nationkey AS nation, CASE n_nationkey%4 WHEN 1 THEN n_regionkey+0.5::DOUBLE WHEN 2 THEN n_regionkey+0.25::DOUBLE WHEN 3 THEN 1.5::DOUBLE END AS debye_length,
+(SELECT max(n_regionkey)+0.5::DOUBLE FROM nation WHERE n_nationkey = 1) AS inferred FROM nation""")
+def _debye(spark, d):
+    """A log a nation: none, the hyphen with a colon, the other form, and two statements of which the first counts."""
+    key, value = F.col("n_nationkey") % 4, F.col("n_regionkey")
+    told = F.when(key == 1, F.concat(F.lit("run\n  Debye-length: "), value + 0.5)).when(key == 2, F.concat(F.lit("Got debye length  "), value + 0.25)).when(key == 3, F.lit("x debye length 1.5\nDebye length: 2.5")).otherwise("nothing here")
+    path = scratch_path(spark, "solver-logs")
+    table(spark, d, "nation").select(told.alias("value"), "n_nationkey").repartition("n_nationkey").write.partitionBy("n_nationkey").text(path)
+    first = text.infer_debye_length(spark, f"{path}/none.txt", f"{path}/n_nationkey=0", f"{path}/n_nationkey=1", f"{path}/n_nationkey=2")
+    out = text.debye_lengths(spark, f"{path}/*/*.txt")
+    return out.select(F.regexp_extract("path", "n_nationkey=([0-9]+)", 1).cast("int").alias("nation"), "debye_length", F.lit(first).alias("inferred"))
+
+
+SKEWED = ((0.3, 0.0, 0.0), (0.55, 0.35, 0.0), (-0.4, 0.5, 0.3))
+
+
+@query("triclinic_distances", f"""WITH {VT}, c AS (SELECT {', '.join(f'{x}::DOUBLE AS {v}_{n}' for v, row in zip('abc', SKEWED, strict=True) for n, x in zip('xyz', row, strict=True))}),
+e AS (SELECT a.frame, a.atom AS i, b.atom AS j, b.x-a.x AS x, b.y-a.y AS y, b.z-a.z AS z FROM vt a JOIN vt b ON a.frame = b.frame AND b.atom = a.atom + 5),
+f3 AS (SELECT frame, i, j, x-k*c_x AS x, y-k*c_y AS y, z-k*c_z AS z FROM (SELECT *, round_even(z/c_z,0) AS k FROM e, c)),
+f2 AS (SELECT frame, i, j, x-k*b_x AS x, y-k*b_y AS y, z FROM (SELECT *, round_even(y/b_y,0) AS k FROM f3, c)),
+f1 AS (SELECT frame, i, j, x-k*a_x AS x, y, z FROM (SELECT *, round_even(x/a_x,0) AS k FROM f2, c)),
+s AS (SELECT p, q, r FROM (SELECT unnest(range(-9, 10)) AS p), (SELECT unnest(range(-4, 5)) AS q), (SELECT unnest(range(-2, 3)) AS r))
+SELECT frame, i, j, round(min(sqrt((x+p*a_x+q*b_x+r*c_x)^2+(y+p*a_y+q*b_y+r*c_y)^2+(z+p*a_z+q*b_z+r*c_z)^2)),6) AS distance_nm FROM f1, c, s GROUP BY frame, i, j""")
+def _triclinic(spark, d):
+    cell = {f"{v}_{n}": F.lit(x) for v, row in zip("abc", SKEWED, strict=True) for n, x in zip("xyz", row, strict=True)}
+    pairs = spark.range(16).select(F.col("id").cast("int").alias("i"), (F.col("id") + 5).cast("int").alias("j"))
+    return ds.pair_distances(virtual_trajectory(spark, d).withColumns(cell), pairs).select("frame", "i", "j", F.round("distance_nm", 6).alias("distance_nm"))
+
+
+@query("contacts_by_cells", f"""WITH {VT}, e AS (SELECT a.frame, a.atom//3 AS ri, b.atom//3 AS rj, a.x-b.x AS x, a.y-b.y AS y, a.z-b.z AS z FROM vt a JOIN vt b ON a.frame = b.frame AND b.atom//3 - a.atom//3 >= 2),
+m AS (SELECT frame, ri, rj, min(sqrt((x-0.5*round_even(x/0.5,0))^2+(y-0.6*round_even(y/0.6,0))^2+(z-0.7*round_even(z/0.7,0))^2)) AS d FROM e GROUP BY frame, ri, rj)
+SELECT frame, CAST(ri AS INTEGER) AS ri, CAST(rj AS INTEGER) AS rj, round(d,6) AS distance_nm FROM m WHERE d < 0.1""")
+def _by_cells(spark, d):
+    boxed = virtual_trajectory(spark, d).withColumns({"box_x": F.lit(0.5), "box_y": F.lit(0.6), "box_z": F.lit(0.7)})
+    return ds.contacts_within(boxed, virtual_atoms(spark), 0.1, "closest", 2).select("frame", "ri", "rj", F.round("distance_nm", 6).alias("distance_nm"))
+
+
+@query("sasa_residues", f"""WITH {VT}, r AS (SELECT frame, atom, atom//3 AS resid, x, y, z, CASE WHEN atom%3 = 0 THEN 0.155 + 0.05 ELSE 0.17 + 0.05 END::DOUBLE AS reach FROM vt),
+p AS (SELECT i, sqrt(1-z*z)*cos(i*pi()*(3-sqrt(5))) AS px, sqrt(1-z*z)*sin(i*pi()*(3-sqrt(5))) AS py, z AS pz FROM (SELECT i, 1-(2*i+1)/100.0::DOUBLE AS z FROM (SELECT unnest(range(100)) AS i))),
+c AS (SELECT DISTINCT a.frame, a.atom, i FROM r a JOIN r b ON a.frame = b.frame AND a.atom <> b.atom, p
+  WHERE ((b.x-a.x)-a.reach*px)*((b.x-a.x)-a.reach*px)+((b.y-a.y)-a.reach*py)*((b.y-a.y)-a.reach*py)+((b.z-a.z)-a.reach*pz)*((b.z-a.z)-a.reach*pz) < b.reach*b.reach),
+n AS (SELECT frame, atom, count(*) AS hidden FROM c GROUP BY frame, atom)
+SELECT r.frame, CAST(resid AS BIGINT) AS unit_id, round(sum(4*pi()*reach*reach*(100-coalesce(hidden,0))/100),6) AS value_nm2 FROM r LEFT JOIN n USING (frame, atom) GROUP BY r.frame, resid""")
+def _sasa(spark, d):
+    out = surface.sasa(virtual_trajectory(spark, d), virtual_atoms(spark), "residue", 0.05, 100)
+    return out.select("frame", "unit_id", F.round("value_nm2", 6).alias("value_nm2"))

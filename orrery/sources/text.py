@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # How a solver's log states the Debye length, in order of preference.
-DEBYE_PATTERNS = [r"(?i)debye\s+length\s*:\s*([0-9]+(?:\.[0-9]*)?(?:[eE][-+]?[0-9]+)?)", r"(?i)debye\s+length\s*=?\s*([0-9]+(?:\.[0-9]*)?(?:[eE][-+]?[0-9]+)?)"]
+DEBYE_PATTERNS = [
+    r"[Dd]ebye[- ]length[:\s]+([0-9.]+)",
+    r"[Gg]ot debye length\s+([0-9.]+)",
+]
 MOLECULE_SUFFIXES = (".sdf", ".sdfgz", ".mae", ".maegz", ".smi", ".smr")
 
 
@@ -79,17 +82,23 @@ def first_match(text: Column, patterns: list[str]) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns])
 
 
+def debye_lengths(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``path``, ``debye_length``: what each log states, null if it states none; a log is one row."""
+    logs = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), first_match(F.col("value"), DEBYE_PATTERNS).alias("v"))
+    return logs.select("path", F.expr("try_cast(v as double)").alias("debye_length"))
+
+
 def infer_debye_length(spark: SparkSession, *logs: str) -> float:
     """The Debye length that the first log with one states; logs that aren't there are passed over."""
     for log in logs:
         try:
-            found = spark.read.text(log, wholetext=True).select(first_match(F.col("value"), DEBYE_PATTERNS).alias("v")).filter("v is not null").first()
+            found = debye_lengths(spark, log).filter("debye_length is not null").first()
         except Exception as error:  # a log that isn't there
             if "PATH_NOT_FOUND" not in str(error):
                 raise
             continue
         if found:
-            return float(found["v"])
+            return found["debye_length"]
     raise RuntimeError("no log states a Debye length")
 
 
