@@ -53,9 +53,9 @@ SKETCH, BRANCHES, BUCKET, DEPTH = 64, 2, 24, 5
 #: no run loses a pair by it though all runs share the sketch.
 LEAST_AGREEMENT = 0.5
 #: Of sketches of a large node: the share in which a text agrees with the representative to be a candidate with it, and
-#: that of a copy which goes no further. A text at the threshold from a copy at 0.85 is at 0.65 or more from the
+#: that of a copy which goes no further. A text at the threshold from a copy at 0.75 is at 0.55 or more from the
 #: representative, 4 standard deviations above the first share.
-REP_AGREEMENT, SETTLED = 0.4, 0.85
+REP_AGREEMENT, SETTLED = 0.3, 0.75
 #: Texts of a block of the exact comparison.
 BLOCK = 192
 #: Characters of text whose words are hashed at once.

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +131,30 @@ def test_recall_of_isolated_pairs_at_the_threshold(spark):
         rows.append((2 * i + 1, " ".join(words)))  # 40 of 50 shingles are shared
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
     assert jaccard.join(df).filter("n_links = 1").count() >= 0.999 * len(rows)
+
+
+def test_a_group_of_near_copies_is_settled_at_its_first_node(spark, monkeypatch):
+    """Copies of one text go on to few nodes below the first, and still all links are found."""
+    rng = np.random.default_rng(12)
+    base = [f"w{i}" for i in range(200)]
+    docs = []
+    for i in range(120):
+        words = list(base)
+        for k in rng.choice(200, 2, replace=False):
+            words[k] = f"x{i}y{k}"
+        docs.append((i, " ".join(words)))
+    met, staged = [], jaccard.staged
+
+    def count(df, label):
+        out = staged(df, label)
+        if label.startswith("met"):
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "staged", count)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = jaccard.join(df).collect()
+    assert sum(met[1:]) < met[0] / 2
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(196)} for _, t in docs]
+    want = [sum(len(a & b) >= 0.8 * len(a | b) - 1e-9 for b in sets) - 1 for a in sets]
+    assert [r.n_links for r in sorted(rows)] == want
