@@ -16,8 +16,10 @@ whole body, without the template, without parts whose tag, role or class says th
 they are navigation, header, footer, sidebar, notice, advert, form or reader
 comments, and, outside an article, without blocks that are mostly links. Within an
 article a class or id drops a part only if it has no other words than those of an
-advert, a menu, a notice or comments (``ARTICLE_WORDS``, ``PLAIN_WORDS``), and never an
-inline element.
+advert, a menu with links, a notice or comments (``ARTICLE_WORDS``, ``PLAIN_WORDS``), and
+never an inline element. Outside an article, other words keep a part whose word may name
+a subject (``SUBJECT_WORDS``); a page that has no text but such parts or linked paragraphs
+has these.
 
 Elements may be nested to any depth: below ``DEEP`` levels their text and what is
 dropped stay as they are, only the tree that is aligned has them side by side.
@@ -56,8 +58,8 @@ DEEP = 200
 
 # Elements by what they do to the text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math textarea title object audio video canvas noembed noframes xmp".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+RAW = frozenset("script style noscript template iframe svg annotation annotation-xml textarea title audio video canvas noembed noframes xmp".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msup msub msubsup munder mover munderover mstyle mpadded mphantom semantics".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 IMPLIED = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("tr", "td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPE = frozenset("article aside body div footer header html main nav section table td th ul ol dl form blockquote".split())
@@ -82,12 +84,18 @@ comment comments commentlist disqus share sharing social
 """.split())
 # Words beside them that say nothing of what a part holds.
 PLAIN_WORDS = frozenset("area bar block box button buttons container content form group holder icons inner item items link links list outer panel section slot top bottom left right unit wrap wrapper".split())
+# Words of a menu, which has links; without any it may be one of dishes.
+MENU_WORDS = frozenset("nav navbar navigation menu submenu breadcrumb breadcrumbs pagination".split())
+# Words beside them that say nothing outside articles.
+SITE_WORDS = frozenset("also articles body entries entry global latest like main message messages more news page post posts site stories tags text title topics user users you".split())
 # Of these, words that also name a page's layout (a class "with-sidebar"
 # may hold everything), and words by which an article element is none.
 LAYOUT_WORDS = frozenset("sidebar sidebars rail nav navbar navigation menu header masthead topbar footer banner ad ads cookie cookies widget widgets".split())
 NO_ARTICLE_WORDS = frozenset("comment comments reply replies related recommended recommendations promo promoted sponsored ad advert advertisement widget popular teaser".split())
 # Elements that make a page's layout, and how many levels of them count.
 LAYOUT_TAGS, LAYOUT_LEVELS = frozenset("div section article main header table center".split()), 2
+# Words of ``DROPPED_WORDS`` that may as well name a subject: other words beside them keep a part.
+SUBJECT_WORDS = DROPPED_WORDS - ARTICLE_WORDS - LAYOUT_WORDS
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>?""", re.S)
@@ -99,18 +107,19 @@ _CACHE: dict[str, "Node"] = {}
 
 
 class Node:
-    """An element: label, what it is for the text (``soft``: by a word of the layout), children (elements and strings)."""
+    """An element: label, what it is for the text (``soft``: by a word of the layout, ``named``: by these words only), children (elements and strings)."""
 
-    __slots__ = ("tag", "label", "part", "soft", "children")
+    __slots__ = ("tag", "label", "part", "soft", "named", "children")
 
     def __init__(self, tag: str, label: str = "", part: str = "", soft: bool = False):
         self.tag, self.label, self.part, self.soft, self.children = tag, label or tag, part, soft, []
+        self.named: frozenset[str] = frozenset()
 
 
 def _open(tag: str, attributes: str, in_article: bool) -> Node:
     """The node of a start tag; ``part`` says that it is dropped, or a main part."""
     part = "drop" if tag in DROPPED else tag if tag in ("article", "main", "header") else ""
-    label, soft = tag, part != "drop"
+    label, soft, by_words, lasting = tag, part != "drop", set(), part == "drop"
     if attributes and not attributes.isspace():
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
@@ -121,29 +130,37 @@ def _open(tag: str, attributes: str, in_article: bool) -> Node:
                     named = words & ARTICLE_WORDS if words <= ARTICLE_WORDS | PLAIN_WORDS and tag not in INLINE else frozenset()
                 else:
                     named = words & (NO_ARTICLE_WORDS if tag == "article" else DROPPED_WORDS)
+                    if tag != "article" and named <= SUBJECT_WORDS and words - DROPPED_WORDS - PLAIN_WORDS - SITE_WORDS:
+                        named = frozenset()
                 if named and tag not in ("html", "body", "main"):
                     part, soft = "drop", soft and not in_article and named <= LAYOUT_WORDS and tag != "article"
+                    by_words |= named
             elif name == "role":
                 role = value.lower()
+                lasting = lasting or role in DROPPED_ROLES
                 part, soft = ("drop", False) if role in DROPPED_ROLES else (role if role in ("main", "article") and part != "drop" else part, soft)
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-                part, soft = "drop", False
+                part, soft, lasting = "drop", False, True
             elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                part, soft = "drop", False
-    return Node(tag, label, part, soft)
+                part, soft, lasting = "drop", False, True
+    node = Node(tag, label, part, soft)
+    if part == "drop" and not lasting and tag != "article":
+        node.named = frozenset(by_words)
+    return node
 
 
 def parse(text: str) -> Node:
     """The DOM tree of a page, as forgiving as browsers are about missing end tags."""
     root = Node("#root")
-    # The open elements, where each one's children go, and how many open ones are main parts.
+    # The open elements, where each one's children go, and how many open ones are main parts, by kind.
     stack, holders, at, n = [root], [root], 0, len(text)
-    articles = 0
+    articles, opened = 0, Counter()
 
     def close(i: int) -> None:
         nonlocal articles
         for node, holder in zip(stack[i:], holders[i:], strict=True):
             articles -= node.part in ("article", "main")
+            opened[node.part] -= node.part in ("article", "main", "header")
             if holder is not node and node.tag not in INLINE:  # an end that stands for the flattened element's
                 holder.children.append(Node(node.tag))
         del stack[i:], holders[i:]
@@ -170,7 +187,7 @@ def parse(text: str) -> Node:
                     break
             continue
         attributes = m.group(3) if m.group(2) else m.group(6)
-        if tag in RAW:
+        if tag in RAW and not (tag == "noscript" and articles):
             if not (attributes or "").endswith("/"):
                 end = _RAW_END[tag].search(text, at)
                 at = end.end() if end else n
@@ -199,8 +216,11 @@ def parse(text: str) -> Node:
         if tag not in VOID:
             stack.append(node)
             articles += node.part in ("article", "main")
-            # Far down, only what is dropped or a main part within something else holds its own children.
-            deep = len(stack) > DEEP and (not node.part or holder.part in ("drop", node.part))
+            # Far down, only what is dropped, a heading, or the first main part of its kind, holds its own children.
+            plain = not node.part and (tag not in HEADINGS or holder.tag in HEADINGS)
+            known = holder.part == "drop" or (node.part != "drop" and opened[node.part])
+            deep = len(stack) > DEEP and (plain or known)
+            opened[node.part] += node.part in ("article", "main", "header")
             holders.append(holder if deep else node)
     return root
 
@@ -424,10 +444,30 @@ def extract(page: str | None, text: str | None = None, constant: frozenset[int]
             for region in regions:
                 _blocks(region, template, blocks, whole_page=not wanted)
             if blocks or not wanted:
+                if blocks or _regions(root, "article") or _regions(root, "main"):
+                    return " ".join(blocks)
+                # Nothing else is there: a part named by a subject word, or a linked paragraph.
+                for linked in (False, True):
+                    _blocks(root, template, blocks, whole_page=True, spare=True, linked_paragraphs=linked)
+                    if blocks:
+                        break
                 return " ".join(blocks)
     return ""
 
 
+def _links(node: Node) -> bool:
+    return any(isinstance(c, Node) and (c.tag == "a" or _links(c)) for c in node.children)
+
+
+def _kept(node: Node, whole_page: bool, spare: bool) -> bool:
+    """Whether a part that is dropped by words of its class or id stays after all."""
+    if not node.named:
+        return False
+    if not whole_page and node.named <= MENU_WORDS:
+        return not _links(node)
+    return spare and node.named <= SUBJECT_WORDS
+
+
 def _regions(node: Node, part: str) -> list[Node]:
     """The outermost elements that are such a part."""
     found = []
@@ -437,15 +477,16 @@ def _regions(node: Node, part: str) -> list[Node]:
     return found
 
 
-def _blocks(region: Node, template: set[int], out: list[str], whole_page: bool) -> None:
+def _blocks(region: Node, template: set[int], out: list[str], whole_page: bool, spare: bool = False, linked_paragraphs: bool = False) -> None:
+    """Adds the region's blocks; ``spare`` keeps parts named by subject words, too."""
     parts: list[str] = []
     linked = 0
 
-    def flush() -> None:
+    def flush(paragraph: bool = False) -> None:
         nonlocal linked
         block = " ".join("".join(parts).split())
         parts.clear()
-        if block and not (whole_page and linked > LINK_SHARE * len(block)):
+        if block and not (whole_page and not (paragraph and linked_paragraphs) and linked > LINK_SHARE * len(block)):
             out.append(block)
         linked = 0
 
@@ -458,7 +499,7 @@ def _blocks(region: Node, template: set[int], out: list[str], whole_page: bool)
                     if in_link:
                         linked += len(child.strip())
                 continue
-            if child.part == "drop" or (child.part == "header" and whole_page):
+            if (child.part == "drop" and not _kept(child, whole_page, spare)) or (child.part == "header" and whole_page):
                 if child.tag not in INLINE:
                     flush()
                 continue
@@ -468,7 +509,7 @@ def _blocks(region: Node, template: set[int], out: list[str], whole_page: bool)
             flush()
             headings = (only_headings or child.part == "header") and child.tag not in HEADINGS
             walk(child, in_link, headings, id(child) in template)
-            flush()
+            flush(child.tag == "p")
 
     walk(region, False, False, id(region) in template)
     flush()

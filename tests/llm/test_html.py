@@ -147,3 +147,28 @@ def test_very_long_page(spark):
     rows = [(i, "http://l.example/", f"<html><body><nav>no</nav><article>{body}<p>{i}</p></article></body></html>") for i in range(6)]
     got = {r["page_id"]: r["text"] for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: str(i) for i in range(6)}  # 4,500 blocks that no page changes are template
+
+
+def test_subject_words_outside_articles():
+    for part in ("<div class='popular-science'>The sun</div>", "<section id='discussion'>The sun</section>", "<div class='alert-system-story'>The sun</div>", "<p><a href=x>The sun</a></p>"):
+        assert H.extract(page(part, "")) == "The sun"
+    assert H.extract("<p>Intro</p><div class='popular-science'>The sun</div><div class='popular-posts'>no</div>") == "Intro The sun"
+    assert H.extract("<p>Intro</p><section id='discussion'>no</section><p><a href=x>no</a></p>") == "Intro"
+    for part in ("<div class='comments'>no</div>", "<div class='site-menu'>no</div>", "<article></article><div id='related'>no</div>", "<ul><li><a href=x>no</a></ul>"):
+        assert H.extract(page(part, "")) == ""
+
+
+def test_an_articles_formulas_and_fallbacks_stay():
+    inner = "<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math>.</p><object data=x>A table</object><noscript><p>A figure</p></noscript><div class='menu'>Soup of the day</div><div class='menu'><a href=x>no</a></div>"
+    assert H.extract(page(f"<article>{inner}</article>")) == "So x=1. A table A figure Soup of the day"
+    assert H.extract("<noscript>no</noscript><p>yes</p>") == "yes"
+
+
+def test_main_parts_at_any_depth():
+    kinds = [("main", "article", "Deep"), ("header", "article", "Deep"), ("article", "header", "Deep"), ("aside", "main", "after")]
+    kinds += [("div class='ad'", "article", "after"), ("h1", "header", "after"), ("h1", "div", "Deep after")]
+    for n in (3, 99, 100, 101, 5_000):
+        for a, b, want in kinds:
+            tree = f"<{a}><{b}>" * n + "<h2>Deep</h2>" + f"</{b.split()[0]}></{a.split()[0]}>" * n
+            assert H.extract(tree + "<p>after</p>") == want
+            assert H.align(H.folded(tree), H.folded(tree), []) > 0

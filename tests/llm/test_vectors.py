@@ -69,3 +69,22 @@ def test_repeated_ids_and_large_components(spark):
     assert got == [(3, 0.5e200 + 9e200), (2, 9.0), (1, 0.5), (4, 0.5e-200)]
     whole = [(r["vec_id"], r["score"]) for r in topk.exact_top(df.filter("vec_id < 3"), ann.every_nth(50)).orderBy("rank").collect()]
     assert whole == [(2, 9 * 256 * 256), (1, 128 * 256)]
+
+
+def test_exact_beyond_doubles(spark):
+    whole = lambda v: [int(256 * x) if abs(x) > 2**45 else math.floor(256 * x) for x in v]
+    dot = lambda a, b: sum(x * y for x, y in zip(whole(a), whole(b), strict=True))
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(c) for c in rng.normal(size=3) * 10.0 ** rng.integers(0, 4)]) for i in range(1, 120) if i not in (50, 100)]
+    rows += [(0, [1.0, 2.0, 0.0]), (150, [0.0, 1e6, 0.0]), (200, [-1e17, -1e17, 0.0]), (201, [3e12, -3e12, 0.001])]
+    rows += [(203, [1e10, 1e3, 0.0]), (250, [1e6, 1e6 + 1, 0.0]), (300, [0.0, 0.0, 1e15]), (301, [0.0, 0.0, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    best = {q: sorted(((dot(a, b), -i) for i, b in rows if i != q), reverse=True)[:5] for q, a in rows if q % 50 == 0}
+    fits = {q for q, found in best.items() if all(abs(s) < 2**63 for s, _ in found)}
+    assert fits == {0, 150} and len(best) == 5
+    fitting = topk.exact_top(df, F.col("id").isin(*fits)).collect()
+    assert {(r["query_id"], r["rank"]): (r["score"], -r["vec_id"]) for r in fitting} == {(q, n): x for q in fits for n, x in enumerate(best[q], 1)}
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.exact_top(df, ann.every_nth(50)).collect()
+    with pytest.raises(Exception, match="not finite"):
+        topk.exact_top(spark.createDataFrame([(0, [1e307]), (1, [1.0])], df.schema), ann.every_nth(50)).collect()
