@@ -3,9 +3,9 @@
 A feature table has ``frame`` and ``features array<double>``. Fitting takes one
 aggregation pass: every task sums its rows' outer products with numpy, and one small
 row a task is added up. Only the moments, a matrix of the number of features, reach
-the driver. Principal components of more than ``MAX_FEATURES`` features come from
-subspace iteration: a pass over the rows multiplies a thin block by their covariance,
-so what reaches the driver is as wide as the components asked for.
+the driver. Components of more than ``MAX_FEATURES`` features are iterated for
+(time-lagged ones in ``lagged``): a pass over the rows multiplies a thin block by their
+covariance, so what reaches the driver is as wide as the components asked for.
 """
 
 from __future__ import annotations
@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orrery.functions.geometry import dihedral, point
-from orrery.session import ship_code
+from orrery.operators.lagged import leading
+from orrery.session import ship_code, staged
 
 #: Features whose square reaches the driver; principal components of more are iterated for.
 MAX_FEATURES = 4_000
@@ -195,20 +196,23 @@ def lag_pairs(features: DataFrame, lag: int, column: str = "features", partition
     return features.withColumn("later", F.lead(column, lag).over(over)).filter("later is not null").select(*(partition or []), "frame", F.col(column).alias("now"), "later")
 
 
-def fit_tica(features: DataFrame, lag: int = 1, n_components: int = 2, column: str = "features", partition: list[str] | None = None) -> Projection:
+def fit_tica(features: DataFrame, lag: int = 1, n_components: int = 2, column: str = "features", partition: list[str] | None = None, max_features: int = MAX_FEATURES) -> Projection:
     """Time-lagged components: reversible, mean removed, scaled as a kinetic map.
 
-    At most ``MAX_FEATURES`` features, as both covariances are solved on the driver:
-    project more onto their principal components first.
+    Up to ``max_features`` features both covariances are solved on the driver. Beyond,
+    the components are iterated for over a written table of the pairs; the shares of
+    variance, which need all speeds, are then NaN.
     """
     k = width(features, column)
-    if k > MAX_FEATURES:
-        raise ValueError(f"at most {MAX_FEATURES} features; project onto principal components first")
     if not 1 <= n_components <= k:
         raise ValueError(f"n_components must lie between 1 and {k}")
     pairs = lag_pairs(features, lag, column, partition)
     if pairs.isEmpty():
         raise ValueError("lag is not shorter than the trajectory")
+    if k > max_features:
+        pairs = staged(pairs.select("now", "later"), "lag-pairs")
+        mean, speeds, axes = leading(pairs, pairs.count(), k, n_components)
+        return Projection(mean, np.ones(k), (_signed(axes) * speeds).T, np.full(len(speeds), np.nan))
     n, (a, b), outer = moments(pairs, ["now", "later"])
     mean = (a + b) / (2 * n)
     c0 = (outer["now", "now"] + outer["later", "later"]) / (2 * n) - np.outer(mean, mean)

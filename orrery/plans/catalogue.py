@@ -17,7 +17,8 @@ from orrery.functions.similarity import METRICS
 from orrery.operators import clustering as cl
 from orrery.operators import decomposition as dc
 from orrery.operators import distance as ds
-from orrery.operators import fes, fingerprints, frames, metrics, prep, status
+from orrery.operators import fes, fingerprints, frames, lagged, metrics, prep, status
+from orrery.session import staged
 from orrery.sources.text import first_match
 from orrery.streaming.events import windowed_means
 
@@ -477,6 +478,29 @@ def _tica(spark, d):
     return dc.project(rows.select("frame", "features"), dc.fit_tica(rows, 3, 2, partition=["replica"]))
 
 
+TICA_PLANE = f"""WITH {FT}, p AS (SELECT v, lead(v, 3) OVER (PARTITION BY replica ORDER BY frame) AS w FROM ft),
+t AS (SELECT v[1] AS a, v[2] AS b, w[1] AS c, w[2] AS d FROM p WHERE w IS NOT NULL), m AS (SELECT avg(a+c)/2 AS m1, avg(b+d)/2 AS m2 FROM t),
+e AS (SELECT a-m1 AS a, b-m2 AS b, c-m1 AS c, d-m2 AS d FROM t, m),
+c AS (SELECT avg(a*a+c*c)/2 AS xx, avg(a*b+c*d)/2 AS xy, avg(b*b+d*d)/2 AS yy, avg(a*c) AS lxx, avg(a*d+b*c)/2 AS lxy, avg(b*d) AS lyy FROM e),
+r AS (SELECT (yy*lxx-2*xy*lxy+xx*lyy)/(xx*yy-xy*xy)/2 AS h, (lxx*lyy-lxy*lxy)/(xx*yy-xy*xy) AS q FROM c),
+s AS (SELECT 1 AS component, h+sqrt(h*h-q) AS speed FROM r UNION ALL SELECT 2, h-sqrt(h*h-q) FROM r)"""
+
+
+@query("tica_speeds_iterated", f"{TICA_PLANE} SELECT component, round(speed, 7) AS speed FROM s")
+def _tica_iterated(spark, d):
+    plane = features(spark, d).withColumn("features", F.slice("features", 1, 2))
+    pairs = staged(dc.lag_pairs(plane, 3, partition=["replica"]), "plane-pairs")
+    speeds = lagged.leading(pairs, pairs.count(), 2, 2)[1]
+    return spark.createDataFrame([(i, round(float(s), 7)) for i, s in enumerate(speeds, 1)], "component int, speed double")
+
+
+@query("tica_explained_variance", f"{TICA_PLANE} SELECT component, round(speed*speed/sum(speed*speed) OVER (), 6) AS ratio, round(sum(speed*speed) OVER (ORDER BY component)/sum(speed*speed) OVER (), 6) AS cumulative FROM s")
+def _tica_variance(spark, d):
+    plane = features(spark, d).withColumn("features", F.slice("features", 1, 2))
+    told = dc.explained_variance(dc.fit_tica(plane, 3, 2, partition=["replica"]), spark)
+    return told.select("component", F.round("ratio", 6).alias("ratio"), F.round("cumulative", 6).alias("cumulative"))
+
+
 DIHEDRAL = """WITH p AS (SELECT vec_id AS frame, CAST(embedding AS DOUBLE[]) AS e, CAST(unnest(range(18)) AS INTEGER) AS k FROM embeddings),
 q AS (SELECT frame, k, e[3*k+4]-e[3*k+1] AS ux, e[3*k+5]-e[3*k+2] AS uy, e[3*k+6]-e[3*k+3] AS uz, e[3*k+7]-e[3*k+4] AS vx, e[3*k+8]-e[3*k+5] AS vy,
   e[3*k+9]-e[3*k+6] AS vz, e[3*k+10]-e[3*k+7] AS wx, e[3*k+11]-e[3*k+8] AS wy, e[3*k+12]-e[3*k+9] AS wz FROM p),

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from orrery.functions import selection
 from orrery.operators import decomposition as dc
 from orrery.operators import distance as ds
-from orrery.operators import fes, frames, metrics, surface
+from orrery.operators import fes, frames, lagged, metrics, surface
+from orrery.session import staged
 from orrery.sources import trajectory
 
 FRAMES = "frame long, time_ps double, atom int, x double, y double, z double"
@@ -273,6 +274,41 @@ def test_components(spark):
             bad()
 
 
+def slow_latents(rng, n, speeds):
+    out = np.zeros((n, len(speeds)))
+    for i in range(1, n):
+        out[i] = speeds * out[i - 1] + rng.normal(size=len(speeds))
+    return out
+
+
+def test_tica_iterated_equals_dense(spark, monkeypatch):
+    """200 features of full rank, in two trajectories, cut back on the way; then features of small rank."""
+    rng = np.random.default_rng(11)
+    x = np.vstack([slow_latents(rng, 1_500, 0.98 * 0.9 ** np.arange(200)) @ rng.normal(size=(200, 200)) / 14 for _ in range(2)]) + 30
+    df = spark.createDataFrame([(i % 1_500, i // 1_500, v) for i, v in enumerate(x.tolist())], "frame long, traj int, features array<double>").repartition(4)
+    whole = dc.fit_tica(df, 3, 3, partition=["traj"])
+    monkeypatch.setattr(lagged, "MOST", 8)
+    thin = dc.fit_tica(df, 3, 3, partition=["traj"], max_features=100)
+    size = np.abs(whole.components).max()
+    assert np.allclose(thin.mean, whole.mean) and np.allclose(thin.components, whole.components, atol=1e-4 * size)
+    assert np.isnan(thin.explained_variance_ratio).all()
+    few = df.withColumn("features", F.concat(F.slice("features", 1, 3), F.slice("features", 1, 3), F.array(F.lit(1.0))))
+    thin, whole = (dc.fit_tica(few, 3, 3, partition=["traj"], max_features=m) for m in (2, 100))
+    a, b = (np.array([r["features"] for r in dc.project(few, m).orderBy("traj", "frame").collect()]) for m in (thin, whole))
+    assert np.allclose(np.abs(a), np.abs(b), atol=1e-6)
+
+
+def test_tica_of_ten_thousand_features(spark):
+    rng = np.random.default_rng(12)
+    latents = slow_latents(rng, 400, np.array([0.97, 0.8, 0.5, 0.2, 0.1]))
+    mix = rng.normal(size=(5, 10_000))
+    small = spark.createDataFrame([(i, v) for i, v in enumerate(latents.tolist())], "frame long, features array<double>")
+    wide = spark.createDataFrame([(i, v) for i, v in enumerate((latents @ mix).tolist())], "frame long, features array<double>").repartition(8)
+    wide = staged(wide, "wide")
+    a, b = (np.array([r["features"] for r in dc.project(t, dc.fit_tica(t, 2, 2)).orderBy("frame").collect()]) for t in (wide, small))
+    assert np.allclose(np.abs(a), np.abs(b), atol=1e-6)
+
+
 def test_many_features(spark, monkeypatch):
     """Iterated components equal those of the whole covariance; null rows stay null."""
     rng = np.random.default_rng(8)
@@ -285,8 +321,6 @@ def test_many_features(spark, monkeypatch):
         thin = dc.fit_pca(df, 3, standardize)
         assert np.allclose(thin.explained_variance_ratio, whole.explained_variance_ratio, atol=1e-7)
         assert np.allclose(thin.components, whole.components, atol=1e-3) and np.allclose(thin.scale, whole.scale) and np.allclose(thin.mean, whole.mean)
-    with pytest.raises(ValueError):
-        dc.fit_tica(df, 5, 2)
     out = dc.project(df.unionByName(spark.createDataFrame([(999, None)], df.schema)), whole)
     got = {r["frame"]: r["features"] for r in out.collect()}
     assert got[999] is None and len(got) == 301 and np.allclose(got[7], whole.components @ (x[7] - whole.mean))
