@@ -94,6 +94,7 @@ LAYOUT_WORDS = frozenset("sidebar sidebars rail nav navbar navigation menu heade
 NO_ARTICLE_WORDS = frozenset("comment comments reply replies related recommended recommendations promo promoted sponsored ad advert advertisement widget popular teaser".split())
 # Elements that make a page's layout, and how many levels of them count.
 LAYOUT_TAGS, LAYOUT_LEVELS = frozenset("div section article main header table center".split()), 2
+ARTICLE_OR_PLAIN = ARTICLE_WORDS | PLAIN_WORDS
 # Words of ``DROPPED_WORDS`` that may as well name a subject: other words beside them keep a part.
 SUBJECT_WORDS = DROPPED_WORDS - ARTICLE_WORDS - LAYOUT_WORDS
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -104,6 +105,7 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _RAW_END = {tag: re.compile(f"</{tag}(?=[\\s/>])[^>]*>?", re.I) for tag in RAW}
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 _CACHE: dict[str, "Node"] = {}
+NONE: frozenset[str] = frozenset()
 
 
 class Node:
@@ -113,13 +115,13 @@ class Node:
 
     def __init__(self, tag: str, label: str = "", part: str = "", soft: bool = False):
         self.tag, self.label, self.part, self.soft, self.children = tag, label or tag, part, soft, []
-        self.named: frozenset[str] = frozenset()
+        self.named = NONE
 
 
 def _open(tag: str, attributes: str, in_article: bool) -> Node:
     """The node of a start tag; ``part`` says that it is dropped, or a main part."""
     part = "drop" if tag in DROPPED else tag if tag in ("article", "main", "header") else ""
-    label, soft, by_words, lasting = tag, part != "drop", set(), part == "drop"
+    label, soft, by_words, lasting = tag, part != "drop", NONE, part == "drop"
     if attributes and not attributes.isspace():
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
@@ -127,14 +129,14 @@ def _open(tag: str, attributes: str, in_article: bool) -> Node:
                 label += f"{'.' if name == 'class' else '#'}{re.sub('[0-9]+', '', value)}"
                 words = {w.lower() for w in _WORDS.findall(value)}
                 if in_article and tag != "article":
-                    named = words & ARTICLE_WORDS if words <= ARTICLE_WORDS | PLAIN_WORDS and tag not in INLINE else frozenset()
+                    named = words & ARTICLE_WORDS if words <= ARTICLE_OR_PLAIN and tag not in INLINE else frozenset()
                 else:
                     named = words & (NO_ARTICLE_WORDS if tag == "article" else DROPPED_WORDS)
-                    if tag != "article" and named <= SUBJECT_WORDS and words - DROPPED_WORDS - PLAIN_WORDS - SITE_WORDS:
-                        named = frozenset()
+                    if named and tag != "article" and named <= SUBJECT_WORDS and words - DROPPED_WORDS - PLAIN_WORDS - SITE_WORDS:
+                        named = NONE
                 if named and tag not in ("html", "body", "main"):
                     part, soft = "drop", soft and not in_article and named <= LAYOUT_WORDS and tag != "article"
-                    by_words |= named
+                    by_words = by_words | named
             elif name == "role":
                 role = value.lower()
                 lasting = lasting or role in DROPPED_ROLES
@@ -145,7 +147,7 @@ def _open(tag: str, attributes: str, in_article: bool) -> Node:
                 part, soft, lasting = "drop", False, True
     node = Node(tag, label, part, soft)
     if part == "drop" and not lasting and tag != "article":
-        node.named = frozenset(by_words)
+        node.named = by_words
     return node
 
 
@@ -159,8 +161,9 @@ def parse(text: str) -> Node:
     def close(i: int) -> None:
         nonlocal articles
         for node, holder in zip(stack[i:], holders[i:], strict=True):
-            articles -= node.part in ("article", "main")
-            opened[node.part] -= node.part in ("article", "main", "header")
+            if node.part and node.part != "drop":  # what becomes a plain part later was never counted
+                articles -= node.part != "header"
+                opened[node.part] -= 1
             if holder is not node and node.tag not in INLINE:  # an end that stands for the flattened element's
                 holder.children.append(Node(node.tag))
         del stack[i:], holders[i:]
@@ -217,11 +220,14 @@ def parse(text: str) -> Node:
             stack.append(node)
             articles += node.part in ("article", "main")
             # Far down, only what is dropped, a heading, or the first main part of its kind, holds its own children.
-            plain = not node.part and (tag not in HEADINGS or holder.tag in HEADINGS)
-            known = holder.part == "drop" or (node.part != "drop" and opened[node.part])
-            deep = len(stack) > DEEP and (plain or known)
-            opened[node.part] += node.part in ("article", "main", "header")
-            holders.append(holder if deep else node)
+            if len(stack) > DEEP:
+                plain = not node.part and (tag not in HEADINGS or holder.tag in HEADINGS)
+                known = holder.part == "drop" or (node.part != "drop" and opened[node.part])
+                holders.append(holder if plain or known else node)
+            else:
+                holders.append(node)
+            if node.part and node.part != "drop":
+                opened[node.part] += 1
     return root
 
 
