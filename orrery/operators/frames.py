@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from orrery.functions.selection import IONS, compile_selection, is_water, select_atoms
 
+#: Frame numbers that are counted together.
+PLACE_BUCKET = 1 << 16
+
 
 def frame_count(frames: DataFrame) -> int:
     """One more than the last frame's number; 0 if there is none."""
@@ -70,20 +73,43 @@ def subsample_frames(frames: DataFrame, n: int) -> DataFrame:
     return frames.filter((near[0] & inside[0]) | (near[1] & inside[1]) | (near[2] & inside[2]))
 
 
+def frame_places(frames: DataFrame) -> DataFrame:
+    """``frame`` (and ``traj_id`` if there) and ``frame_place``: how many of the trajectory's frames lie before it.
+
+    Frames are numbered within buckets of their number; only the buckets' sizes are
+    added up in one window, a row for ``PLACE_BUCKET`` frames.
+    """
+    keys = [c for c in ("traj_id",) if c in frames.columns]
+    own = frames.select(*keys, "frame").filter("frame is not null").distinct().withColumn("frame_bucket", F.floor(F.col("frame") / PLACE_BUCKET))
+    before = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("frame_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = own.groupBy(*keys, "frame_bucket").agg(F.count("*").alias("n")).withColumn("frame_place", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    within = Window.partitionBy(*keys, "frame_bucket").orderBy("frame")
+    numbered = own.withColumn("n_before", F.row_number().over(within) - 1)
+    # A trajectory without an id is one of its own.
+    same = F.lit(True)
+    for c in [*keys, "frame_bucket"]:
+        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    both = numbered.alias("a").join(sizes.alias("b"), same)
+    return both.select(*[f"a.{c}" for c in keys], "a.frame", (F.col("b.frame_place") + F.col("a.n_before")).alias("frame_place"))
+
+
 def frame_times(frames: DataFrame, timestep_ps: float | None = None) -> DataFrame:
     """Sets ``time_ps``: the frame's place times ``timestep_ps`` if given, else the file's time, else the place.
 
-    Places count the frames there are, so those of a strided load are 0, 1, 2 and so on.
+    Places count the frames there are, so those of a strided load are 0, 1, 2 and so on,
+    in each trajectory where there is a ``traj_id``. Rows without a frame are left out.
     """
     if timestep_ps is None and frames.filter("time_ps is null").isEmpty():
         return frames
-    # One row a frame, without its atoms.
-    order = Window.partitionBy(F.lit(0)).orderBy("frame")
-    places = frames.select("frame").distinct().withColumn("frame_place", (F.row_number().over(order) - 1).cast("double"))
-    place = F.col("frame_place")
+    places = frame_places(frames)
+    place = F.col("frame_place").cast("double")
     time = F.coalesce(F.col("time_ps"), place) if timestep_ps is None else place * timestep_ps
     names = frames.columns if "time_ps" in frames.columns else [*frames.columns, "time_ps"]
-    return frames.join(places, "frame").withColumn("time_ps", time).select(*names)
+    same = F.col("f.frame") == F.col("p.frame")
+    if "traj_id" in frames.columns:
+        same = same & F.col("f.traj_id").eqNullSafe(F.col("p.traj_id"))
+    both = frames.alias("f").join(places.alias("p"), same)
+    return both.select(*[time.alias(c) if c == "time_ps" else F.col(f"f.{c}") for c in names])
 
 
 def with_units(df: DataFrame) -> DataFrame:

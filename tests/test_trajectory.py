@@ -411,3 +411,16 @@ def test_files(spark, tmp_path, cloud):
     (tmp_path / "a.gro").write_text("t\n    2\n    1ALA      N    1   0.100   0.200   0.300\n    1ALA     CA    2   0.400   0.500   0.600\n   1.0   1.0   1.0\n")
     f, a = trajectory.read_gro(spark, f"{tmp_path}/a.gro")
     assert a.count() == 2 and f.filter("atom = 1").first()["z"] == pytest.approx(0.6)
+
+
+def test_places_of_several_trajectories(spark, monkeypatch):
+    rows = [(t, f, a, None) for t, numbers in (("a", range(0, 200, 10)), ("b", range(5, 90, 7)), (None, (3, 1))) for f in numbers for a in (0, 1)]
+    df = spark.createDataFrame([*rows, ("a", None, 0, None)], "traj_id string, frame long, atom int, time_ps double")
+    want = {(t, f): 2.0 * n for t, numbers in (("a", range(0, 200, 10)), ("b", range(5, 90, 7)), (None, (1, 3))) for n, f in enumerate(numbers)}
+    for bucket in (16, 1 << 16):
+        monkeypatch.setattr(frames, "PLACE_BUCKET", bucket)
+        got = frames.frame_times(df, 2.0).collect()
+        assert len(got) == len(rows) and {(r["traj_id"], r["frame"]): r["time_ps"] for r in got} == want
+        alone = frames.frame_times(df.filter("traj_id = 'b'").drop("traj_id")).select("frame", "atom", "time_ps").collect()
+        assert {r["frame"]: r["time_ps"] for r in alone} == {f: float(n) for n, f in enumerate(range(5, 90, 7))}
+    assert frames.frame_times(df.limit(0), 1.0).count() == 0
