@@ -42,3 +42,58 @@ def test_packed_bits(spark):
     bits = [True] * 3 + [False] * 60 + [True] + [None, True]
     row = spark.createDataFrame([(bits,), (None,)], "b array<boolean>").select(fg.pack_bits(F.col("b"), 70).alias("w")).collect()
     assert row[0]["w"] == [7 - 2**63, 2] and row[1]["w"] == [0, 0]
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    from orrery.operators import blocks
+
+    monkeypatch.setattr(blocks, "ROWS", 40)
+    monkeypatch.setattr(blocks, "TILE", 16)
+
+
+def _points(n=150, seed=3):
+    v = np.random.default_rng(seed).normal(size=(n, 4)) * 0.5
+    v[7] = v[3]
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(2))
+    return v, d
+
+
+def _features(spark, v):
+    return spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "frame long, features array<double>")
+
+
+def test_space_counts_sums_links(spark, small_blocks):
+    v, d = _points()
+    features = _features(spark, v)
+    space, pairs = cl.feature_space(features), cl.feature_pairs(features)
+    assert pairs.count() == 150 * 149 // 2
+    n = {r.frame: r.n for r in cl.neighbour_counts(space, features, 0.5).collect()}
+    assert n == {i: int((d[i] <= 0.5).sum()) for i in range(150)}
+    labels = features.select("frame", (F.col("frame") % 3).alias("label"))
+    assert sorted(cl.medoids(space, labels).collect()) == sorted(cl.medoids(pairs, labels).collect())
+    for same in (lambda p: cl.dbscan(p, features, 0.4, 4), lambda p: cl.hierarchical(p, features, "single", 0.35)):
+        assert sorted(same(space).collect()) == sorted(same(pairs).collect())
+
+
+def test_greedy_of_more_edges_than_are_listed(spark, small_blocks, monkeypatch):
+    v, _ = _points()
+    features = _features(spark, v)
+    listed = sorted(cl.gromos(cl.feature_pairs(features, 0.5), features, 0.5).collect())
+    monkeypatch.setattr(cl, "MAX_EDGES", 30)
+    monkeypatch.setattr(cl, "TRIED", 20)
+    assert sorted(cl.gromos(cl.feature_space(features), features, 0.5).collect()) == listed
+
+
+def test_rmsd_tile_equals_superposition(spark):
+    from orrery.operators.blocks import least_rmsd
+
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=(6, 5, 3)), rng.normal(size=(7, 5, 3))
+    b[0] = a[1] @ np.array([[0.0, 1, 0], [0, 0, 1], [1, 0, 0]]) + 3
+    got = least_rmsd(a.reshape(6, 15), b.reshape(7, 15))
+    for i, j in itertools.product(range(6), range(7)):
+        p, q = a[i] - a[i].mean(0), b[j] - b[j].mean(0)
+        w, s, t = np.linalg.svd(p.T @ q)
+        s[2] *= np.sign(np.linalg.det(w @ t))
+        assert math.isclose(got[i, j], math.sqrt(max(0, (p**2).sum() + (q**2).sum() - 2 * s.sum()) / 5), abs_tol=1e-6)
