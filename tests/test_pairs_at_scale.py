@@ -80,7 +80,7 @@ def test_greedy_of_more_edges_than_are_listed(spark, small_blocks, monkeypatch):
     v, _ = _points()
     features = _features(spark, v)
     listed = sorted(cl.gromos(cl.feature_pairs(features, 0.5), features, 0.5).collect())
-    monkeypatch.setattr(cl, "MAX_EDGES", 30)
+    monkeypatch.setattr(cl, "LISTED", 30)
     monkeypatch.setattr(cl, "TRIED", 20)
     assert sorted(cl.gromos(cl.feature_space(features), features, 0.5).collect()) == listed
 
