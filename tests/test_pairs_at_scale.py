@@ -97,3 +97,24 @@ def test_rmsd_tile_equals_superposition(spark):
         w, s, t = np.linalg.svd(p.T @ q)
         s[2] *= np.sign(np.linalg.det(w @ t))
         assert math.isclose(got[i, j], math.sqrt(max(0, (p**2).sum() + (q**2).sum() - 2 * s.sum()) / 5), abs_tol=1e-6)
+
+
+def test_butina_of_more_edges_than_are_listed(spark, small_bits, small_blocks, monkeypatch):
+    _, fps = small_bits
+    points = fps.select(F.col("mol_id").alias("frame"))
+    near = fg.pair_similarities(fps, 64, "tanimoto", 0.35).select(F.col("j").alias("i"), F.col("i").alias("j"))
+    listed = sorted(cl.butina(near, points).collect())
+    monkeypatch.setattr(cl, "LISTED", 5)
+    monkeypatch.setattr(cl, "TRIED", 10)
+    assert sorted(fg.cluster(fps, 64, 0.35).select("cluster_id", F.col("mol_id").alias("frame"), "is_centroid", "size").collect()) == listed
+
+
+def test_similarities_of_arrays(spark):
+    from orrery.functions.similarity import METRICS, VALUES
+
+    rows = [(c, a, b) for a in range(5) for b in range(5) for c in range(min(a, b) + 1)]
+    df = spark.createDataFrame(rows, "c int, a int, b int")
+    c, a, b = (np.array(x, float) for x in zip(*rows, strict=True))
+    got = df.select("c", "a", "b", *[m(F.col("c"), F.col("a"), F.col("b"), F.lit(8)).alias(k) for k, m in METRICS.items()]).collect()
+    for k in METRICS:
+        assert {(r.c, r.a, r.b): r[k] for r in got} == dict(zip(rows, VALUES[k](c, a, b, 8).tolist(), strict=True))
