@@ -118,3 +118,27 @@ def test_similarities_of_arrays(spark):
     got = df.select("c", "a", "b", *[m(F.col("c"), F.col("a"), F.col("b"), F.lit(8)).alias(k) for k, m in METRICS.items()]).collect()
     for k in METRICS:
         assert {(r.c, r.a, r.b): r[k] for r in got} == dict(zip(rows, VALUES[k](c, a, b, 8).tolist(), strict=True))
+
+
+def test_density_tree_from_spanning_forests(spark, small_blocks, monkeypatch):
+    from orrery.operators import blocks
+
+    v, _ = _points(230, 9)
+    v = np.vstack([v, v[:12], v[:12], v[:12] + 6, np.full((8, 4), 9.0)])  # copies: ties
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "frame long, features array<double>")
+    monkeypatch.setattr(blocks, "SQUARE", 24)
+    for k in (1, 3, 5):
+        want = {r.frame: r.label for r in cl.hdbscan(cl.feature_pairs(df), df, 5, k).collect()}
+        monkeypatch.setattr(cl, "MAX_POINTS", 100)  # of points none is asked for
+        space = cl.feature_space(df)
+        assert {r.frame: r.label for r in cl.hdbscan(space, df, 5, k).collect()} == want and len(set(want.values())) > 2
+        monkeypatch.setattr(cl, "FOREST_EDGES", 300)
+        assert {r.frame: r.label for r in cl.hdbscan(space, df, 5, k).collect()} == want
+        monkeypatch.undo()
+        monkeypatch.setattr(blocks, "ROWS", 40)
+        monkeypatch.setattr(blocks, "TILE", 16)
+        monkeypatch.setattr(blocks, "SQUARE", 24)
+    # Edges that leave a task are of the points and blocks, not of the pairs.
+    core = df.select("frame", F.lit(0.0).alias("c"))
+    space = cl.feature_space(df)
+    assert space.spanning(core).count() <= len(v) * (len(v) // space.per + 2)
