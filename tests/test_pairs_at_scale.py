@@ -142,3 +142,18 @@ def test_density_tree_from_spanning_forests(spark, small_blocks, monkeypatch):
     core = df.select("frame", F.lit(0.0).alias("c"))
     space = cl.feature_space(df)
     assert space.spanning(core).count() <= len(v) * (len(v) // space.per + 2)
+
+
+@pytest.mark.parametrize("linkage", ["average", "complete"])
+def test_linkage_in_rounds_of_mutual_nearest(spark, small_blocks, monkeypatch, linkage):
+    v, _ = _points(170, 21)
+    v = np.vstack([v, v[:9], v[:9], v[40:44] + 1e-3])
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "frame long, features array<double>")
+    pairs, space = cl.feature_pairs(df), cl.feature_space(df)
+    got = lambda p, **how: {r.frame: r.label for r in cl.hierarchical(p, df, linkage, **how).collect()}
+    wanted = [(how, got(pairs, **how)) for how in ({"distance_threshold": 0.9}, {"distance_threshold": None, "n_clusters": 12})]
+    monkeypatch.setattr(cl, "MAX_POINTS", 100)  # of points none is asked for
+    for linked in (6_000, 60):
+        monkeypatch.setattr(cl, "LINKED", linked)
+        for how, want in wanted:
+            assert got(space, **how) == want and 3 < len(set(want.values())) < 150
