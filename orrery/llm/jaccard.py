@@ -11,8 +11,9 @@ the children named by its tokens there. So two texts of similarity s meet in a
 child for each chosen token that they share. A node of at most ``BUCKET`` texts is
 compared by brute force; a larger one has a representative first: texts whose sketch
 agrees with its in ``REP_AGREEMENT`` are candidates with it, and near copies of it
-(``SETTLED``) are done, for a text near to such a copy is no further from the
-representative than two distances together, so it has become a candidate too. The others
+(``SETTLED``) are done, for a text that would be a candidate with such a copy differs from the
+representative in no more places than the two differences together, so it has become a candidate too: nothing
+is lost by it. The others
 are split again, up to ``DEPTH`` times, and
 what is then still together is taken as one group of candidates. So a large group of
 near copies is settled at its first node. Of a pair at the
@@ -52,10 +53,11 @@ SKETCH, BRANCHES, BUCKET, DEPTH = 64, 2, 24, 5
 #: Sketches that agree in less than this share are not candidates: 6 standard deviations below the threshold, so
 #: no run loses a pair by it though all runs share the sketch.
 LEAST_AGREEMENT = 0.5
-#: Of sketches of a large node: the share in which a text agrees with the representative to be a candidate with it, and
-#: that of a copy which goes no further. A text at the threshold from a copy at 0.75 is at 0.55 or more from the
-#: representative, 4 standard deviations above the first share.
-REP_AGREEMENT, SETTLED = 0.3, 0.75
+#: Of sketches of a large node: the share in which a copy agrees with the representative that goes no further, and the one in
+#: which a text is a candidate with it. Places in which sketches differ add up at most, so a text that agrees with such a copy
+#: in ``LEAST_AGREEMENT`` always reaches the second share.
+SETTLED = 0.625
+REP_AGREEMENT = SETTLED + LEAST_AGREEMENT - 1
 #: Texts of a block of the exact comparison.
 BLOCK = 192
 #: Characters of text whose words are hashed at once.

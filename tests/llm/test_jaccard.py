@@ -158,3 +158,27 @@ def test_a_group_of_near_copies_is_settled_at_its_first_node(spark, monkeypatch)
     sets = [{tuple(t.split()[i : i + 5]) for i in range(196)} for _, t in docs]
     want = [sum(len(a & b) >= 0.8 * len(a | b) - 1e-9 for b in sets) - 1 for a in sets]
     assert [r.n_links for r in sorted(rows)] == want
+
+
+def test_what_is_near_a_settled_copy_is_a_candidate_with_the_representative(spark):
+    from orrery.llm.common import fnv_mix
+
+    runs = jaccard.runs_for(jaccard.RECALL)
+    nodes = np.array([r[0] for r in spark.range(1, runs + 1).select(F.xxhash64(F.lit("run"), F.col("id").cast("int"))).collect()], np.int64).astype(np.uint64)
+    order = fnv_mix(fnv_mix(nodes[:, None], 3) + np.arange(jaccard.SKETCH, dtype=np.uint64)[None, :], 4)
+    chosen = np.unique(np.argpartition(order, jaccard.BRANCHES - 1, axis=1)[:, : jaccard.BRANCHES])
+    others = np.setdiff1d(np.arange(jaccard.SKETCH), chosen)
+    rep = np.arange(1_000, 1_064, dtype=np.uint32)
+    copy, text = rep.copy(), np.arange(9_000, 9_064, dtype=np.uint32)
+    copy[others[:16]] += 500  # agrees with the representative in 48 places of 64
+    text[chosen], text[others[:16]] = rep[chosen], copy[others[:16]]
+    text[others[16 : 32 - len(chosen)]] = rep[others[16 : 32 - len(chosen)]]
+    assert (text == copy).mean() == 0.5 and (text == rep).mean() == 0.25
+    rows = [(b"\0", rep), (b"\1", copy), (b"\2", text)]
+    for i in range(40):
+        filler = np.arange(64, dtype=np.uint32) + 100_000 * (i + 1)
+        filler[chosen] = rep[chosen]
+        rows.append((bytes([3, i]), filler))
+    texts = spark.createDataFrame([(k, s.tobytes()) for k, s in rows], "key binary, sketch binary")
+    links = {frozenset((bytes(r.a), bytes(r.b))) for r in jaccard.candidates(texts).collect()}
+    assert frozenset((b"\0", b"\1")) in links and links & {frozenset((b"\0", b"\2")), frozenset((b"\1", b"\2"))}
