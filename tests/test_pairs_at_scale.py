@@ -157,3 +157,20 @@ def test_linkage_in_rounds_of_mutual_nearest(spark, small_blocks, monkeypatch, l
         monkeypatch.setattr(cl, "LINKED", linked)
         for how, want in wanted:
             assert got(space, **how) == want and 3 < len(set(want.values())) < 150
+
+
+@pytest.mark.parametrize("metric", ["tanimoto", "cosine"])
+def test_search_keeps_the_best_in_blocks(small_bits, metric, monkeypatch):
+    rows, fps = small_bits
+    fps = fps.union(fps.selectExpr("mol_id + 100", "fp"))  # copies: ties
+    query = fps.filter("mol_id % 3 = 0")
+    monkeypatch.setattr(fg, "SEARCH_ROWS", 16)
+    monkeypatch.setattr(fg, "SEARCH_QUERIES", 10)
+    monkeypatch.setattr(fg, "SEARCH_TILE", 4)
+    found = fg.top_similar(query, fps, 64, 5, metric)
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()  # no row a pair
+    every: dict[int, list] = {}
+    for r in fg.bulk_similarity(query, fps, 64, metric).collect():
+        every.setdefault(r.query_id, []).append((-r.similarity, r.mol_id))
+    want = {(q, n + 1, m, -s) for q, own in every.items() for n, (s, m) in enumerate(sorted(own)[:5])}
+    assert {(r.query_id, r["rank"], r.mol_id, r.similarity) for r in found.collect()} == want
