@@ -10,6 +10,13 @@ from orrery.llm.common import staged
 
 #: A key with at least one in this many rows is hot; so there are at most as many, or twice as many where links count both ways.
 HOT = 1_000
+#: Rows of a task of a small table, and the tasks that it has at least.
+TASK_ROWS, TASKS = 20_000, 16
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which has about ``rows`` rows, in as many tasks as these need: where partitions are many, most of a small table's time is theirs."""
+    return df.coalesce(max(TASKS, -(-rows // TASK_ROWS)))
 
 
 def spread_join(rows: DataFrame, values: DataFrame, key: str, weight: str, how: str = "inner", hot: int = HOT) -> DataFrame:
@@ -19,13 +26,14 @@ def spread_join(rows: DataFrame, values: DataFrame, key: str, weight: str, how:
     such a key's rows meet theirs where they are; the others are joined by a shuffle. With ``how`` left,
     rows without a value, null keys too, stay.
     """
-    bound = max(2, -(-rows.count() // hot))
+    many = rows.count()
+    bound = max(2, -(-many // hot))
     columns = [c for c in values.columns if c != key]
     sent = F.broadcast(values.filter(F.col(weight) >= bound).withColumn("is_hot", F.lit(True)))
     first = rows.join(sent, key, "left")
     done = first.filter("is_hot").select(*rows.columns, *columns)
     rest = first.filter("is_hot is null").select(*rows.columns)
-    return done.union(rest.join(values.filter(F.col(weight) < bound), key, how).select(*rows.columns, *columns))
+    return small(done.union(rest.join(values.filter(F.col(weight) < bound), key, how).select(*rows.columns, *columns)), many)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -37,19 +45,21 @@ def components(links: DataFrame) -> DataFrame:
     once, and hubs aren't shuffled for the join with it. Each round is written to the
     shared folder.
     """
-    now = staged(links.select("a", "b").filter("a <> b").distinct(), "links")
+    # A star has no more links than before; both ways there are twice as many.
+    rows = 2 * links.count()
+    now = staged(small(links.select("a", "b").filter("a <> b").distinct(), rows), "links")
     seen = None
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
-        least = staged(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+        least = staged(small(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), rows), "least")
         large = spread_join(both.filter("v > u"), least, "u", "n").select(F.col("v").alias("a"), F.col("m").alias("b"))
         down = large.filter("a <> b").distinct().select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        down = staged(down, "stars")
-        least = staged(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "least")
-        small = spread_join(down, least, "u", "n").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b"))
-        now = staged(small.filter("a <> b").distinct(), "links")
+        down = staged(small(down, rows), "stars")
+        least = staged(small(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), rows), "least")
+        less = spread_join(down, least, "u", "n").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b"))
+        now = staged(small(less.filter("a <> b").distinct(), rows), "links")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break
         seen = state
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct())
+    return small(now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct()), rows)

@@ -21,8 +21,8 @@ threshold a run finds a share of at least the recursion's fixed point whatever t
 depth; ``runs_for`` gives the runs that reach the target recall.
 
 Candidates are verified exactly: the texts of a connected group of candidates are
-compared with one another over their whole shingle sets, in blocks of ``BLOCK``
-texts a side, so also a pair that no run brought together counts. A block emits
+compared with one another over their whole shingle sets, in blocks of about ``BLOCK``
+texts a side (fewer, if they are long), so also a pair that no run brought together counts. A block emits
 the number of links of each text and links enough to connect what is connected;
 the links of a large group are never listed.
 
@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.common import fnv_mix, ship_code, slices_by_chars, staged, worker_cache
-from orrery.llm.graph import components, spread_join
+from orrery.llm.graph import components, small, spread_join
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -58,8 +58,8 @@ LEAST_AGREEMENT = 0.5
 #: in ``LEAST_AGREEMENT`` always reaches the second share.
 SETTLED = 0.625
 REP_AGREEMENT = SETTLED + LEAST_AGREEMENT - 1
-#: Texts of a block of the exact comparison.
-BLOCK = 192
+#: Texts and words of a block of the exact comparison, about and at most.
+BLOCK, BLOCK_WORDS = 512, 1_000_000
 #: Characters of text whose words are hashed at once.
 SLICE_CHARS = 1_000_000
 #: Texts that at least one in so many documents copies are hot.
@@ -133,7 +133,7 @@ def text_key(words: np.ndarray) -> bytes:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    """(``id``, ``key``, ``sketch``) of documents (``id``, ``text``); no words: null."""
+    """(``id``, ``key``, ``sketch``, ``n_words``) of documents (``id``, ``text``); no words: null."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,9 +147,9 @@ def _texts(docs: DataFrame) -> DataFrame:
                     own, at = hashes[at : at + n], at + n
                     keys.append(text_key(own) if n else None)
                     sketches.append(sketch(shingles(own)).tobytes() if n else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())], ["id", "key", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(sketches, pa.binary()), pa.array(counts)], ["id", "key", "sketch", "n_words"])
 
-    return docs.mapInArrow(run, f"id {kind}, key binary, sketch binary")
+    return docs.mapInArrow(run, f"id {kind}, key binary, sketch binary, n_words long")
 
 
 def _children(nodes: DataFrame) -> DataFrame:
@@ -175,9 +175,9 @@ def _children(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "key", "sketch").mapInArrow(run, "node long, key binary")
 
 
-def _bucket_links(members: DataFrame) -> DataFrame:
-    """Pairs (``a``, ``b``) of small nodes whose sketches agree enough."""
-    dealt = members.select("node", "key", "sketch").repartition("node").sortWithinPartitions("node", "key")
+def _bucket_links(members: DataFrame, rows: int) -> DataFrame:
+    """Pairs (``a``, ``b``) of small nodes, of about ``rows`` members, whose sketches agree enough."""
+    dealt = small(members.select("node", "key", "sketch").repartition("node"), rows).sortWithinPartitions("node", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left_node, left_key, left_sketch = np.empty(0, np.int64), [], np.empty((0, SKETCH), np.uint32)
@@ -224,19 +224,20 @@ def candidates(texts: DataFrame, recall: float = RECALL, similarity: float = SIM
     links, live = [], texts
     for depth in range(1, DEPTH + 1):
         nodes = staged(_children(nodes), f"nodes{depth}")
+        rows = nodes.count()
         sizes = nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-        met = staged(nodes.join(sizes, "node"), f"met{depth}")
+        met = staged(small(nodes.join(sizes, "node"), rows), f"met{depth}")
         # Only texts that met another one at this depth can go on; sketches of the others aren't dealt again.
-        live = staged(live.join(met.select("key").distinct(), "key", "left_semi"), f"live{depth}")
-        small = met.filter(F.col("n") <= BUCKET).join(live, "key")
-        links.append(staged(_bucket_links(small).distinct(), f"links{depth}"))
+        live = staged(small(live.join(met.select("key").distinct(), "key", "left_semi"), rows), f"live{depth}")
+        few = met.filter(F.col("n") <= BUCKET).join(live, "key")
+        links.append(staged(small(_bucket_links(few, rows).distinct(), rows), f"links{depth}"))
         large = met.filter(F.col("n") > BUCKET)
         if large.isEmpty():
             break
         # One representative a large node; there are fewer than texts by BUCKET.
         least = large.groupBy("node").agg(F.min("key").alias("rep"), F.count("*").alias("n"))
-        reps = staged(least.join(live.select(F.col("key").alias("rep"), F.col("sketch").alias("rep_sketch")), "rep"), f"reps{depth}")
-        own = staged(large.select("node", "key").join(live, "key"), f"large{depth}")
+        reps = staged(small(least.join(live.select(F.col("key").alias("rep"), F.col("sketch").alias("rep_sketch")), "rep"), rows), f"reps{depth}")
+        own = staged(small(large.select("node", "key").join(live, "key"), rows), f"large{depth}")
         told = staged(_settled(spread_join(own, reps, "node", "n")), f"settled{depth}")
         links.append(told.filter((F.col("agreement") >= REP_AGREEMENT) & (F.col("key") != F.col("rep"))).select(F.col("key").alias("a"), F.col("rep").alias("b")).distinct())
         nodes = told.filter(F.col("agreement") < SETTLED).select("node", "key", "sketch")
@@ -264,20 +265,27 @@ def _compare(keys: list[bytes], copies: np.ndarray, sets: list[np.ndarray], side
     shared = many[column] > 1
     column, owner = column[shared], owner[shared]
     _, column = np.unique(column, return_inverse=True)
-    both = np.zeros((n, n), np.float32)
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
+    # Of two sides only what lies across is multiplied: the texts are put in the order of their sides.
+    order = np.argsort(side, kind="stable")
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    cut = int((~side).sum())
+    rows, columns = (slice(0, cut), slice(cut, n)) if 0 < cut < n else (slice(0, n), slice(0, n))
+    both = np.zeros((rows.stop - rows.start, columns.stop - columns.start), np.float32)
+    by = np.argsort(column, kind="stable")
+    column, owner = column[by], place[owner[by]]
     width = max(1, min(8192, 24_000_000 // max(1, n)))
     for low in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         i, j = np.searchsorted(column, [low, low + width])
         part = np.zeros((n, min(width, int(column[-1]) + 1 - low)), np.float32)
         part[owner[i:j], column[i:j] - low] = 1
-        both += part @ part.T
-    whole = sizes[:, None] + sizes[None, :] - both
-    link = both >= similarity * whole - 1e-6
+        both += part[rows] @ part[columns].T
+    whole = sizes[order[rows]][:, None] + sizes[order[columns]][None, :] - both
+    near = both >= similarity * whole - 1e-6
+    link = np.zeros((n, n), bool)
+    link[np.ix_(order[rows], order[columns])] = near
+    link[np.ix_(order[columns], order[rows])] = near.T
     np.fill_diagonal(link, False)
-    if side.any() and not side.all():
-        link &= side[:, None] != side[None, :]
     links, behind = link.sum(1), link.astype(np.int64) @ copies
     # Connecting links by spreading from each text not reached yet.
     reached, joins = np.zeros(n, bool), []
@@ -358,19 +366,20 @@ def _classed(named: DataFrame, similarity: float, recall: float) -> DataFrame:
     words it is null.
     """
     slim = staged(_texts(named), "texts")
-    texts = slim.filter("key is not null").groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.min("sketch").alias("sketch"))
-    texts = staged(texts, "distinct-texts")
+    many = slim.count()
+    texts = slim.filter("key is not null").groupBy("key").agg(F.min("id").alias("first_id"), F.count("*").alias("copies"), F.min("sketch").alias("sketch"), F.max("n_words").alias("n_words"))
+    texts = staged(small(texts, many), "distinct-texts")
     groups = components(candidates(texts.select("key", "sketch"), recall, similarity))
-    sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
-    groups = staged(spread_join(groups, staged(sizes, "sizes"), "root", "size").join(texts.select(F.col("key").alias("node"), "first_id", "copies"), "node"), "groups")
+    groups = staged(small(groups.join(texts.select(F.col("key").alias("node"), "first_id", "copies", "n_words"), "node"), many), "groups")
+    sizes = staged(small(groups.groupBy("root").agg(F.count("*").alias("size"), F.sum("n_words").alias("all_words")), many), "sizes")
 
     wanted = groups.select(F.col("first_id").alias("id"), F.col("node").alias("key"))
     if wanted.count() <= SEND_IDS:
         wanted = F.broadcast(wanted)
     # Only first documents are read, and of a repeated id the row whose words have the key; equal rows once.
     sets = _shingle_sets(named.join(wanted, "id"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    placed = groups.select(F.col("node").alias("key"), "root", "copies", blocks.alias("nb"))
+    blocks = F.ceil(F.greatest(F.col("size") / BLOCK, F.col("all_words") / BLOCK_WORDS)).cast("long")
+    placed = spread_join(groups, sizes, "root", "size").select(F.col("node").alias("key"), "root", "copies", blocks.alias("nb"))
     placed = placed.withColumn("b", F.pmod(F.xxhash64("key", F.lit(1)), F.col("nb"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
     placed = placed.select("key", "copies", F.xxhash64("root", F.least("b", "o"), F.greatest("b", "o")).alias("gid"), (F.col("b") > F.col("o")).cast("int").alias("side"))
     members = placed.join(sets, "key").repartition("gid").sortWithinPartitions("gid", "key")
@@ -380,8 +389,8 @@ def _classed(named: DataFrame, similarity: float, recall: float) -> DataFrame:
     linked = components(found.filter("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b")))
     linked = linked.withColumnRenamed("node", "key").join(texts.select("key", "first_id"), "key")
     first = F.min(F.struct("first_id", "key"))
-    linked = staged(linked, "linked")
-    firsts = staged(linked.groupBy("root").agg(first.alias("class"), F.count("*").alias("n")), "class-firsts")
+    linked = staged(small(linked, many), "linked")
+    firsts = staged(small(linked.groupBy("root").agg(first.alias("class"), F.count("*").alias("n")), many), "class-firsts")
     classes = spread_join(linked, firsts, "root", "n").select("key", "class")
     zero = F.lit(0).cast("long")
     texts = texts.join(per_text, "key", "left").join(classes, "key", "left").select(
@@ -392,7 +401,7 @@ def _classed(named: DataFrame, similarity: float, recall: float) -> DataFrame:
         F.coalesce("text_links", zero).alias("text_links"),
         F.coalesce("behind", zero).alias("behind"),
     )
-    return spread_join(slim.select("id", "key"), staged(texts, "classes"), "key", "copies", "left", HOT)
+    return spread_join(slim.select("id", "key"), staged(small(texts, many), "classes"), "key", "copies", "left", HOT)
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:

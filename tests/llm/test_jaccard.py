@@ -182,3 +182,54 @@ def test_what_is_near_a_settled_copy_is_a_candidate_with_the_representative(spar
     texts = spark.createDataFrame([(k, s.tobytes()) for k, s in rows], "key binary, sketch binary")
     links = {frozenset((bytes(r.a), bytes(r.b))) for r in jaccard.candidates(texts).collect()}
     assert frozenset((b"\0", b"\1")) in links and links & {frozenset((b"\0", b"\2")), frozenset((b"\1", b"\2"))}
+
+
+def test_small_tables_have_few_tasks(spark):
+    from orrery.llm.graph import TASKS, components, small, spread_join
+
+    held = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        links = spark.createDataFrame([(i, i + 1 + i % 2) for i in range(0, 90, 3)], "a long, b long")
+        values = links.groupBy("a").agg(F.count("*").alias("n"))
+        assert spread_join(links, values, "a", "n").rdd.getNumPartitions() <= TASKS
+        assert components(links).rdd.getNumPartitions() <= TASKS
+        # A large one keeps a task for each TASK_ROWS rows.
+        assert small(spark.range(0, 100, 1, 64), 20_000 * 40).rdd.getNumPartitions() == 40
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("sides", [0, 1, 2])
+def test_a_block_counts_what_lies_across(sides):
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 60, (3, 60)).astype(np.uint64)
+    sets = [np.unique(np.where(rng.random(60) < 0.03, rng.integers(0, 1 << 60, 60).astype(np.uint64), base[i % 3])) for i in range(40)]
+    side, copies = (rng.random(40) < 0.5) & (sides == 2) | (sides == 1), rng.integers(1, 5, 40)
+    links, behind, joins = jaccard._compare([bytes([i]) for i in range(40)], copies, sets, side, 0.8)
+    near = np.array([[i != j and len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    near &= (side[:, None] != side[None, :]) | (sides != 2)
+    assert near.any() and links.tolist() == near.sum(1).tolist() and behind.tolist() == (near @ copies).tolist()
+    assert all(near[i, j] for i, j in joins)
+
+
+def test_large_groups_are_dealt_in_few_blocks_and_long_texts_in_more(spark, monkeypatch):
+    dealt = []
+    real = jaccard._verified
+
+    def seen(members, similarity):
+        dealt.append(members.groupBy("key").count().agg(F.max("count")).first()[0])
+        return real(members, similarity)
+
+    monkeypatch.setattr(jaccard, "_verified", seen)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*words, f"own{i}"])) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {(i, 0, 599) for i in range(600)}
+    for most in (1_000_000, 10_000):
+        monkeypatch.setattr(jaccard, "BLOCK_WORDS", most)
+        assert {(r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.join(df).collect()} == want
+    assert dealt == [2, 4]
