@@ -174,3 +174,35 @@ def test_search_keeps_the_best_in_blocks(small_bits, metric, monkeypatch):
         every.setdefault(r.query_id, []).append((-r.similarity, r.mol_id))
     want = {(q, n + 1, m, -s) for q, own in every.items() for n, (s, m) in enumerate(sorted(own)[:5])}
     assert {(r.query_id, r["rank"], r.mol_id, r.similarity) for r in found.collect()} == want
+
+
+def test_nearness_by_rmsd_is_that_of_the_distances():
+    from orrery.operators.blocks import least_rmsd, within_rmsd
+
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(150, 21)) * 0.1
+    v[3] = v[4]
+    v[5] = np.tile(v[5, :3], 7)
+    v[6] = (v[7].reshape(7, 3) * [1, 1, -1]).ravel()
+    v[8] = np.repeat(rng.normal(size=7), 3)
+    v[9:60] = v[60] + rng.normal(size=(51, 21)) * 0.02
+    d = least_rmsd(v, v)
+    for cutoff in (0.001, 0.02, 0.05, 0.13, d[0, 1] - 1e-9, d[9, 10] + 1e-9, 1.0):
+        assert (within_rmsd(v, v, cutoff) == (d <= cutoff)).all()
+
+
+def test_greedy_rounds_of_frames_count_on(spark, small_blocks, monkeypatch):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(160, 5, 3)) * 0.1
+    rows = [(i, k, *map(float, p)) for i, x in enumerate(v) for k, p in enumerate(x)]
+    frames = spark.createDataFrame(rows, "frame long, atom int, x double, y double, z double").cache()
+    points = frames.select("frame").distinct()
+    expected = sorted(cl.gromos(cl.rmsd_pairs(frames), points, 0.1).collect())
+    monkeypatch.setattr(cl, "LISTED", 5)
+    assert sorted(cl.gromos(cl.frame_space(frames), points, 0.1).collect()) == expected  # all tried at once
+    monkeypatch.setattr(cl, "TRIED", 12)
+    monkeypatch.setattr(cl, "TRIED_BITS", 3_000)
+    told = []
+    of = cl.Space.counts_of
+    monkeypatch.setattr(cl.Space, "counts_of", lambda self, *a: told.append(1) or of(self, *a))
+    assert sorted(cl.gromos(cl.frame_space(frames), points, 0.1).collect()) == expected and told
