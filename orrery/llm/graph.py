@@ -19,14 +19,14 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(TASKS, -(-rows // TASK_ROWS)))
 
 
-def spread_join(rows: DataFrame, values: DataFrame, key: str, weight: str, how: str = "inner", hot: int = HOT) -> DataFrame:
+def spread_join(rows: DataFrame, values: DataFrame, key: str, weight: str, how: str = "inner", hot: int = HOT, many: int | None = None) -> DataFrame:
     """``rows`` with the columns of ``values``, which has a row a ``key`` and in ``weight`` how many rows it has.
 
     The values of keys with at least one in ``hot`` rows are sent to every task, so that
     such a key's rows meet theirs where they are; the others are joined by a shuffle. With ``how`` left,
-    rows without a value, null keys too, stay.
+    rows without a value, null keys too, stay. ``many``: how many rows there are at most, if that is known; else they are counted.
     """
-    many = rows.count()
+    many = rows.count() if many is None else many
     bound = max(2, -(-many // hot))
     columns = [c for c in values.columns if c != key]
     sent = F.broadcast(values.filter(F.col(weight) >= bound).withColumn("is_hot", F.lit(True)))
@@ -48,18 +48,19 @@ def components(links: DataFrame) -> DataFrame:
     # A star has no more links than before; both ways there are twice as many.
     rows = 2 * links.count()
     now = staged(small(links.select("a", "b").filter("a <> b").distinct(), rows), "links")
-    seen = None
+    seen, many = None, rows // 2
     while True:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select("b", "a"))
         least = staged(small(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), rows), "least")
-        large = spread_join(both.filter("v > u"), least, "u", "n").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        large = spread_join(both.filter("v > u"), least, "u", "n", many=many).select(F.col("v").alias("a"), F.col("m").alias("b"))
         down = large.filter("a <> b").distinct().select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         down = staged(small(down, rows), "stars")
         least = staged(small(down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), rows), "least")
-        less = spread_join(down, least, "u", "n").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b"))
+        less = spread_join(down, least, "u", "n", many=many).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b"))
         now = staged(small(less.filter("a <> b").distinct(), rows), "links")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break
-        seen = state
+        # A greater neighbour is one of two ends, and a star has no more links than its greater neighbours.
+        seen, many = state, state[0]
     return small(now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b").distinct()), rows)

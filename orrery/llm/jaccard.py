@@ -219,12 +219,13 @@ def _settled(nodes: DataFrame) -> DataFrame:
 
 def candidates(texts: DataFrame, recall: float = RECALL, similarity: float = SIMILARITY) -> DataFrame:
     """Links (``a``, ``b``) that connect the candidate groups of ``texts`` (``key``, ``sketch``)."""
-    runs = F.sequence(F.lit(1), F.lit(runs_for(recall, similarity)))
+    n_runs = runs_for(recall, similarity)
+    rows = texts.count() * n_runs * BRANCHES  # each text goes on to as many children
+    runs = F.sequence(F.lit(1), F.lit(n_runs))
     nodes = texts.withColumn("node", F.explode(F.transform(runs, lambda i: F.xxhash64(F.lit("run"), i))))
     links, live = [], texts
     for depth in range(1, DEPTH + 1):
         nodes = staged(_children(nodes), f"nodes{depth}")
-        rows = nodes.count()
         sizes = nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
         met = staged(small(nodes.join(sizes, "node"), rows), f"met{depth}")
         # Only texts that met another one at this depth can go on; sketches of the others aren't dealt again.
@@ -232,16 +233,18 @@ def candidates(texts: DataFrame, recall: float = RECALL, similarity: float = SIM
         few = met.filter(F.col("n") <= BUCKET).join(live, "key")
         links.append(staged(small(_bucket_links(few, rows).distinct(), rows), f"links{depth}"))
         large = met.filter(F.col("n") > BUCKET)
-        if large.isEmpty():
+        many = large.count()
+        if not many:
             break
         # One representative a large node; there are fewer than texts by BUCKET.
         least = large.groupBy("node").agg(F.min("key").alias("rep"), F.count("*").alias("n"))
         reps = staged(small(least.join(live.select(F.col("key").alias("rep"), F.col("sketch").alias("rep_sketch")), "rep"), rows), f"reps{depth}")
         own = staged(small(large.select("node", "key").join(live, "key"), rows), f"large{depth}")
-        told = staged(_settled(spread_join(own, reps, "node", "n")), f"settled{depth}")
+        told = staged(_settled(spread_join(own, reps, "node", "n", many=many)), f"settled{depth}")
         links.append(told.filter((F.col("agreement") >= REP_AGREEMENT) & (F.col("key") != F.col("rep"))).select(F.col("key").alias("a"), F.col("rep").alias("b")).distinct())
         nodes = told.filter(F.col("agreement") < SETTLED).select("node", "key", "sketch")
-        if nodes.isEmpty():
+        rows = nodes.count() * BRANCHES
+        if not rows:
             break
     else:
         # What is together after the last depth is one group by its representative, near or not.
@@ -401,7 +404,7 @@ def _classed(named: DataFrame, similarity: float, recall: float) -> DataFrame:
         F.coalesce("text_links", zero).alias("text_links"),
         F.coalesce("behind", zero).alias("behind"),
     )
-    return spread_join(slim.select("id", "key"), staged(small(texts, many), "classes"), "key", "copies", "left", HOT)
+    return spread_join(slim.select("id", "key"), staged(small(texts, many), "classes"), "key", "copies", "left", HOT, many)
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:

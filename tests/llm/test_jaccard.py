@@ -233,3 +233,20 @@ def test_large_groups_are_dealt_in_few_blocks_and_long_texts_in_more(spark, monk
         monkeypatch.setattr(jaccard, "BLOCK_WORDS", most)
         assert {(r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.join(df).collect()} == want
     assert dealt == [2, 4]
+
+
+def test_rounds_do_not_count_rows_that_are_known(spark, monkeypatch):
+    from orrery.llm.graph import components, spread_join
+
+    rows = spark.range(0, 300, 1, 4).select((F.col("id") % 3).alias("a"), F.col("id").alias("b"))
+    values = rows.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("least"))
+    counted = []
+    count = type(rows).count
+    monkeypatch.setattr(type(rows), "count", lambda self: counted.append(1) or count(self))
+    same = lambda many: sorted(spread_join(rows, values, "a", "n", many=many).collect())
+    expected = same(None)
+    assert counted and len(expected) == 300
+    counted.clear()
+    assert same(300) == expected == same(1_000_000) and not counted
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(41), 0) and len(counted) == 1
