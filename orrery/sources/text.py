@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -158,8 +159,16 @@ def target_time(dump: Column) -> Column:
     return F.when(steps < 0, F.lit(float("inf"))).otherwise(F.coalesce(take("init-t"), take("init_t"), F.lit(0.0)) + steps * F.coalesce(take("delta-t"), take("dt")))
 
 
-def last_progress(lines: DataFrame) -> DataFrame:
-    """``percent``: the last ``percent_complete`` of the newest progress file (``mtime``, ``line_no``, ``value``)."""
-    found = lines.filter(F.contains("value", F.lit("percent_complete:")))
-    value = F.regexp_extract("value", r"percent_complete:\s*([0-9.]+)", 1).try_cast("double")
-    return found.agg(F.max_by(value, F.struct("mtime", "line_no")).alias("percent"))
+def last_progress(lines: DataFrame, place: Sequence[str] = ()) -> DataFrame:
+    """``percent``: the last ``percent_complete`` of the newest progress file (``mtime``, ``line_no``, ``value``).
+
+    Of lines with equal ``mtime`` and ``line_no`` the first by the columns ``place`` tells, if these are given; lines that lack one don't count.
+    """
+    value = F.regexp_extract("value", r"percent_complete:\s*([-+]?(?:[0-9.]+(?:[eE][-+]?[0-9]+)?|Infinity|NaN))", 1).try_cast("double")
+    found = lines.filter(F.contains("value", F.lit("percent_complete:")) & F.col("mtime").isNotNull() & F.col("line_no").isNotNull())
+    found = found.select(F.struct("mtime", "line_no").alias("at"), value.alias("percent"), *place)
+    if not place:
+        return found.agg(F.max_by("percent", "at").alias("percent"))
+    # Few lines are the newest, so only these are compared by their places.
+    newest = found.agg(F.max("at").alias("newest"))
+    return found.join(F.broadcast(newest), F.col("at") == F.col("newest")).agg(F.min_by("percent", F.struct(*place)).alias("percent"))

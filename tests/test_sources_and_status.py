@@ -261,3 +261,21 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     batch = events.windowed_means(spark.read.parquet(f"{tmp_path}/e"))
     assert sorted(map(tuple, spark.table("windows").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_last_progress_of_equal_lines(spark, tmp_path):
+    """Rows of the same key: the first of the table, as one thread of the SQL's arg_max tells."""
+    import duckdb
+    import pandas as pd
+
+    from orrery.plans import catalogue, inputs  # noqa: F401 - the second registers the query
+
+    n = 2_000
+    rows = pd.DataFrame({"l_orderkey": [i % 97 for i in range(n)], "l_linenumber": pd.array([1 + i % 7 for i in range(n)], "int32"), "l_quantity": [float(i % 50) for i in range(n)]})
+    for at, quantity in ((300, -11.5), (301, 22.0), (900, 33.0), (1_999, 44.0)):
+        rows.loc[at, ["l_orderkey", "l_linenumber", "l_quantity"]] = [97, 3, quantity]
+    rows.to_parquet(tmp_path / "lineitem.parquet", row_group_size=250)
+    with duckdb.connect(config={"threads": 1}) as c:
+        c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+        told = c.execute(catalogue.oracle_sql()["last_progress"]).fetchall()
+    assert [tuple(r) for r in catalogue.queries()["last_progress"](spark, str(tmp_path)).collect()] == told == [(-11.5,)]
