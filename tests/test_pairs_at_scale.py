@@ -206,3 +206,27 @@ def test_greedy_rounds_of_frames_count_on(spark, small_blocks, monkeypatch):
     of = cl.Space.counts_of
     monkeypatch.setattr(cl.Space, "counts_of", lambda self, *a: told.append(1) or of(self, *a))
     assert sorted(cl.gromos(cl.frame_space(frames), points, 0.1).collect()) == expected and told
+
+
+def test_similarities_of_short_fingerprints_are_written_small(spark, tmp_path):
+    """All pairs by blocks of equal numbers of bits: equal to brute force, and few bits a row in files."""
+    rng = np.random.default_rng(11)
+    ids = rng.permutation(6_000)[:2_500] - 700
+    words = rng.integers(0, 2**63, 2_500) | (rng.integers(0, 2, 2_500) << 5)
+    words[:40], words[40:60], ids[1] = 0, -1, ids[0]
+    fps = spark.createDataFrame([(int(i), [int(w)]) for i, w in zip(ids, words, strict=True)] + [(None, [3])], "mol_id long, fp array<bigint>")
+    path = f"{tmp_path}/pairs"
+    fg.pair_similarities(fps, 64, "cosine", digits=6).write.parquet(path)
+    got = spark.read.parquet(path).toPandas().sort_values(["i", "j", "similarity"]).to_numpy()
+    w = words.astype(np.uint64)
+    a, c = np.bitwise_count(w).astype(float), np.bitwise_count(w[:, None] & w[None, :]).astype(float)
+    i, j = np.nonzero(ids[:, None] > ids[None, :])
+    root = np.sqrt(a[i] * a[j])
+    wanted = np.column_stack([ids[i], ids[j], np.round(np.divide(c[i, j], root, out=np.zeros(len(i)), where=root > 0), 6)])
+    wanted = wanted[np.lexsort(wanted.T[::-1])]
+    assert got.shape == wanted.shape and np.allclose(got, wanted, atol=1.1e-6, rtol=0)
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 2 * len(got)
+    some = fg.pair_similarities(fps.select(F.col("mol_id").cast("int"), "fp"), 64, "tanimoto", cutoff=0.55)
+    assert some.dtypes[:2] == [("i", "int"), ("j", "int")]
+    t = np.divide(c[i, j], a[i] + a[j] - c[i, j], out=np.zeros(len(i)), where=a[i] + a[j] > 0)
+    assert some.count() == int((t >= 0.55).sum()) > 0
