@@ -255,11 +255,8 @@ def _units(spark, d):
 
 @query("symmetric_distances", f"{PAIR_RMSD}, o AS (SELECT i0 AS i, j0 AS j, round(sqrt(greatest(0.0,(ga+gb-2*l)/n)),4) AS d FROM l) SELECT i, j, d FROM o UNION ALL SELECT j, i, d FROM o")
 def _symmetric(spark, d):
-    """Every distance both ways, after the check that all pairs are there."""
-    vt = virtual_trajectory(spark, d)
-    pairs = cl.rmsd_pairs(vt)
-    cl.check_distances(pairs, vt.select("frame").distinct().count())
-    return cl.both_ways(pairs).select("i", "j", F.round("d", 4).alias("d"))
+    """Every distance both ways, with the check that all are there; each is measured once."""
+    return cl.rmsd_both_ways(virtual_trajectory(spark, d), digits=4)
 
 
 @query("fleet_done_total", f"WITH {JOBS} SELECT count(*) > 0 AND bool_and(status = 'completed') AS done FROM t")

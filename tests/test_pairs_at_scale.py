@@ -230,3 +230,36 @@ def test_similarities_of_short_fingerprints_are_written_small(spark, tmp_path):
     assert some.dtypes[:2] == [("i", "int"), ("j", "int")]
     t = np.divide(c[i, j], a[i] + a[j] - c[i, j], out=np.zeros(len(i)), where=a[i] + a[j] > 0)
     assert some.count() == int((t >= 0.55).sum()) > 0
+
+
+def _kabsch(a, b):
+    """The least RMSD by singular values."""
+    a, b = (p.reshape(-1, 3) - p.reshape(-1, 3).mean(0) for p in (a, b))
+    u, s, v = np.linalg.svd(a.T @ b)
+    s[2] *= np.sign(np.linalg.det(u @ v)) or 1
+    return math.sqrt(max(0.0, ((a**2).sum() + (b**2).sum() - 2 * s.sum()) / len(a)))
+
+
+def test_symmetric_distances_are_measured_once(spark, tmp_path):
+    """Both ways of a pair leave one pass over the blocks, equal to brute force; odd points raise."""
+    from orrery.plans import catalogue, inputs  # noqa: F401 - the second registers the query
+
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(300, 64)).astype(np.float32)
+    v[9], v[11], v[12] = v[3], -v[3], 0
+    rows = spark.createDataFrame([(i * 3 - 100, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<float>, label int")
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = catalogue.queries()["symmetric_distances"](spark, str(tmp_path))
+    got = {(r.i, r.j): r.d for r in found.collect()}
+    assert len(got) == found.count() == 300 * 299
+    for i, j in [(3, 9), (9, 3), (3, 11), (11, 3), (12, 7), *rng.integers(0, 300, (200, 2)).tolist()]:
+        if i != j:
+            assert got[i * 3 - 100, j * 3 - 100] == pytest.approx(_kabsch(v[i, :63].astype(float), v[j, :63].astype(float)), abs=1e-4)
+    assert found._jdf.queryExecution().sparkPlan().toString().count("FlatMapGroupsInArrow") == 1
+    frames = catalogue.virtual_trajectory(spark, str(tmp_path))
+    with pytest.raises(ValueError, match="finite"):
+        cl.rmsd_both_ways(frames.withColumn("x", F.when((F.col("frame") == 2) & (F.col("atom") == 5), F.lit(float("nan"))).otherwise(F.col("x"))))
+    with pytest.raises(ValueError, match="frames"):
+        cl.rmsd_both_ways(frames.withColumn("frame", F.when(F.col("frame") != 2, F.col("frame"))))
+    with pytest.raises(Exception, match="finite"):
+        cl.rmsd_both_ways(frames.withColumn("x", F.when(F.col("frame") == 2, F.col("x") * 1e200).otherwise(F.col("x")))).count()
